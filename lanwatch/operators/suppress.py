@@ -99,7 +99,7 @@ def cooldown(df: DataFrame, keys: str | list[str], seconds: int | Column, *, ts:
         return df
     keys = [keys] if isinstance(keys, str) else keys
     longest = seconds if longest is None else longest
-    quiet = (seconds if isinstance(seconds, Column) else F.lit(seconds)) * SECOND
+    quiet = seconds * SECOND if isinstance(seconds, Column) else F.lit(int(seconds * SECOND))
     width = longest * SECOND * BLOCK_COOLDOWNS
     key = F.struct(*keys)
     blocks = (df.select(key.alias("_key"), F.floor(F.col(ts) / width).cast("bigint").alias("_blk"),

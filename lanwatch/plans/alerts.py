@@ -42,7 +42,8 @@ def apply_mutes(alerts: DataFrame, mutes: DataFrame) -> DataFrame:
     `mutes` has (dedup_key, us).
     """
     m = mutes.select(F.col("dedup_key").alias("_key"), F.col("us").alias("_from"))
-    until = F.col("_from") + (MUTE_SECONDS + cooldown_seconds(F.col("category"), F.col("severity"))) * SECOND
+    wait = (MUTE_SECONDS + cooldown_seconds(F.col("category"), F.col("severity"))).cast("bigint")
+    until = F.col("_from") + wait * SECOND
     return alerts.join(m, (F.col("dedup_key") == F.col("_key")) & (F.col("us") >= F.col("_from"))
                        & (F.col("us") < until), "left_anti")
 

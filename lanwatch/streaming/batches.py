@@ -53,10 +53,8 @@ def alert_batches(detect: Callable[[DataFrame], DataFrame], out: str, cfg: Confi
         raw = detect(batch)
         history = earlier(batch.sparkSession, out, batch_id)
         if history is not None:
-            start = batch.agg(F.min("us").alias("start"))
-            recent = history.select("dedup_key", "us").join(
-                F.broadcast(start), F.col("us") >= F.col("start") - longest)  # one row
-            history = recent.select("dedup_key", "us")
+            start = batch.agg(F.min("us")).first()[0]
+            history = history.select("dedup_key", "us").where(F.col("us") >= (start or 0) - longest)
         put(alert_plans.process(raw, cfg, prefixes, history=history, correlate=correlate), out, batch_id)
     return run
 
