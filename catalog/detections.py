@@ -346,9 +346,9 @@ def _half_open(spark, d):
     return brief(scan.port_scan(scan.syn_sent_ports(t.sockets, cfg), cfg), unique_ports_count="bigint")
 
 
-_HALF_OPEN = duck("""select us, 'low' severity, remote_ip affected_host, local_ip related_host, concat('port_scan:', pair) dedup_key,
- concat('Port scan: ', local_ip, ' → ', remote_ip, ' (', max(n), ' ports/min)') title, 0.9::double confidence, max(n) unique_ports_count
- from kept join hits using (pair, us) group by all""", "sockets",
+_HALF_OPEN = duck("""select distinct us, 'low' severity, remote_ip affected_host, local_ip related_host, concat('port_scan:', pair) dedup_key,
+ concat('Port scan: ', local_ip, ' → ', remote_ip, ' (', n, ' ports/min)') title, 0.9::double confidence, n unique_ports_count
+ from kept join hits using (pair, us)""", "sockets",
                   counted=_over("count(distinct remote_port)", "pair",
                                 "(select distinct us, local_ip, remote_ip, remote_port, concat(local_ip, ':', remote_ip) pair "
                                 "from sockets where state = 'SYN_SENT')", 120 * HOUR),
@@ -389,11 +389,10 @@ def _intel(spark, d):
                  source="string", category="string")
 
 
-_INTEL = duck("""select us, 'high' severity, host affected_host, related related_host, concat('threatintel:', ind) dedup_key,
- concat('Known-bad ', kind, ': ', related) title, 0.95::double confidence, ind indicator, kind indicator_kind, source, category
- from kept join hits h on h.ind = kept.ind and h.us = kept.us join indicators i on i.value = kept.ind
- qualify row_number() over (partition by kept.ind, kept.us order by step) = 1""".replace("select us", "select kept.us").replace(
-     "ind indicator", "kept.ind indicator").replace("', ind)", "', kept.ind)"), "conn", "dns",
+_INTEL = duck("""select h.us, 'high' severity, host affected_host, related related_host, concat('threatintel:', h.ind) dedup_key,
+ concat('Known-bad ', kind, ': ', related) title, 0.95::double confidence, h.ind indicator, kind indicator_kind, source, category
+ from kept join hits h on h.ind = kept.ind and h.us = kept.us join indicators i on i.value = h.ind
+ qualify row_number() over (partition by h.ind, h.us order by step) = 1""", "conn", "dns",
               hits=f"""select us, src_ip host, dst_ip related, ind, 0 step from (select *, {_INTEL_IP.format(ip='dst_ip')} ind from conn
    where dst_ip not like '192.168.%') where ind is not null
    union all select us, src_ip, query_name, ind, 1 from (select *, {_INTEL_NAME.format(n='query_name')} ind from dns) where ind is not null

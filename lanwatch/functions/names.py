@@ -7,6 +7,11 @@ from pyspark.sql import Column, functions as F
 from . import tables
 
 
+def _bind(c: Column, body) -> Column:
+    """Evaluate `c` once and hand its value to `body`, however often `body` uses it."""
+    return F.get(F.transform(F.array(c), body), F.lit(0))
+
+
 def strip_dots(c: Column) -> Column:
     return F.regexp_replace(F.lower(c), r"^\.+|\.+$", "")
 
@@ -25,18 +30,17 @@ def label_entropy(c: Column) -> Column:
 
     Characters are summed in sorted order so the floating-point result is reproducible.
     """
-    label = first_label(F.lower(c))
-    chars = F.filter(F.split(label, ""), lambda ch: ch != "")
-    n = F.size(chars).cast("double")
-    distinct = F.array_sort(F.array_distinct(chars))
-    bits = F.aggregate(
-        distinct, F.lit(0.0),
-        lambda acc, ch: acc - _plogp(F.size(F.filter(chars, lambda x: x == ch)) / n))
-    return F.when(n > 0, bits).otherwise(F.lit(0.0))
+    def entropy(label: Column) -> Column:
+        n = F.length(label)
+
+        def bits(ch: Column) -> Column:
+            p = (n - F.length(F.replace(label, ch, F.lit("")))) / n
+            return p * F.log2(p)
 
+        chars = F.array_sort(F.array_remove(F.array_distinct(F.split(label, "")), ""))
+        return F.when(n > 0, F.aggregate(chars, F.lit(0.0), lambda acc, ch: acc - bits(ch))).otherwise(0.0)
 
-def _plogp(p: Column) -> Column:
-    return p * F.log2(p)
+    return _bind(first_label(F.lower(c)), entropy)
 
 
 def suspicious_tld(c: Column) -> Column:
@@ -61,12 +65,14 @@ def on_cdn(c: Column) -> Column:
 
 def domain_suffixes(c: Column) -> Column:
     """The name and its parents that have at least two labels, most specific first."""
-    labels = F.split(strip_dots(c), r"\.")
-    n = F.size(labels)
-    return F.when(n >= 2, F.transform(
-        F.sequence(F.lit(1), n - 1),
-        lambda i: F.array_join(F.slice(labels, i, n), "."))).otherwise(
-            F.array().cast("array<string>"))
+    def parents(labels: Column) -> Column:
+        n = F.size(labels)
+        return F.when(n >= 2, F.transform(
+            F.sequence(F.lit(1), n - 1),
+            lambda i: F.array_join(F.slice(labels, i, n), "."))).otherwise(
+                F.array().cast("array<string>"))
+
+    return _bind(F.split(strip_dots(c), r"\."), parents)
 
 
 def url_host(c: Column) -> Column:

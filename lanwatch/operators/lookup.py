@@ -5,35 +5,54 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.names import domain_suffixes
-from ..functions.net import ip_hex, prefix_key
+from ..functions.net import ip_hex, ip_to_long, prefix_key
 
 
-def _prefix_lengths(table: DataFrame) -> list[int]:
-    """Distinct prefix lengths of a prefix table: at most 33 for IPv4 and 129 for IPv6."""
-    bits = F.split_part("cidr", F.lit("/"), F.lit(2)).cast("int")
-    return sorted(r[0] for r in table.select(bits.alias("b")).distinct().collect() if r[0] is not None)
+def _prefix_lengths(table: DataFrame) -> tuple[list[int], list[int]]:
+    """Distinct IPv4 and IPv6 prefix lengths of a prefix table: at most 33 and 129."""
+    bits = F.split_part("cidr", F.lit("/"), F.lit(2)).try_cast("int")
+    rows = table.select(F.contains("cidr", F.lit(":")).alias("six"), bits.alias("b")).distinct().collect()
+    found = [(r["six"], r["b"]) for r in rows if r["b"] is not None]
+    return sorted(b for six, b in found if not six), sorted(b for six, b in found if six)
+
+
+def _network_keys(df: DataFrame, address: str, bits: str, six: bool) -> DataFrame:
+    """Add `_key`, equal for an address and a network exactly when the network contains it."""
+    if six:
+        return (df.withColumn("_hex", ip_hex(F.col(address))).where("_hex is not null")
+                .withColumn("_key", prefix_key(F.col("_hex"), F.col(bits))).drop("_hex"))
+    return (df.withColumn("_n", ip_to_long(F.col(address))).where("_n is not null")
+            .withColumn("_key", F.concat_ws("/", F.col(bits).cast("string"),
+                                            F.expr(f"shiftright(_n, 32 - {bits})").cast("string"))).drop("_n"))
 
 
 def prefix_match(df: DataFrame, ip: str, table: DataFrame, fields: list[str], out: str,
-                 first_by: str | None = None, lengths: list[int] | None = None) -> DataFrame:
+                 first_by: str | None = None) -> DataFrame:
     """Left-join the best containing CIDR of each address as struct `out`.
 
     Best is the longest prefix, or the smallest `first_by` where given. Each distinct address
     probes an equi-join once per prefix length present in the table, so no range join is planned.
     """
-    lengths = _prefix_lengths(table) if lengths is None else lengths
     addresses = df.select(F.col(ip).alias("_ip")).where(F.col(ip).isNotNull()).distinct()
-    probes = (addresses.withColumn("_hex", ip_hex(F.col("_ip"))).where(F.col("_hex").isNotNull())
-              .withColumn("_bits", F.explode(F.array(*[F.lit(n) for n in lengths] or [F.lit(-1)])))
-              .where(F.col("_bits") <= F.length("_hex") * 4)
-              .select("_ip", prefix_key(F.col("_hex"), F.col("_bits")).alias("_key")))
-    nets = (table.withColumn("_bits", F.split_part("cidr", F.lit("/"), F.lit(2)).cast("int"))
-            .withColumn("_hex", ip_hex(F.split_part("cidr", F.lit("/"), F.lit(1))))
-            .select(prefix_key(F.col("_hex"), F.col("_bits")).alias("_key"), "_bits",
-                    (F.col(first_by) if first_by else F.lit(0)).alias("_order"),
-                    F.struct(*fields).alias("_hit")))
+    cidr = F.col("cidr")
+    nets = table.select(
+        F.split_part(cidr, F.lit("/"), F.lit(1)).alias("_net"),
+        F.split_part(cidr, F.lit("/"), F.lit(2)).try_cast("int").alias("_bits"),
+        (F.col(first_by) if first_by else F.lit(0)).alias("_order"), F.struct(*fields).alias("_hit"))
+    found = None
+    for six, lengths in zip((False, True), _prefix_lengths(table)):
+        if not lengths:
+            continue
+        family = F.contains("_ip", F.lit(":")) if six else ~F.contains("_ip", F.lit(":"))
+        probes = addresses.where(family).withColumn("_bits", F.explode(F.array(*[F.lit(n) for n in lengths])))
+        probes = _network_keys(probes, "_ip", "_bits", six).select("_ip", "_key")
+        side = nets.where(F.contains("_net", F.lit(":")) == F.lit(six))
+        hits = probes.join(_network_keys(side, "_net", "_bits", six), "_key")
+        found = hits if found is None else found.unionByName(hits)
+    if found is None:
+        return df.withColumn(out, F.lit(None).cast(nets.schema["_hit"].dataType))
     rank = F.struct(F.col("_order"), (-F.col("_bits")).alias("b"))
-    best = (probes.join(nets, "_key").groupBy("_ip").agg(F.min_by("_hit", rank).alias(out)))
+    best = found.groupBy("_ip").agg(F.min_by("_hit", rank).alias(out))
     return df.join(best, df[ip] == best["_ip"], "left").drop("_ip")
 
 

@@ -106,6 +106,7 @@ def cooldown(df: DataFrame, keys: str | list[str], seconds: int | Column, *, ts:
                         F.struct(F.col(ts).alias("ts"), F.col(tie).alias("tie"),
                                  quiet.cast("bigint").alias("quiet"),
                                  F.struct(*df.columns).alias("row")).alias("_r"))
+              .where("_blk is not null")  # the join below would infer it for one branch only
               .groupBy("_key", "_blk").agg(F.sort_array(F.collect_list("_r")).alias("_rows")))
     steps = blocks.select("_key", "_blk", _block_steps(
         F.col("_rows.ts"), F.col("_rows.quiet")).alias("_s"))
@@ -118,7 +119,8 @@ def cooldown(df: DataFrame, keys: str | list[str], seconds: int | Column, *, ts:
     picked = (blocks.join(walked, ["_key", "_blk"])
               .withColumn("_at", _pick(F.col("_rows.ts"), F.col("_rows.quiet"), "_entry",
                                        F.lit(strict))))
-    return (picked.select("_rows", F.explode("_at").alias("_i"))
+    # The outer form keeps the optimizer from running the Python function once more as a filter.
+    return (picked.select("_rows", F.explode_outer("_at").alias("_i")).where("_i is not null")
             .select(F.element_at("_rows", F.col("_i"))["row"].alias("row")).select("row.*"))
 
 

@@ -11,25 +11,37 @@ from ..functions.moments import to_us
 from ..functions.names import url_host
 from ..functions.net import ip_hex, is_valid_ip, lookup, normalize_mac
 
-FLOW = ["src_ip", "src_port", "dst_ip", "dst_port", "protocol"]
+def _port(text: Column) -> Column:
+    return F.coalesce(text.try_cast("int"), F.lit(0))
 
 
-def _first(pattern: str) -> Column:
-    return F.regexp_extract("value", pattern, 1)
+def _parsed(lines: DataFrame, source: Column, parse, valid) -> DataFrame:
+    """Replace `value` by the fields of `parse(source)`, for rows where they are valid.
 
+    The fields come out of a generator, so each line is parsed once and not again for the filter.
+    """
+    found = F.filter(F.transform(F.array(source), parse), valid)
+    return lines.select(*[c for c in lines.columns if c != "value"], F.inline(found))
+
+
+def _addressed(flow: Column) -> Column:
+    return (flow["protocol"] != "") & (flow["src_ip"] != "") & (flow["dst_ip"] != "")
 
-def _port(text: Column) -> Column:
-    return F.coalesce(text.try_cast("int"), F.lit(0))
+
+def _flow(protocol, src_ip, src_port, dst_ip, dst_port) -> Column:
+    return F.struct(src_ip.alias("src_ip"), src_port.alias("src_port"), dst_ip.alias("dst_ip"),
+                    dst_port.alias("dst_port"), protocol.alias("protocol"), F.lit("").alias("flags"),
+                    F.lit(0).cast("bigint").alias("size"))
 
 
 def ingest_conntrack(lines: DataFrame) -> DataFrame:
     """Connection-tracking lines: first protocol token and first (original direction) tuple."""
-    return lines.withColumns({
-        "protocol": _first(r"\b(tcp|udp|icmp)\b"),
-        "src_ip": _first(r"\bsrc=(\S+)"), "dst_ip": _first(r"\bdst=(\S+)"),
-        "src_port": _port(_first(r"\bsport=(\d+)")), "dst_port": _port(_first(r"\bdport=(\d+)")),
-    }).where("protocol != '' and src_ip != '' and dst_ip != ''").withColumns(
-        {"flags": F.lit(""), "size": F.lit(0).cast("bigint")}).drop("value")
+    def parse(line: Column) -> Column:
+        def first(pattern: str) -> Column:
+            return F.regexp_extract(line, pattern, 1)
+        return _flow(first(r"\b(tcp|udp|icmp)\b"), first(r"\bsrc=(\S+)"), _port(first(r"\bsport=(\d+)")),
+                     first(r"\bdst=(\S+)"), _port(first(r"\bdport=(\d+)")))
+    return _parsed(lines, F.col("value"), parse, _addressed)
 
 
 def ingest_filterlog(lines: DataFrame) -> DataFrame:
@@ -39,22 +51,23 @@ def ingest_filterlog(lines: DataFrame) -> DataFrame:
     body = F.when(F.instr(value, "filterlog") > 0, F.when(
         F.instr(tail, ":") > 0, F.trim(F.substring(tail, F.instr(tail, ":") + 1, F.length(tail)))
     ).otherwise("")).otherwise(F.trim(value))
-    out = lines.withColumn("_f", F.split(body, ","))
-
-    def at(v4: int, v6: int) -> Column:
-        return F.when(F.col("_v") == "4", F.get("_f", F.lit(v4))).when(
-            F.col("_v") == "6", F.get("_f", F.lit(v6)))
-
-    def port(v4: int, v6: int) -> Column:
-        text = at(v4, v6)
-        known = F.col("protocol").isin("tcp", "udp") & F.coalesce(text.rlike(r"^\d+$"), F.lit(False))
-        return F.when(known, _port(text)).otherwise(F.lit(0))
-
-    out = out.withColumn("_v", F.get("_f", F.lit(8)))
-    out = out.withColumns({"protocol": F.lower(at(16, 12)), "src_ip": at(18, 15), "dst_ip": at(19, 16)})
-    out = out.withColumns({"src_port": port(20, 17), "dst_port": port(21, 18)})
-    return out.where("src_ip != '' and dst_ip != ''").withColumns(
-        {"flags": F.lit(""), "size": F.lit(0).cast("bigint")}).drop("value", "_f", "_v")
+
+    def parse(fields: Column) -> Column:
+        version = F.get(fields, F.lit(8))
+
+        def at(v4: int, v6: int) -> Column:
+            return F.get(fields, F.when(version == "4", v4).when(version == "6", v6))
+
+        protocol = F.lower(at(16, 12))
+
+        def port(v4: int, v6: int) -> Column:
+            text = at(v4, v6)
+            return F.when(protocol.isin("tcp", "udp") & text.rlike(r"^\d+$"), _port(text)).otherwise(F.lit(0))
+
+        return _flow(F.coalesce(protocol, F.lit("")), at(18, 15), port(20, 17), at(19, 16), port(21, 18))
+
+    return _parsed(lines, F.split(body, ","), parse,
+                   lambda f: (f["src_ip"] != "") & (f["dst_ip"] != ""))
 
 
 def ingest_flow_export(df: DataFrame) -> DataFrame:
