@@ -56,7 +56,9 @@ PROJECTIONS = {
     "counters": """select event_id, us, concat('eth', cast(user_id % 3 as varchar(10))) name,
  cast(event_id % 700 * 100000 + k as bigint) rx_bytes, cast(event_id % 900 * 20000 as bigint) tx_bytes
  from base""",
-    "raised": f"""select concat('a', cast(event_id as varchar(20))) alert_id, us,
+    # Alerts of a month squeezed into half a day, so that cooldowns and windows matter.
+    "raised": f"""select concat('a', cast(event_id as varchar(20))) alert_id,
+ 1704067200000000 + cast(floor((us - 1704067200000000) / 60) as bigint) as us,
  case k % 5 when 0 then 'info' when 1 then 'low' when 2 then 'medium' when 3 then 'high' else 'critical' end severity,
  case event_type when 'click' then 'lateral_movement' when 'error' then 'port_scan' when 'view' then 'dns_anomaly'
       when 'purchase' then 'threat_intel' else case when k % 2 = 0 then 'new_device' else 'auth_anomaly' end end category,
@@ -65,7 +67,7 @@ PROJECTIONS = {
  case when event_type = 'purchase' and k % 3 = 0 then 'evil.bad.xyz' when event_type in ('view','purchase')
       then {_PUB.format('k % 70 + 1')} when k % 9 = 0 then '' else {_IP.format('k % 25 + 10')} end related_host,
  concat('seen ', event_type) title, concat('k=', cast(k as varchar(10)), ' a|b') description,
- 'check it' recommended_action, 0.5 + k % 5 / 10.0 confidence, 'rule' confidence_rationale,
+ 'check it' recommended_action, cast(0.5 + k % 5 / 10.0 as double) confidence, 'rule' confidence_rationale,
  concat(event_type, ':', cast(user_id % 20 as varchar(10)), ':', cast(k % 2 as varchar(10))) dedup_key,
  'new' status, case when event_type = 'signup' then concat('{{"src_ip":"203.0.113.', cast(k % 5 as varchar(10)), '"}}')
                     else '{{}}' end extra,
@@ -102,7 +104,8 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         if name in PROJECTIONS:
             text = PROJECTIONS[name].replace("{", "{{").replace("}", "}}")
-            return self.spark.sql(text.replace("from base", "from {base}"), base=self.base)
+            self.__dict__[name] = self.spark.sql(text.replace("from base", "from {base}"), base=self.base)
+            return self.__dict__[name]
         raise AttributeError(name)
 
     @property

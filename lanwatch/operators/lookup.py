@@ -26,50 +26,77 @@ def _network_keys(df: DataFrame, address: str, bits: str, six: bool) -> DataFram
                                             F.expr(f"shiftright(_n, 32 - {bits})").cast("string"))).drop("_n"))
 
 
-def prefix_match(df: DataFrame, ip: str, table: DataFrame, fields: list[str], out: str,
-                 first_by: str | None = None) -> DataFrame:
-    """Left-join the best containing CIDR of each address as struct `out`.
+def _prefix_hits(addresses: DataFrame, table: DataFrame, fields: list[str], order: str | None = None) -> DataFrame:
+    """All containing networks (`_bits`, `_order`, `fields`) of distinct addresses `_ip`.
 
-    Best is the longest prefix, or the smallest `first_by` where given. Each distinct address
-    probes an equi-join once per prefix length present in the table, so no range join is planned.
+    Each address probes an equi-join once per prefix length present in the table, so no range join
+    is planned.
     """
-    addresses = df.select(F.col(ip).alias("_ip")).where(F.col(ip).isNotNull()).distinct()
     cidr = F.col("cidr")
     nets = table.select(
         F.split_part(cidr, F.lit("/"), F.lit(1)).alias("_net"),
         F.split_part(cidr, F.lit("/"), F.lit(2)).try_cast("int").alias("_bits"),
-        (F.col(first_by) if first_by else F.lit(0)).alias("_order"), F.struct(*fields).alias("_hit"))
+        (F.col(order) if order else F.lit(0)).alias("_order"), *fields)
     found = None
     for six, lengths in zip((False, True), _prefix_lengths(table)):
-        if not lengths:
-            continue
         family = F.contains("_ip", F.lit(":")) if six else ~F.contains("_ip", F.lit(":"))
-        probes = addresses.where(family).withColumn("_bits", F.explode(F.array(*[F.lit(n) for n in lengths])))
+        probes = addresses.where(family).withColumn(
+            "_bits", F.explode(F.array(*[F.lit(n) for n in lengths or [-1]])))
         probes = _network_keys(probes, "_ip", "_bits", six).select("_ip", "_key")
         side = nets.where(F.contains("_net", F.lit(":")) == F.lit(six))
-        hits = probes.join(_network_keys(side, "_net", "_bits", six), "_key")
-        found = hits if found is None else found.unionByName(hits)
-    if found is None:
-        return df.withColumn(out, F.lit(None).cast(nets.schema["_hit"].dataType))
+        if lengths or found is None:
+            hits = probes.join(_network_keys(side, "_net", "_bits", six).drop("_net"), "_key")
+            found = hits if not six or not lengths else found.unionByName(hits)
+    return found
+
+
+def prefix_match(df: DataFrame, ip: str, table: DataFrame, fields: list[str], out: str,
+                 first_by: str | None = None) -> DataFrame:
+    """Left-join the best containing CIDR of each address as struct `out`.
+
+    Best is the longest prefix, or the smallest `first_by` where given.
+    """
+    addresses = df.select(F.col(ip).alias("_ip")).where(F.col(ip).isNotNull()).distinct()
     rank = F.struct(F.col("_order"), (-F.col("_bits")).alias("b"))
-    best = found.groupBy("_ip").agg(F.min_by("_hit", rank).alias(out))
+    best = (_prefix_hits(addresses, table, fields, first_by).groupBy("_ip")
+            .agg(F.min_by(F.struct(*fields), rank).alias(out)))
     return df.join(best, df[ip] == best["_ip"], "left").drop("_ip")
 
 
+def prefix_facts(addresses: DataFrame, ip: str, prefixes: DataFrame) -> DataFrame:
+    """Country and network of distinct addresses, each from the longest prefix that names one.
+
+    Unknown countries are empty, unknown AS numbers 0. Addresses without any prefix drop out.
+    """
+    hits = _prefix_hits(addresses.select(F.col(ip).alias("_ip")), prefixes,
+                        ["country", "country_name", "asn", "org"])
+    longest = -F.col("_bits")
+    named = F.when(F.coalesce("country", F.lit("")) != "", longest)
+    best = hits.groupBy(F.col("_ip").alias(ip)).agg(
+        F.min_by(F.struct("country", "country_name"), named).alias("_c"),
+        F.min_by(F.struct("asn", "org"), F.when(F.col("asn").isNotNull(), longest)).alias("_a"))
+    return best.select(
+        ip, F.coalesce("_c.country", F.lit("")).alias("country"),
+        F.coalesce("_c.country_name", F.lit("")).alias("country_name"),
+        F.coalesce(F.col("_a.asn").cast("bigint"), F.lit(0)).alias("asn"),
+        F.coalesce("_a.org", F.lit("")).alias("org"))
+
+
+def _with_facts(df: DataFrame, ip: str, prefixes: DataFrame, wanted: dict[str, Column]) -> DataFrame:
+    addresses = df.select(F.col(ip).alias("_ip")).where(F.col(ip).isNotNull()).distinct()
+    facts = prefix_facts(addresses, "_ip", prefixes).select("_ip", *wanted)
+    joined = df.join(facts, df[ip] == facts["_ip"], "left").drop("_ip")
+    return joined.withColumns({c: F.coalesce(c, default) for c, default in wanted.items()})
+
+
 def geo_lookup(df: DataFrame, ip: str, prefixes: DataFrame) -> DataFrame:
     """Add `country` and `country_name` of the longest matching prefix; empty when unknown."""
-    known = prefixes.where(F.coalesce("country", F.lit("")) != "")
-    return (prefix_match(df, ip, known, ["country", "country_name"], "_geo")
-            .withColumn("country", F.coalesce("_geo.country", F.lit("")))
-            .withColumn("country_name", F.coalesce("_geo.country_name", F.lit(""))).drop("_geo"))
+    return _with_facts(df, ip, prefixes, {"country": F.lit(""), "country_name": F.lit("")})
 
 
 def asn_lookup(df: DataFrame, ip: str, prefixes: DataFrame) -> DataFrame:
     """Add `asn` (0 when unknown) and `org` of the longest matching prefix."""
-    known = prefixes.where(F.col("asn").isNotNull())
-    return (prefix_match(df, ip, known, ["asn", "org"], "_asn")
-            .withColumn("asn", F.coalesce(F.col("_asn.asn").cast("bigint"), F.lit(0)))
-            .withColumn("org", F.coalesce("_asn.org", F.lit(""))).drop("_asn"))
+    return _with_facts(df, ip, prefixes, {"asn": F.lit(0).cast("bigint"), "org": F.lit("")})
 
 
 _HIT = ["value", "kind", "source", "category"]

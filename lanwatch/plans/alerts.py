@@ -11,8 +11,9 @@ from ..functions import tables
 from ..functions.alerting import ALERT_COLUMNS, at_least, cat
 from ..functions.moments import in_quiet_hours
 from ..functions.net import is_private_ip, is_valid_ip, lookup
-from ..operators.lookup import asn_lookup, geo_lookup
+from ..operators.lookup import prefix_facts
 from ..operators.suppress import cooldown
+from .lineage import cut
 
 MUTE_SECONDS = 7 * 86400
 
@@ -81,8 +82,7 @@ def enrich(alerts: DataFrame, prefixes: DataFrame) -> DataFrame:
     """
     hosts = alerts.select(F.explode(F.array("related_host", "affected_host")).alias("ip")).distinct()
     public = hosts.where(is_valid_ip(F.col("ip")) & ~is_private_ip(F.col("ip")))
-    known = asn_lookup(geo_lookup(public, "ip", prefixes), "ip", prefixes).where(
-        (F.col("country") != "") | (F.col("asn") != 0))
+    known = prefix_facts(public, "ip", prefixes).where((F.col("country") != "") | (F.col("asn") != 0))
     name = F.when(F.col("country_name") != "", F.col("country_name")).otherwise(F.col("country"))
     has_country, has_asn = F.col("country") != "", F.col("asn") != 0
     facts = known.select(
@@ -131,17 +131,17 @@ def process(alerts: DataFrame, cfg: Config = Config(), prefixes: DataFrame | Non
     through the same steps once and are never correlated again."""
     from .incidents import incidents
 
-    def steps(df: DataFrame) -> DataFrame:
+    def fire(df: DataFrame) -> DataFrame:
         out = quiet_hours(df, cfg)
         if mutes is not None:
             out = apply_mutes(out, mutes)
-        out = dedup(out, history)
-        return enrich(out, prefixes) if prefixes is not None else out
+        return cut(dedup(out, history))
 
-    fired = steps(alerts)
-    if not correlate:
-        return fired
-    return fired.unionByName(steps(incidents(fired, cfg)))
+    fired = fire(alerts)
+    if correlate:
+        # Enrichment changes nothing that correlation looks at, so it runs once, at the end.
+        fired = fired.unionByName(fire(incidents(fired, cfg)))
+    return enrich(fired, prefixes) if prefixes is not None else fired
 
 
 def search(alerts: DataFrame, since_us: int | None = None, severity: str | None = None,

@@ -1,0 +1,24 @@
+"""Cutting long plans at a reliable checkpoint."""
+
+from __future__ import annotations
+
+import tempfile
+
+from pyspark.sql import DataFrame
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Materialise `df` in the checkpoint folder, so later steps neither recompute nor replan it.
+
+    The cluster names the folder in `spark.checkpoint.dir`. A folder of our own is made only where
+    that is unset and Spark runs in one local process, as in tests.
+    """
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not sc.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
+            folder = tempfile.mkdtemp(prefix="lanwatch-")
+        sc.setCheckpointDir(folder)
+    return df.checkpoint()

@@ -75,6 +75,10 @@ def _ends() -> Column:
                               F.col("related_host"))
 
 
+def _confidence() -> Column:
+    return F.round(F.col("confidence").cast("double"), 3)
+
+
 def _filled(c: Column) -> Column:
     return F.nullif(c, F.lit(""))
 
@@ -101,7 +105,7 @@ def to_ecs(alerts: DataFrame, version: str = "1.0.0", product: str = PRODUCT) ->
         F.struct(F.lit(product).alias("vendor"), F.lit(product).alias("product"),
                  F.lit("ids").alias("type"), F.lit(version).alias("version")).alias("observer"),
         F.struct(F.col("category").alias("name"), F.lit(product).alias("ruleset")).alias("rule"),
-        F.struct(F.round("confidence", 3).alias("confidence"), "confidence_rationale",
+        F.struct(_confidence().alias("confidence"), "confidence_rationale",
                  "recommended_action", "dedup_key", extra.alias("extra")).alias(product),
         F.when(src.isNotNull(), F.struct(src.alias("ip"), mac.alias("mac"))).alias("source"),
         F.when(src.isNotNull(), F.struct(F.col("affected_host").alias("ip"),
@@ -133,7 +137,7 @@ def to_cef(alerts: DataFrame, version: str = "1.0.0", product: str = PRODUCT) ->
     pairs = [("externalId", F.col("alert_id")), ("rt", iso_utc(F.col("us"))), ("cat", F.col("category")),
              ("src", _filled(F.col("_e.ip"))), ("smac", _filled(F.col("_e.mac"))),
              ("dst", _filled(F.col("_e.dest"))), ("msg", _filled(F.col("description"))),
-             ("cn1", F.round("confidence", 3).cast("string")), ("cn1Label", F.lit("confidence")),
+             ("cn1", _confidence().cast("string")), ("cn1Label", F.lit("confidence")),
              ("cs1", action), ("cs1Label", F.when(action.isNotNull(), "recommendedAction"))]
     body = F.concat_ws(" ", *[F.concat(F.lit(f"{k}="), _cef_value(v)) for k, v in pairs])
     return df.select("alert_id", F.concat(header, F.lit("|"), body).alias("value"))
@@ -175,7 +179,7 @@ def to_otlp(alerts: DataFrame, host: str = "", version: str = "1.0.0", product:
         attribute("event.action", F.col("category")), attribute("event.severity", F.col("severity")),
         attribute("source.ip", F.col("_e.ip")), attribute("source.mac", F.col("_e.mac")),
         attribute("destination.ip", F.col("_e.dest")),
-        attribute(f"{product}.confidence", nothing, F.round("confidence", 3)),
+        attribute(f"{product}.confidence", nothing, _confidence()),
         attribute(f"{product}.confidence_rationale", F.col("confidence_rationale")),
         attribute(f"{product}.recommended_action", F.col("recommended_action")),
         attribute(f"{product}.dedup_key", F.col("dedup_key")),
@@ -201,7 +205,7 @@ def alert_json(extra: bool = True) -> Column:
     return F.struct(
         "alert_id", iso_utc(F.col("us")).alias("timestamp"), "severity", "category", "affected_host",
         "affected_mac", "related_host", "title", "description", "recommended_action",
-        F.round("confidence", 3).alias("confidence"), "confidence_rationale", "dedup_key",
+        _confidence().alias("confidence"), "confidence_rationale", "dedup_key",
         F.try_parse_json("extra").alias("extra"))
 
 
