@@ -17,7 +17,7 @@ def from_us(c: Column) -> Column:
 
 
 def hour_of_day(us: Column) -> Column:
-    return (F.floor(us / _HOUR) % 24).cast("int")
+    return F.pmod(F.floor(us / _HOUR), F.lit(24)).cast("int")
 
 
 def weekday(us: Column) -> Column:

@@ -86,4 +86,4 @@ def new_in_snapshot(df: DataFrame, keys: list[str], snapshot: str,
     rows = df.dropDuplicates([*keys, snapshot])
     now = rows.join(before.where(F.col("_prev").isNotNull()), snapshot)
     last = rows.select(*keys, F.col(snapshot).alias("_prev"))
-    return now.join(last, [*keys, "_prev"], "left_anti").drop("_prev")
+    return now.join(last, [*keys, "_prev"], "left_anti").select(*df.columns)

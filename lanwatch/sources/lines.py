@@ -83,36 +83,33 @@ def ingest_auth_log(lines: DataFrame, year: int, now_us: int | None = None) -> D
     Lines carry no year: `year` is used, and one year less when that lies after `now_us`.
     """
     p = tables.AUTH_PATTERNS
-    rows = lines.withColumn("line", F.trim("value"))
-    line = F.col("line")
-
-    def has(kind: str) -> Column:
-        return line.rlike(p[kind])
-
-    def group(kind: str, n: int) -> Column:
-        return F.regexp_extract(line, p[kind], n)
-
-    failed = F.when(has("ssh_failure"), F.lit("ssh_failure")).when(has("ssh_invalid_user"), "ssh_invalid_user")
-    rows = rows.withColumn("_k", F.coalesce(
-        failed, F.when(has("ssh_success"), "ssh_success").when(has("sudo"), "sudo")
-        .when(has("sudo_failure"), "sudo_failure").when(has("new_user"), "new_user")))
-    k = F.col("_k")
-
-    def pick(n: int, kinds: list[str]) -> Column:
-        return reduce(lambda c, kind: c.when(k == kind, group(kind, n)), kinds[1:],
-                      F.when(k == kinds[0], group(kinds[0], n)))
-
-    def at(y: int) -> Column:
-        text = F.concat(F.lit(f"{y} "), F.regexp_replace(F.substring(line, 1, 15), " +", " "))
-        return to_us(F.try_to_timestamp(text, F.lit("yyyy MMM d HH:mm:ss")))
-
-    us = at(year) if now_us is None else F.when(at(year) > now_us, at(year - 1)).otherwise(at(year))
     logins = ["ssh_failure", "ssh_invalid_user", "ssh_success"]
-    out = rows.where(k.isNotNull()).select(
-        *[c for c in lines.columns if c != "value"], us.alias("us"),
-        F.when(k == "ssh_invalid_user", "ssh_failure").otherwise(k).alias("event_kind"),
-        pick(1, logins + ["new_user"]).alias("usr"), pick(2, logins).alias("src_ip"),
-        F.when(k == "sudo", group("sudo", 1)).alias("command"), "line")
+
+    def parse(line: Column) -> Column:
+        # Tested in this order; the first matching pattern decides.
+        kind = reduce(lambda c, k: c.when(line.rlike(p[k]), k), [k for k in p if k != "ssh_failure"],
+                      F.when(line.rlike(p["ssh_failure"]), "ssh_failure"))
+        return F.struct(line.alias("line"), kind.alias("kind"))
+
+    def detail(row: Column) -> Column:
+        line, kind = row["line"], row["kind"]
+
+        def group(n: int, kinds: list[str]) -> Column:
+            cases = [(kind == k, F.regexp_extract(line, p[k], n)) for k in kinds]
+            return reduce(lambda c, case: c.when(*case), cases[1:], F.when(*cases[0]))
+
+        def at(y: int) -> Column:
+            text = F.concat(F.lit(f"{y} "), F.regexp_replace(F.substring(line, 1, 15), " +", " "))
+            return to_us(F.try_to_timestamp(text, F.lit("yyyy MMM d HH:mm:ss")))
+
+        us = at(year) if now_us is None else F.when(at(year) > now_us, at(year - 1)).otherwise(at(year))
+        return F.struct(
+            us.alias("us"), F.when(kind == "ssh_invalid_user", "ssh_failure").otherwise(kind).alias("event_kind"),
+            group(1, logins + ["new_user"]).alias("usr"), group(2, logins).alias("src_ip"),
+            group(1, ["sudo"]).alias("command"), line.alias("line"))
+
+    known = F.filter(F.transform(F.array(F.trim("value")), parse), lambda r: r["kind"].isNotNull())
+    out = lines.select(*[c for c in lines.columns if c != "value"], F.inline(F.transform(known, detail)))
     return out if "event_id" in out.columns else out.withColumn("event_id", F.xxhash64("us", "line"))
 
 
@@ -221,27 +218,29 @@ def ingest_sensor_alerts(messages: DataFrame, received_us: Column) -> DataFrame:
     or zero confidence 1.0. Messages without an alert object drop out.
     """
     from ..functions.alerting import ALERT_COLUMNS, default_dedup_key
-    rows = messages.withColumn("_m", F.from_json("value", SENSOR_MESSAGE)).withColumn("_at", received_us)
-    rows = rows.where(F.col("_m.alert").isNotNull())
-    a = F.col("_m.alert")
-
-    def text(name: str) -> Column:
-        return F.coalesce(a[name], F.lit(""))
-
-    category = F.when(a["category"].isin(tables.CATEGORIES), a["category"]).otherwise("system")
-    conf = a["confidence"].try_cast("double")
-    us = to_us(a["timestamp"].try_cast("timestamp"))
-    fallback_id = F.sha2(F.col("value"), 256)
-    return rows.select(
-        F.coalesce(F.nullif(a["alert_id"], F.lit("")), fallback_id).alias("alert_id"),
-        F.coalesce(us, F.col("_at")).alias("us"),
-        F.when(a["severity"].isin(tables.SEVERITIES), a["severity"]).otherwise("info").alias("severity"),
-        category.alias("category"),
-        *[text(c).alias(c) for c in ("affected_host", "affected_mac", "related_host", "title",
-                                     "description", "recommended_action")],
-        F.when(F.coalesce(conf, F.lit(0.0)) != 0, conf).otherwise(1.0).alias("confidence"),
-        text("confidence_rationale").alias("confidence_rationale"),
-        default_dedup_key(a["dedup_key"], category, text("affected_host"), text("title")).alias("dedup_key"),
-        F.lit("new").alias("status"), F.coalesce(a["extra"], F.lit("{}")).alias("extra"),
-        F.coalesce(F.nullif("_m.sensor_id", F.lit("")), F.lit("unknown")).alias("sensor"),
-    ).select(*ALERT_COLUMNS)
+
+    def fields(message: Column) -> Column:
+        a = message["alert"]
+
+        def text(name: str) -> Column:
+            return F.coalesce(a[name], F.lit(""))
+
+        category = F.when(a["category"].isin(tables.CATEGORIES), a["category"]).otherwise("system")
+        conf = a["confidence"].try_cast("double")
+        return F.struct(
+            F.nullif(a["alert_id"], F.lit("")).alias("alert_id"),
+            to_us(a["timestamp"].try_cast("timestamp")).alias("us"),
+            F.when(a["severity"].isin(tables.SEVERITIES), a["severity"]).otherwise("info").alias("severity"),
+            category.alias("category"),
+            *[text(c).alias(c) for c in ("affected_host", "affected_mac", "related_host", "title",
+                                         "description", "recommended_action", "confidence_rationale")],
+            F.when(F.coalesce(conf, F.lit(0.0)) != 0, conf).otherwise(1.0).alias("confidence"),
+            default_dedup_key(a["dedup_key"], category, text("affected_host"), text("title")).alias("dedup_key"),
+            F.lit("new").alias("status"), F.coalesce(a["extra"], F.lit("{}")).alias("extra"),
+            F.coalesce(F.nullif(message["sensor_id"], F.lit("")), F.lit("unknown")).alias("sensor"))
+
+    parsed = F.filter(F.array(F.from_json("value", SENSOR_MESSAGE)), lambda m: m["alert"].isNotNull())
+    rows = messages.select(received_us.alias("_at"), F.col("value").alias("_raw"),
+                           F.inline(F.transform(parsed, fields)))
+    return rows.withColumn("us", F.coalesce("us", "_at")).withColumn(
+        "alert_id", F.coalesce("alert_id", F.sha2("_raw", 256))).select(*ALERT_COLUMNS)

@@ -30,21 +30,22 @@ def auth_rules(auth: DataFrame, cfg: Config = Config()) -> DataFrame:
         new_account(auth, cfg))
 
 
-def without_duplicates(events: DataFrame, keys: list[str], lateness: str = "2 minutes") -> DataFrame:
-    """Drop repeated deliveries of an event inside the watermark. `events` has `ts`."""
-    return events.withWatermark("ts", lateness).dropDuplicatesWithinWatermark(keys)
+# The functions below keep state; their input carries a watermark on `ts`, as `stream_events` sets it.
 
+def without_duplicates(events: DataFrame, keys: list[str]) -> DataFrame:
+    """Drop repeated deliveries of an event inside the watermark."""
+    return events.dropDuplicatesWithinWatermark(keys)
 
-def connection_counts(conn: DataFrame, every: str = "60 seconds", lateness: str = "2 minutes") -> DataFrame:
+
+def connection_counts(conn: DataFrame, every: str = "60 seconds") -> DataFrame:
     """Connections per source and tumbling interval."""
-    return (conn.withWatermark("ts", lateness).groupBy(F.window("ts", every), "src_ip")
+    return (conn.groupBy(F.window("ts", every), "src_ip")
             .agg(F.count("*").alias("n"))
             .select("src_ip", F.unix_micros("window.start").alias("us"), "n"))
 
 
-def flow_sessions(conn: DataFrame, idle: str = "3600 seconds", lateness: str = "2 minutes") -> DataFrame:
+def flow_sessions(conn: DataFrame, idle: str = "3600 seconds") -> DataFrame:
     """Activity sessions per flow: a flow idle for longer starts anew."""
-    return (conn.withWatermark("ts", lateness)
-            .groupBy(F.session_window("ts", idle), "src_ip", "dst_ip", "dst_port")
+    return (conn.groupBy(F.session_window("ts", idle), "src_ip", "dst_ip", "dst_port")
             .agg(F.count("*").alias("events"), F.min("us").alias("first"), F.max("us").alias("last"))
             .drop("session_window"))

@@ -38,9 +38,8 @@ class _BucketCounter(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         for batch in rows:
-            self.rows.appendList(list(batch[["us", "event_id", "value", "_own"]]
-                                      .astype({"us": int, "event_id": int, "value": object, "_own": bool})
-                                      .itertuples(index=False, name=None)))
+            self.rows.appendList([(int(u), int(e), v, bool(o)) for u, e, v, o in zip(
+                batch["us"], batch["event_id"], batch["value"], batch["own"])])
         self.handle.registerTimer((int(key[-1]) + 1) * self.width // 1000 + 1)
         yield from ()
 
@@ -73,10 +72,10 @@ def sliding_distinct_stream(events: DataFrame, keys: list[str], value: str, wind
     State is kept per (key, time bucket), so a busy key is spread over tasks here too.
     """
     rows = with_lookback(events.select("ts", "us", "event_id", *keys, F.col(value).cast("string").alias("value")),
-                         window_us)
+                         window_us).withColumnsRenamed({"_own": "own", "_bucket": "bucket"})
     fields = ", ".join(f"{k} {t}" for k, t in rows.select(*keys).dtypes)
     schema = f"{fields}, us bigint, event_id bigint, value string, n_distinct bigint"
-    return rows.groupBy(*keys, "_bucket").transformWithStateInPandas(
+    return rows.groupBy(*keys, "bucket").transformWithStateInPandas(
         statefulProcessor=_BucketCounter(window_us, keys), outputStructType=schema,
         outputMode="append", timeMode="eventTime")
 
