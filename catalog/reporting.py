@@ -150,7 +150,7 @@ _NOW2 = START + 30 * 86400 * 1_000_000 - 3600 * 1_000_000
 _FRESH = duck(f"""select sensor, max(us) last_event, round(({_NOW2} - max(us)) / 1000000, 1)::double age_seconds, ({_NOW2} - max(us)) / 1000000 >= 1200 stale, '' last_error
  from conn where us < {_NOW2} group by 1
  union all select concat('feed-', sensor), max(us) filter (dst_port != 443), round(({_NOW2} - max(us) filter (dst_port != 443)) / 1000000, 1),
- ({_NOW2} - max(us) filter (dst_port != 443)) / 1000000 >= 32400, 'e443' from conn where event_id % 50 = 0 group by 1""", "conn")
+ ({_NOW2} - max(us) filter (dst_port != 443)) / 1000000 >= 32400, case when bool_or(dst_port = 443) then 'e443' end from conn where event_id % 50 = 0 group by 1""", "conn")
 
 ENTRIES = {
     "alerts_by_severity": (_severity, _SEVERITY), "sensor_rollup": (_sensors, _SENSORS), "top_hosts_domains": (_top, _TOP),

@@ -4,6 +4,10 @@ Whether a row is kept depends on the last row kept before it, so a key's rows fo
 a whole key in one task would not survive a busy key. `cooldown` therefore cuts every key into time
 blocks, summarises each block by what it does to "time of the last kept row" (a short step
 function), walks those summaries per key, and then picks rows in all blocks in parallel.
+
+Keys with a block too full for that (counted first) take another exact way: their chains advance
+together, one kept row per key and round, and each round is a minimum that Spark reduces before
+the shuffle. So no task ever holds the rows of a busy key.
 """
 
 from __future__ import annotations
@@ -19,6 +23,7 @@ from pyspark.sql.types import (ArrayType, BooleanType, DoubleType, IntegerType,
                                StructField, StructType)
 
 from ..config import SECOND, Adaptive
+from .lineage import cut, work_folder
 
 # Python workers get these functions by value, so the package need not be installed on them.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -26,6 +31,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 _LONGS = ArrayType(LongType())
 
 BLOCK_COOLDOWNS = 16  # block length in cooldowns: at most 17 kept rows per block
+MAX_BLOCK_ROWS = 250_000  # rows of one key in one block that a task may hold
 _NEVER = -(2 ** 62)
 
 
@@ -88,12 +94,15 @@ def _pick(ts: pd.Series, quiet: pd.Series, entry: pd.Series, strict: pd.Series)
 
 
 def cooldown(df: DataFrame, keys: str | list[str], seconds: int | Column, *, ts: str = "us",
-             tie: str = "event_id", strict: bool = False, longest: int | None = None) -> DataFrame:
+             tie: str = "event_id", strict: bool = False, longest: int | None = None,
+             max_block_rows: int | None = None) -> DataFrame:
     """Keep a row only if `seconds` have passed since the last kept row of its key.
 
     `seconds` may be a column (per-row cooldown); `longest` is then its upper bound. With `strict`
     the wait must be longer than the cooldown; a row exactly at the limit is dropped but restarts
     the wait. A cooldown of 0 keeps every row, which also works on a stream.
+
+    The candidate rows are written once (see `lineage`), since their sizes decide the way.
     """
     if isinstance(seconds, int) and seconds == 0:
         return df
@@ -101,15 +110,28 @@ def cooldown(df: DataFrame, keys: str | list[str], seconds: int | Column, *, ts:
     longest = seconds if longest is None else longest
     quiet = seconds * SECOND if isinstance(seconds, Column) else F.lit(int(seconds * SECOND))
     width = longest * SECOND * BLOCK_COOLDOWNS
-    key = F.struct(*keys)
-    blocks = (df.select(key.alias("_key"), F.floor(F.col(ts) / width).cast("bigint").alias("_blk"),
-                        F.struct(F.col(ts).alias("ts"), F.col(tie).alias("tie"),
-                                 quiet.cast("bigint").alias("quiet"),
-                                 F.struct(*df.columns).alias("row")).alias("_r"))
+    rows = cut(df.select(
+        F.struct(*keys).alias("_key"), F.col(ts).alias("_ts"), F.col(tie).alias("_tie"),
+        quiet.cast("bigint").alias("_quiet"), F.struct(*df.columns).alias("row")).where("_ts is not null"))
+    blocks = rows.withColumn("_blk", F.floor(F.col("_ts") / width).cast("bigint"))
+    full = (blocks.groupBy("_key", "_blk").agg(F.count("*").alias("_n"))
+            .where(F.col("_n") > (max_block_rows or MAX_BLOCK_ROWS)).select("_key").distinct())
+    if full.isEmpty():
+        return _by_blocks(blocks, strict).select("row.*")
+    busy = cut(full)
+    calm = blocks.join(busy, "_key", "left_anti")
+    hot = rows.join(busy, "_key", "left_semi")
+    return (_by_blocks(calm, strict).unionByName(_by_rounds(hot, longest * SECOND, strict))
+            .select("row.*"))
+
+
+def _by_blocks(rows: DataFrame, strict: bool) -> DataFrame:
+    """Kept rows of keys whose blocks are small: summarise blocks, walk them, pick."""
+    blocks = (rows.select("_key", "_blk", F.struct("_ts", "_tie", "_quiet", "row").alias("_r"))
               .where("_blk is not null")  # the join below would infer it for one branch only
               .groupBy("_key", "_blk").agg(F.sort_array(F.collect_list("_r")).alias("_rows")))
     steps = blocks.select("_key", "_blk", _block_steps(
-        F.col("_rows.ts"), F.col("_rows.quiet")).alias("_s"))
+        F.col("_rows._ts"), F.col("_rows._quiet")).alias("_s"))
     walked = (steps.groupBy("_key")
               .agg(F.sort_array(F.collect_list(F.struct("_blk", "_s.upto", "_s.last"))).alias("_b"))
               .select("_key", F.explode(F.arrays_zip(
@@ -117,11 +139,42 @@ def cooldown(df: DataFrame, keys: str | list[str], seconds: int | Column, *, ts:
                   _walk(F.col("_b.upto"), F.col("_b.last")).alias("entry"))).alias("_e"))
               .select("_key", F.col("_e.blk").alias("_blk"), F.col("_e.entry").alias("_entry")))
     picked = (blocks.join(walked, ["_key", "_blk"])
-              .withColumn("_at", _pick(F.col("_rows.ts"), F.col("_rows.quiet"), "_entry",
+              .withColumn("_at", _pick(F.col("_rows._ts"), F.col("_rows._quiet"), "_entry",
                                        F.lit(strict))))
     # The outer form keeps the optimizer from running the Python function once more as a filter.
     return (picked.select("_rows", F.explode_outer("_at").alias("_i")).where("_i is not null")
-            .select(F.element_at("_rows", F.col("_i"))["row"].alias("row")).select("row.*"))
+            .select(F.element_at("_rows", F.col("_i"))["row"].alias("row")))
+
+
+def _by_rounds(rows: DataFrame, longest: int, strict: bool) -> DataFrame:
+    """Kept rows of busy keys, one chain row per key and round.
+
+    Rows lie in time cells of one cooldown. A small table knows per (key, cell) how late an earlier
+    row its rows can follow, so a round reads only the cell that holds the next row.
+    """
+    spark = rows.sparkSession
+    reach = F.col("_ts") - F.col("_quiet")
+    table = cut(rows.withColumn("_cell", F.floor(F.col("_ts") / longest).cast("bigint")), ["_cell"])
+    cells = cut(table.groupBy("_key", "_cell").agg(F.max(reach).alias("_reach")))
+    state = cells.select("_key").distinct().withColumn("_last", F.lit(_NEVER).cast("bigint"))
+    chain, turn = work_folder(spark), 0
+    while True:
+        cell = (state.join(cells, "_key").where(F.col("_reach") >= F.col("_last"))
+                .groupBy("_key", "_last").agg(F.min("_cell").alias("_cell")))
+        step = (table.select("_key", "_cell", "_ts", "_tie", "_quiet").join(cell, ["_key", "_cell"])
+                .where(reach >= F.col("_last")).groupBy("_key", "_last")
+                .agg(F.min(F.struct("_ts", "_tie", "_quiet")).alias("_r"))
+                .select("_key", "_last", "_r.*"))
+        path = f"{chain}/turn={turn}"
+        step.write.parquet(path)
+        step = spark.read.schema(step.schema).parquet(path)
+        if step.isEmpty():
+            break
+        state, turn = step.select("_key", F.col("_ts").alias("_last")), turn + 1
+    kept = spark.read.schema(step.schema).parquet(*[f"{chain}/turn={i}" for i in range(turn)])
+    if strict:
+        kept = kept.where(reach > F.col("_last"))
+    return table.join(kept.select("_key", "_ts", "_tie"), ["_key", "_ts", "_tie"], "left_semi").select("row")
 
 
 def adaptive_cooldown(df: DataFrame, host: str, count: str, base: float, seconds: int,

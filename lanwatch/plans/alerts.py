@@ -13,7 +13,7 @@ from ..functions.moments import in_quiet_hours
 from ..functions.net import is_private_ip, is_valid_ip, lookup
 from ..operators.lookup import prefix_facts
 from ..operators.suppress import cooldown
-from .lineage import cut
+from ..operators.lineage import cut
 
 MUTE_SECONDS = 7 * 86400
 

@@ -66,6 +66,18 @@ def test_cooldown_of_a_dense_key_crosses_many_blocks(spark):
     assert got == greedy(data, 10 * S)
 
 
+@pytest.mark.parametrize("strict", [False, True])
+def test_busy_keys_advance_in_rounds(spark, strict):
+    r = random.Random(11)
+    data = [(i, "a" if i % 20 else "bc"[i % 2], r.randrange(900) * S, r.choice([20, 60, 120])) for i in range(2000)]
+    df = spark.createDataFrame(data, "event_id long, k string, us long, q int")
+    whole = cooldown(df, "k", F.col("q"), strict=strict, longest=120)
+    split = cooldown(df, "k", F.col("q"), strict=strict, longest=120, max_block_rows=100)
+    assert sorted(whole.collect()) == sorted(split.collect()) and split.count() > 20
+    every = cooldown(df, ["k"], 30, max_block_rows=1)
+    assert {x.event_id for x in every.collect()} == greedy([(i, k, None, us) for i, k, us, _ in data], 30 * S)
+
+
 def test_cooldown_ignores_input_order(spark):
     data = events(5)
     df = spark.createDataFrame(data, SCHEMA)
