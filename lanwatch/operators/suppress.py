@@ -32,6 +32,7 @@ _LONGS = ArrayType(LongType())
 
 BLOCK_COOLDOWNS = 16  # block length in cooldowns: at most 17 kept rows per block
 MAX_BLOCK_ROWS = 250_000  # rows of one key in one block that a task may hold
+MAX_RUN_ROWS = 20_000_000  # rows of one host's busy stretch that one task streams
 _NEVER = -(2 ** 62)
 
 
@@ -179,34 +180,87 @@ def _by_rounds(rows: DataFrame, longest: int, strict: bool) -> DataFrame:
 
 def adaptive_cooldown(df: DataFrame, host: str, count: str, base: float, seconds: int,
                       adaptive: Adaptive, *, pair: str | None = None, ts: str = "us",
-                      tie: str = "event_id") -> DataFrame:
+                      tie: str = "event_id", max_run_rows: int | None = None) -> DataFrame:
     """Cooldown whose threshold grows while a host keeps alerting; adds `threshold`.
 
     `df` holds candidates with `count` >= `base` (the multiplier never falls below 1). The cooldown
     runs per (host, `pair`) where `pair` is given, else per host; trips count per host, and a trip
     counts up to and including the edge of the trip window.
 
-    The state is a list of recent trips, so candidates are read in time order. They are cut at
+    The state is a list of recent trips, so candidates are taken in time order. They are cut at
     every quiet span longer than the memory, which makes the stretches independent; a stretch is
-    streamed in batches with constant memory, never collected.
+    streamed in batches with constant memory, never collected. Hosts with an overfull stretch
+    advance in rounds, unless each of their pairs has a cooldown of its own.
     """
     if not adaptive.enabled:
         return (cooldown(df, [host] + ([pair] if pair else []), seconds, ts=ts, tie=tie)
                 .withColumn("threshold", F.lit(float(base))))
     memory = max(seconds, adaptive.window) * SECOND
-    cells = (df.groupBy(host, F.floor(F.col(ts) / memory).cast("bigint").alias("_cell"))
-             .agg(F.count("*").alias("_n")))
+    rows = cut(df).withColumn("_cell", F.floor(F.col(ts) / memory).cast("bigint"))
     order = Window.partitionBy(host).orderBy("_cell")
     gap = F.col("_cell") - F.lag("_cell").over(order) > 1  # a whole empty cell: memory has expired
-    busy = (cells.withColumn("_new", F.when(gap, 1).otherwise(0))
-            .withColumn("_run", F.sum("_new").over(order)).select(host, "_cell", "_run"))
-    rows = df.withColumn("_cell", F.floor(F.col(ts) / memory).cast("bigint"))
-    ordered = (rows.join(busy, [host, "_cell"]).drop("_cell").repartition(host, "_run")
+    runs = (rows.groupBy(host, "_cell").agg(F.count("*").alias("_n"))
+            .withColumn("_new", F.when(gap, 1).otherwise(0))
+            .withColumn("_run", F.sum("_new").over(order)).select(host, "_cell", "_run", "_n"))
+    fired = None
+    if pair is None:
+        full = (runs.groupBy(host, "_run").agg(F.sum("_n").alias("_n"))
+                .where(F.col("_n") > (max_run_rows or MAX_RUN_ROWS)).select(host).distinct())
+        if not full.isEmpty():
+            busy = cut(full)
+            fired = _adaptive_rounds(rows.drop("_cell").join(busy, host, "left_semi"), host, count, base,
+                                     seconds * SECOND, adaptive, ts, tie)
+            rows = rows.join(busy, host, "left_anti")
+    ordered = (rows.join(runs.drop("_n"), [host, "_cell"]).drop("_cell").repartition(host, "_run")
                .sortWithinPartitions(host, "_run", ts, tie))
     schema = StructType(ordered.schema.fields + [StructField("threshold", DoubleType()),
                                                  StructField("_keep", BooleanType())])
     fold = _adaptive_fold(host, pair, count, base, seconds * SECOND, adaptive, ts)
-    return ordered.mapInPandas(fold, schema).filter("_keep").drop("_keep", "_run")
+    calm = ordered.mapInPandas(fold, schema).filter("_keep").drop("_keep", "_run").select(*df.columns, "threshold")
+    return calm if fired is None else calm.unionByName(fired.select(*df.columns, "threshold"))
+
+
+def _adaptive_rounds(rows: DataFrame, host: str, count: str, base: float, quiet: int, adaptive: Adaptive,
+                     ts: str, tie: str) -> DataFrame:
+    """Fired rows of busy hosts: every round looks at one time cell per host.
+
+    The first row of the cell that may fire is a minimum, reduced before the shuffle. A host whose
+    cell has none goes on to its next cell.
+    """
+    spark = rows.sparkSession
+    table = cut(rows.withColumn("_cell", F.floor(F.col(ts) / quiet).cast("bigint")), ["_cell"])
+    cells = cut(table.select(host, "_cell").distinct())
+    window = adaptive.window * SECOND
+    recent = F.size(F.filter("_trips", lambda t: t >= F.col(ts) - window))
+    extra = recent - adaptive.trips_before_backoff + 1
+    limit = base * F.when(extra < 1, 1.0).otherwise(
+        F.least(F.lit(float(adaptive.max_multiplier)), 1.0 + adaptive.step * extra))
+    state = cells.select(host).distinct().select(
+        host, F.lit(_NEVER).cast("bigint").alias("_last"), F.array().cast("array<bigint>").alias("_trips"),
+        F.lit(_NEVER).cast("bigint").alias("_from"))
+    chain, turn = work_folder(spark), 0
+    while True:
+        cell = (state.join(cells, host).where(F.col("_cell") >= F.col("_from"))
+                .groupBy(host, "_last", "_trips").agg(F.min("_cell").alias("_cell")))
+        hits = (table.select(host, "_cell", ts, tie, count).join(cell, [host, "_cell"])
+                .withColumn("threshold", limit)
+                .where((F.col(ts) >= F.col("_last") + quiet) & (F.col(count) >= F.col("threshold")))
+                .groupBy(host).agg(F.min(F.struct(ts, tie, "threshold")).alias("_hit")))
+        step = cell.join(hits, host, "left")
+        path = f"{chain}/turn={turn}"
+        step.write.parquet(path)
+        step = spark.read.schema(step.schema).parquet(path)
+        if step.isEmpty():
+            break
+        at = F.col(f"_hit.{ts}")
+        state, turn = step.select(
+            host, F.coalesce(at, "_last").alias("_last"),
+            F.when(at.isNull(), F.col("_trips")).otherwise(F.filter(
+                F.concat("_trips", F.array(at)), lambda t: t >= at - window)).alias("_trips"),
+            F.coalesce(F.floor((at + quiet) / quiet).cast("bigint"), F.col("_cell") + 1).alias("_from")), turn + 1
+    fired = (spark.read.schema(step.schema).parquet(*[f"{chain}/turn={i}" for i in range(turn)])
+             .where("_hit is not null").select(host, "_hit.*"))
+    return table.join(fired, [host, ts, tie])
 
 
 def _adaptive_fold(host, pair, count, base, quiet, adaptive: Adaptive, ts):

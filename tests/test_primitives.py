@@ -102,13 +102,15 @@ def test_cooldown_per_row_and_strict(spark, seed):
     assert got == kept
 
 
-@pytest.mark.parametrize("seed,paired", [(1, False), (2, False), (3, True)])
-def test_adaptive_cooldown_matches_replay(spark, seed, paired):
+@pytest.mark.parametrize("seed,paired,most", [(1, False, None), (2, False, 50), (3, True, None)])
+def test_adaptive_cooldown_matches_replay(spark, seed, paired, most):
     r = random.Random(seed)
     a = Adaptive(trips_before_backoff=3, window=200)
-    data = [(i, r.choice("aaab"), r.choice("xy"), r.randrange(6000) * S, r.randrange(10, 60)) for i in range(900)]
+    span = 6000 if most is None else 900
+    data = [(i, r.choice("aaab"), r.choice("xy"), r.randrange(span) * S, r.randrange(10, 60)) for i in range(900)]
     df = spark.createDataFrame(data, "event_id long, h string, p string, us long, n int")
-    got = {x.event_id: x.threshold for x in adaptive_cooldown(df, "h", "n", 10, 15, a, pair="p" if paired else None).collect()}
+    got = {x.event_id: x.threshold for x in adaptive_cooldown(df, "h", "n", 10, 15, a, pair="p" if paired else None,
+                                                                      max_run_rows=most).collect()}
     want, last, trips = {}, {}, {}
     for i, h, p, us, n in sorted(data, key=lambda x: (x[3], x[0])):
         key = (h, p if paired else 0)
