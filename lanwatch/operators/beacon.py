@@ -15,28 +15,41 @@ from .suppress import cooldown
 FLOW = ["src_ip", "dst_ip", "dst_port"]
 
 
+def _with_history(rows: DataFrame, cfg: Config) -> DataFrame:
+    """Cut flows into time buckets (`_b`) and put each bucket's missing history in front of it.
+
+    A bucket is one idle span long. The history is the flow's last events from the buckets before,
+    at most `beacon_history` of them, and is left out where an idle gap precedes the bucket. A flow
+    without such a gap has an event in every bucket, so that many buckets back are enough.
+    """
+    size = cfg.beacon_history
+    cut = rows.select("event_id", "us", *FLOW).withColumn(
+        "_b", F.floor(F.col("us") / (cfg.beacon_idle * SECOND)).cast("bigint"))
+    newest = Window.partitionBy(*FLOW, "_b").orderBy(F.desc("us"), F.desc("event_id"))
+    tails = (cut.withColumn("_rn", F.row_number().over(newest)).where(F.col("_rn") <= size)
+             .groupBy(*FLOW, "_b").agg(F.sort_array(F.collect_list(F.struct("us", "event_id"))).alias("_tail")))
+    starts = cut.groupBy(*FLOW, "_b").agg(F.min("us").alias("_start"))
+    before = Window.partitionBy(*FLOW).orderBy("_b").rowsBetween(-(size + 1), -1)
+    known = F.flatten(F.collect_list("_tail").over(before))
+    history = (tails.join(starts, [*FLOW, "_b"]).withColumn("_known", known).where(F.size("_known") > 0)
+               .where(F.col("_start") - F.element_at("_known", -1)["us"] <= cfg.beacon_idle * SECOND)
+               .select(*FLOW, "_b", F.inline(F.slice(
+                   "_known", F.greatest(F.lit(1), F.size("_known") - size + 1), size))))
+    return cut.withColumn("_own", F.lit(True)).unionByName(history.withColumn("_own", F.lit(False)))
+
+
 def flow_gaps(rows: DataFrame, cfg: Config) -> DataFrame:
     """Statistics of the gaps among a flow's last `beacon_history` events, per event.
 
-    A flow starts anew after `beacon_idle` seconds of silence. Flows are cut into time buckets as
-    long as a full history can last at most; the last history of a bucket is copied into the next,
-    so every bucket is complete by itself and a busy flow is spread over tasks.
+    A flow starts anew after `beacon_idle` seconds of silence.
     """
-    width = cfg.beacon_history * cfg.beacon_idle * SECOND
-    b = F.floor(F.col("us") / width).cast("bigint")
-    tail = Window.partitionBy(*FLOW, "_b").orderBy(F.desc("us"), F.desc("event_id"))
-    copies = F.when(F.col("_rn") <= cfg.beacon_history, F.array(F.lit(0), F.lit(1))).otherwise(
-        F.array(F.lit(0)))
-    cut = (rows.select("event_id", "us", *FLOW).withColumn("_b", b)
-           .withColumn("_rn", F.row_number().over(tail))
-           .withColumn("_copy", F.explode(copies)).withColumn("_b", F.col("_b") + F.col("_copy")))
+    cut = _with_history(rows, cfg)
     order = Window.partitionBy(*FLOW, "_b").orderBy("us", "event_id")
     gap = (F.col("us") - F.lag("us").over(order)) / SECOND
-    cut = (cut.withColumn("_gap", gap)
-           .withColumn("_run", F.sum(F.when(F.col("_gap") > cfg.beacon_idle, 1).otherwise(0)).over(
-               order.rowsBetween(Window.unboundedPreceding, 0))))
-    first = F.lag("us").over(Window.partitionBy(*FLOW, "_b", "_run").orderBy("us", "event_id")).isNull()
-    cut = cut.withColumn("_good", F.when(~first & (F.col("_gap") >= cfg.beacon_min_gap), F.col("_gap")))
+    cut = (cut.withColumn("_gap", gap).withColumn("_idle", F.col("_gap") > cfg.beacon_idle)
+           .withColumn("_run", F.sum(F.when(F.col("_idle"), 1).otherwise(0)).over(
+               order.rowsBetween(Window.unboundedPreceding, 0)))
+           .withColumn("_good", F.when(~F.col("_idle") & (F.col("_gap") >= cfg.beacon_min_gap), F.col("_gap"))))
     last = (Window.partitionBy(*FLOW, "_b", "_run").orderBy("us", "event_id")
             .rowsBetween(-(cfg.beacon_history - 2), 0))
     return (cut.withColumn("intervals", F.count("_good").over(last))
@@ -44,7 +57,7 @@ def flow_gaps(rows: DataFrame, cfg: Config) -> DataFrame:
             .withColumn("sd", F.stddev_pop("_good").over(last))
             .withColumn("shortest", F.min("_good").over(last))
             .withColumn("longest", F.max("_good").over(last))
-            .where("_copy = 0")
+            .where("_own")
             .select("event_id", "us", *FLOW, "intervals", "mean", "sd", "shortest", "longest"))
 
 

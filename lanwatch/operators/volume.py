@@ -10,6 +10,7 @@ from ..functions.moments import hour_of_day, weekday, z_score
 from .lookup import with_hostname
 from .scan import after_learning
 from .suppress import cooldown
+from .windows import earlier_moments, previous_value
 
 
 def connection_counts(conn: DataFrame, cfg: Config = Config()) -> DataFrame:
@@ -20,7 +21,10 @@ def connection_counts(conn: DataFrame, cfg: Config = Config()) -> DataFrame:
 
 
 def _scored(rows: DataFrame, keys: list[str], value: str, include_current: bool) -> DataFrame:
-    """Mean, deviation and size of the history per key, and the z-score of the current value."""
+    """Mean, deviation and size of the history per key, and the z-score of the current value.
+
+    A key has one row per poll here, so its window is bounded by time, not by traffic.
+    """
     past = Window.partitionBy(*keys).orderBy("us").rowsBetween(
         Window.unboundedPreceding, 0 if include_current else -1)
     v = F.col(value).cast("double")
@@ -66,21 +70,20 @@ def iface_rate(counters: DataFrame) -> DataFrame:
 
     A counter below its predecessor was reset; its own value is then the increase.
     """
-    order = Window.partitionBy("name").orderBy("us")
-    total = F.col("rx_bytes") + F.col("tx_bytes")
-    rows = (counters.withColumn("total", total).withColumn("_before", F.lag("total").over(order))
-            .withColumn("_at", F.lag("us").over(order)).where(F.col("_before").isNotNull()))
-    grown = F.when(F.col("total") >= F.col("_before"), F.col("total") - F.col("_before")).otherwise(
-        F.col("total"))
-    minutes = (F.col("us") - F.col("_at")) / (60 * SECOND)
+    rows = counters.select("name", "us", F.struct("us", (F.col("rx_bytes") + F.col("tx_bytes")).alias("total")).alias("_now"))
+    rows = previous_value(rows, "name", "_now", "_before", tie="us").where(F.col("_before").isNotNull())
+    total, last = F.col("_now.total"), F.col("_before.total")
+    minutes = (F.col("us") - F.col("_before.us")) / (60 * SECOND)
+    grown = F.when(total >= last, total - last).otherwise(total)
     return rows.select("name", "us", (grown / minutes).alias("bytes_per_minute"))
 
 
 def traffic_spike(rate: DataFrame, cfg: Config = Config()) -> DataFrame:
     """Interface rates far above the history before them."""
-    hits = after_learning(_scored(rate, ["name"], "bytes_per_minute", False)
-                          .where(_spike("bytes_per_minute", cfg.traffic_factor, cfg)), cfg)
     name, z, bpm = F.col("name"), F.col("z"), F.col("bytes_per_minute")
+    scored = earlier_moments(rate, "name", "bytes_per_minute", tie="us").withColumn(
+        "z", z_score(bpm, F.col("mean"), F.col("sd")))
+    hits = after_learning(scored.where(_spike("bytes_per_minute", cfg.traffic_factor, cfg)), cfg)
     return to_alerts(
         hits, category="traffic_spike", severity="medium", affected=name,
         confidence=F.least(F.lit(0.95), 0.5 + z * 0.1), dedup_key=cat("traffic_spike:", name),

@@ -125,3 +125,27 @@ def running_total(df: DataFrame, key: str, amount: str, out: str, ts: str = "us"
             .withColumn(out, F.col("_s0") + F.sum(amount).over(inside))
             .withColumn(f"{out}_rows", (F.col("_n0") + F.count("*").over(inside)).cast("bigint"))
             .drop("_b", "_s0", "_n0"))
+
+
+def earlier_moments(df: DataFrame, key: str, value: str, ts: str = "us", tie: str = "event_id",
+                    bucket_s: int = 86400) -> DataFrame:
+    """Add `samples`, `mean` and `sd` (population) of the key's earlier values, cut along time.
+
+    Values are taken relative to the key's overall mean, so that squares stay small.
+    """
+    centre = df.groupBy(key).agg(F.avg(value).alias("_mid"))
+    b = (df.join(centre, key).withColumn("_v", F.col(value) - F.col("_mid")).withColumn("_q", F.col("_v") * F.col("_v"))
+         .withColumn("_b", F.floor(F.col(ts) / (bucket_s * SECOND)).cast("bigint")))
+    sums = b.groupBy(key, "_b").agg(F.count("_v").alias("_n"), F.sum("_v").alias("_s"), F.sum("_q").alias("_sq"))
+    before = Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    carry = sums.select(key, "_b", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}0")
+                                     for c in ("_n", "_s", "_sq")])
+    inside = (Window.partitionBy(key, "_b").orderBy(ts, tie).rowsBetween(Window.unboundedPreceding, -1))
+    n = F.col("_n0") + F.count("_v").over(inside)
+    s = F.col("_s0") + F.coalesce(F.sum("_v").over(inside), F.lit(0.0))
+    q = F.col("_sq0") + F.coalesce(F.sum("_q").over(inside), F.lit(0.0))
+    out = b.join(carry, [key, "_b"]).withColumns({"samples": n, "_sum": s, "_squares": q})
+    mean = F.try_divide("_sum", "samples")
+    spread = F.greatest(F.lit(0.0), F.try_divide("_squares", "samples") - mean * mean)
+    return (out.withColumn("mean", mean + F.col("_mid")).withColumn("sd", F.coalesce(F.sqrt(spread), F.lit(0.0)))
+            .drop("_mid", "_v", "_q", "_b", "_n0", "_s0", "_sq0", "_sum", "_squares"))

@@ -69,13 +69,14 @@ def test_cooldown_of_a_dense_key_crosses_many_blocks(spark):
 @pytest.mark.parametrize("strict", [False, True])
 def test_busy_keys_advance_in_rounds(spark, strict):
     r = random.Random(11)
-    data = [(i, "a" if i % 20 else "bc"[i % 2], r.randrange(900) * S, r.choice([20, 60, 120])) for i in range(2000)]
+    data = [(i, "a" if i % 20 else "bc"[i % 2], r.randrange(400) * S, r.choice([20, 60, 120])) for i in range(800)]
     df = spark.createDataFrame(data, "event_id long, k string, us long, q int")
     whole = cooldown(df, "k", F.col("q"), strict=strict, longest=120)
     split = cooldown(df, "k", F.col("q"), strict=strict, longest=120, max_block_rows=100)
-    assert sorted(whole.collect()) == sorted(split.collect()) and split.count() > 20
-    every = cooldown(df, ["k"], 30, max_block_rows=1)
-    assert {x.event_id for x in every.collect()} == greedy([(i, k, None, us) for i, k, us, _ in data], 30 * S)
+    assert sorted(whole.collect()) == sorted(split.collect()) and split.count() >= 10
+    if strict:
+        every = cooldown(df, ["k"], 60, max_block_rows=1)
+        assert {x.event_id for x in every.collect()} == greedy([(i, k, None, us) for i, k, us, _ in data], 60 * S)
 
 
 def test_cooldown_ignores_input_order(spark):
@@ -106,7 +107,7 @@ def test_cooldown_per_row_and_strict(spark, seed):
 def test_adaptive_cooldown_matches_replay(spark, seed, paired, most):
     r = random.Random(seed)
     a = Adaptive(trips_before_backoff=3, window=200)
-    span = 6000 if most is None else 900
+    span = 6000 if most is None else 300
     data = [(i, r.choice("aaab"), r.choice("xy"), r.randrange(span) * S, r.randrange(10, 60)) for i in range(900)]
     df = spark.createDataFrame(data, "event_id long, h string, p string, us long, n int")
     got = {x.event_id: x.threshold for x in adaptive_cooldown(df, "h", "n", 10, 15, a, pair="p" if paired else None,
