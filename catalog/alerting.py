@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from lanwatch.config import Config, ResponseConfig
+from lanwatch.functions.names import once
 from lanwatch.plans import alerts as plans, incidents as inc, responses, scores
 from lanwatch.sources import sinks
 
@@ -78,7 +79,7 @@ def _enrich(spark, d):
     swapped = t.raised.withColumn("affected_host", F.when(_id() % 4 == 0, "203.0.113.6").otherwise(F.col("affected_host")))
     out = plans.enrich(swapped, t.prefixes)
     part = {n: F.get_json_object("extra", f"$.enrichment.{n}") for n in ("ip", "country", "country_name", "asn", "asn_org")}
-    return out.select("alert_id", "description", *[c.alias(n) for n, c in part.items()],
+    return once(out, _x=F.col("extra")).drop("extra").withColumnRenamed("_x", "extra").select("alert_id", "description", *[c.alias(n) for n, c in part.items()],
                       F.get_json_object("extra", "$.src_ip").alias("src_ip"))
 
 
@@ -231,14 +232,20 @@ _CEF = duck(f"""select alert_id, concat('<', 152 + case severity when 'info' the
   case when {_SWAP} then affected_host else related_host end dst from raised)""", "raised")
 
 
-def _paths(df, **paths):
-    return df.select("alert_id", *[F.get_json_object("value", p).alias(n) for n, p in paths.items()])
+def _fields(df, schema, **paths):
+    """Fields of JSON documents, each parsed once."""
+    doc = once(df, doc=F.from_json("value", schema))
+    return doc.select("alert_id", *[F.expr(f"doc.{p}").alias(n) for n, p in paths.items()])
+
+
+_ECS_DOC = ("`@timestamp` string, event struct<category: string, severity: string, action: string>, source struct<ip: string, mac: string>, "
+            "host struct<ip: string>, destination struct<ip: string>, lanwatch struct<confidence: string, extra: string>, log struct<level: string>")
 
 
 def _ecs(spark, d):
-    return _paths(sinks.to_ecs(Tables(spark, d).raised), ts="$.@timestamp", kind="$.event.category", sev="$.event.severity",
-                  action="$.event.action", src="$.source.ip", mac="$.source.mac", host="$.host.ip", dst="$.destination.ip",
-                  conf="$.lanwatch.confidence", extra="$.lanwatch.extra", level="$.log.level")
+    return _fields(sinks.to_ecs(Tables(spark, d).raised), _ECS_DOC, ts="`@timestamp`", kind="event.category", sev="event.severity",
+                   action="event.action", src="source.ip", mac="source.mac", host="host.ip", dst="destination.ip",
+                   conf="lanwatch.confidence", extra="lanwatch.extra", level="log.level")
 
 
 _ECS = duck(f"""select alert_id, {_RT} ts, case when category in ('port_scan', 'lateral_movement') then '["network","intrusion_detection"]'
@@ -250,12 +257,17 @@ _ECS = duck(f"""select alert_id, {_RT} ts, case when category in ('port_scan', '
  case when extra = '{{}}' then null else extra end extra, severity "level" from raised""", "raised")
 
 
+_OTLP_DOC = ("resourceLogs array<struct<resource: struct<attributes: array<struct<value: struct<stringValue: string>>>>, "
+             "scopeLogs: array<struct<logRecords: array<struct<timeUnixNano: string, severityNumber: string, severityText: string, "
+             "body: struct<stringValue: string>, attributes: array<struct<value: struct<stringValue: string>>>>>>>>>")
+
+
 def _otlp(spark, d):
-    log = "$.resourceLogs[0].scopeLogs[0].logRecords[0]"
-    return _paths(sinks.to_otlp(Tables(spark, d).raised, host="box"), nanos=f"{log}.timeUnixNano", number=f"{log}.severityNumber",
-                  text=f"{log}.severityText", body=f"{log}.body.stringValue", first=f"{log}.attributes[0].value.stringValue",
-                  fifth=f"{log}.attributes[4].value.stringValue", service="$.resourceLogs[0].resource.attributes[0].value.stringValue",
-                  host="$.resourceLogs[0].resource.attributes[2].value.stringValue")
+    log, attribute = "resourceLogs[0].scopeLogs[0].logRecords[0]", "attributes[{}].value.stringValue"
+    return _fields(sinks.to_otlp(Tables(spark, d).raised, host="box"), _OTLP_DOC, nanos=f"{log}.timeUnixNano",
+                   number=f"{log}.severityNumber", text=f"{log}.severityText", body=f"{log}.body.stringValue",
+                   first=f"{log}.{attribute.format(0)}", fifth=f"{log}.{attribute.format(4)}",
+                   service=f"resourceLogs[0].resource.{attribute.format(0)}", host=f"resourceLogs[0].resource.{attribute.format(2)}")
 
 
 _OTLP = duck(f"""select alert_id, concat(us, '000') nanos, case severity when 'info' then '9' when 'low' then '11' when 'medium' then '13' when 'high' then '17' else '21' end number,
@@ -265,11 +277,11 @@ _OTLP = duck(f"""select alert_id, concat(us, '000') nanos, case severity when 'i
 
 def _forward(spark, d):
     t = Tables(spark, d)
-    out = _paths(sinks.forwardable(t.raised, "attic", "medium"), sensor="$.sensor_id", ts="$.alert.timestamp",
-                 title="$.alert.title", conf="$.alert.confidence")
-    lines = sinks.export_alerts(t.raised, "critical", "json")
-    return out.unionByName(lines.select("alert_id", F.lit("-").alias("sensor"), F.get_json_object("value", "$.timestamp").alias("ts"),
-                                        F.get_json_object("value", "$.title").alias("title"), F.get_json_object("value", "$.confidence").alias("conf")))
+    alert = "timestamp: string, title: string, confidence: string"
+    out = _fields(sinks.forwardable(t.raised, "attic", "medium"), f"sensor_id string, alert struct<{alert}>",
+                  sensor="sensor_id", ts="alert.timestamp", title="alert.title", conf="alert.confidence")
+    own = _fields(sinks.export_alerts(t.raised, "critical", "json"), alert.replace(":", ""), ts="timestamp", title="title", conf="confidence")
+    return out.unionByName(own.withColumn("sensor", F.lit("-")))
 
 
 _FORWARD = duck(f"""select alert_id, 'attic' sensor, {_RT} ts, title, cast(cast(confidence as double) as varchar) conf from raised

@@ -9,6 +9,8 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from lanwatch.functions.names import once
+
 HOUR = 3600
 US_HOUR = 3_600_000_000
 
@@ -160,6 +162,7 @@ def adaptive_fold(source: str, host: str, pair: str, count: str, base: int, cool
 def brief(alerts: DataFrame, also: dict | None = None, **metrics: str) -> DataFrame:
     """Comparable columns of alerts: `metrics` maps an `extra` field to its type, `also` a name to
     a JSON path and type."""
+    alerts = once(alerts, _extra=F.col("extra")).drop("extra").withColumnRenamed("_extra", "extra")
     return alerts.select(
         *[F.get_json_object("extra", path).cast(t).alias(n) for n, (path, t) in (also or {}).items()],
         "us", "severity", "affected_host", "related_host", "dedup_key", "title",

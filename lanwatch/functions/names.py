@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from . import tables
 
@@ -12,6 +12,16 @@ def _bind(c: Column, body) -> Column:
     return F.get(F.transform(F.array(c), body), F.lit(0))
 
 
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add derived columns that are computed once per row.
+
+    A plain derived column is computed again in every filter that uses it; a generated one is not.
+    """
+    for name, c in columns.items():
+        df = df.withColumn(name, F.explode(F.array(c)))
+    return df
+
+
 def strip_dots(c: Column) -> Column:
     return F.regexp_replace(F.lower(c), r"^\.+|\.+$", "")
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..config import SECOND, Config
 from ..functions.alerting import cat, evidence, explain, suffix, to_alerts
-from ..functions.names import (domain_in_list, first_label, label_count, label_entropy, on_cdn,
+from ..functions.names import (domain_in_list, first_label, label_count, label_entropy, on_cdn, once,
                                strip_dots, suspicious_tld)
 from ..functions.net import ip_in_subnets, resolver_provider
 from .firsts import first_rows, not_in_baseline
@@ -18,7 +18,7 @@ from .windows import sliding_count, sliding_distinct
 
 def analysed(dns: DataFrame, cfg: Config = Config()) -> DataFrame:
     """Rows the detectors look at, with `domain`: cleaned, 4 characters or more, not allowlisted."""
-    rows = dns.withColumn("domain", strip_dots(F.col("query_name")))
+    rows = once(dns, domain=strip_dots(F.col("query_name")))
     return rows.where((F.length("domain") >= 4) & ~domain_in_list(F.col("domain"), cfg.allow_domains))
 
 
@@ -78,8 +78,8 @@ def dns_entropy(dns: DataFrame, cfg: Config = Config(), baseline: DataFrame | No
     entropy = label_entropy(F.col("domain"))
     label = F.length(first_label(F.col("domain")))
     rows = (analysed(dns, cfg).select("event_id", "us", "src_ip", "domain")
-            .where((label >= cfg.entropy_min_label) & ~on_cdn(F.col("domain")))
-            .withColumn("entropy", entropy).where(F.col("entropy") >= cfg.entropy_threshold))
+            .where((label >= cfg.entropy_min_label) & ~on_cdn(F.col("domain"))))
+    rows = once(rows, entropy=entropy).where(F.col("entropy") >= cfg.entropy_threshold)
     parts = []
     if cfg.learning_end_us is not None:
         parts.append(cooldown(rows.where(F.col("us") < cfg.learning_end_us), "domain",

@@ -77,19 +77,17 @@ def sliding_distinct(df: DataFrame, keys: list[str], values, window_us: int, out
 
 
 def window_members(fired: DataFrame, events: DataFrame, keys: list[str], value: Column,
-                   window_us: int, out: str, row_id: str = "event_id") -> DataFrame:
-    """Sorted distinct values in (us - window, us] for a few fired rows.
+                   window_us: int, out: str) -> DataFrame:
+    """Add the sorted distinct values in (us - window, us] to fired rows, which have at least one.
 
     Equi-join on (key, window-sized bucket): each fired row meets its own and the previous bucket.
     """
     b = F.floor(F.col("us") / window_us).cast("bigint")
-    want = fired.select(*keys, F.col("us").alias("_at"), F.col(row_id).alias("_id"),
-                        F.explode(F.array(b, b - 1)).alias("_b"))
+    want = fired.withColumn("_b", F.explode(F.array(b, b - 1)))
     have = events.select(*keys, F.col("us").alias("_us"), value.alias("_v"), b.alias("_b"))
-    found = (want.join(have, [*keys, "_b"])
-             .filter((F.col("_us") <= F.col("_at")) & (F.col("_us") > F.col("_at") - window_us))
-             .groupBy("_id").agg(F.sort_array(F.collect_set("_v")).alias(out)))
-    return fired.join(found, fired[row_id] == found["_id"], "left").drop("_id")
+    return (want.join(have, [*keys, "_b"])
+            .where((F.col("_us") <= F.col("us")) & (F.col("_us") > F.col("us") - window_us))
+            .groupBy(*fired.columns).agg(F.sort_array(F.collect_set("_v")).alias(out)))
 
 
 def previous_value(df: DataFrame, key: str, value: str, out: str, ts: str = "us",

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ..config import SECOND, Config
 from ..functions.alerting import cat, severity_name, severity_rank, to_alerts
 from ..functions.moments import iso_utc
+from ..functions.names import once
 from ..operators.suppress import cooldown
 from ..operators.windows import sliding_distinct, with_lookback
 
@@ -23,8 +24,8 @@ def actor_target(alerts: DataFrame) -> DataFrame:
              .when(F.col("category") == "auth_anomaly", F.coalesce(login, related, affected))
              .otherwise(F.coalesce(affected, related)))
     target = F.when(moving, affected).otherwise(related)
-    return (alerts.withColumn("actor", actor)
-            .withColumn("target", F.when(target != F.col("actor"), target)))
+    found = once(once(alerts, actor=actor), target=target)
+    return found.withColumn("target", F.when(F.col("target") != F.col("actor"), F.col("target")))
 
 
 def _stage_start(rows: DataFrame, window_us: int) -> DataFrame:
@@ -43,15 +44,13 @@ def _stage_start(rows: DataFrame, window_us: int) -> DataFrame:
 def _members(fired: DataFrame, rows: DataFrame, window_us: int) -> DataFrame:
     """Attach `events`: the actor's alerts in [us - window, us], time-ordered."""
     b = F.floor(F.col("us") / window_us).cast("bigint")
-    want = fired.select("actor", F.col("us").alias("_at"), F.col("alert_id").alias("_id"),
-                        F.explode(F.array(b, b - 1)).alias("_b"))
+    want = fired.withColumn("_b", F.explode(F.array(b, b - 1)))
     event = F.struct("us", "alert_id", "category", "severity", "title", "affected_host",
                      "related_host", "sensor", "target")
     have = rows.select("actor", F.col("us").alias("_us"), b.alias("_b"), event.alias("_e"))
-    found = (want.join(have, ["actor", "_b"])
-             .where((F.col("_us") <= F.col("_at")) & (F.col("_us") >= F.col("_at") - window_us))
-             .groupBy("_id").agg(F.sort_array(F.collect_list("_e")).alias("events")))
-    return fired.join(found, fired["alert_id"] == found["_id"]).drop("_id")
+    return (want.join(have, ["actor", "_b"])
+            .where((F.col("_us") <= F.col("us")) & (F.col("_us") >= F.col("us") - window_us))
+            .groupBy(*fired.columns).agg(F.sort_array(F.collect_list("_e")).alias("events")))
 
 
 def _timeline(events):

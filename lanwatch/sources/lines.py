@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import tables
 from ..functions.moments import to_us
-from ..functions.names import url_host
+from ..functions.names import once, url_host
 from ..functions.net import ip_hex, is_valid_ip, lookup, normalize_mac
 
 def _port(text: Column) -> Column:
@@ -157,7 +157,8 @@ def build_indicators(feeds: list[tuple[str, DataFrame]]) -> DataFrame:
         k = (F.when(is_valid_ip(value), "ip").otherwise("domain") if kind == "host" else F.lit(kind))
         v = F.when(k == "domain", F.lower(value)).when((k == "cidr") & ~value.contains("/"), F.concat(
             value, F.when(value.contains(":"), "/128").otherwise("/32"))).otherwise(value)
-        parts.append(_FEED_PARSERS[name](lines).select(
+        values = once(_FEED_PARSERS[name](lines).withColumnRenamed("value", "_raw"), value=F.col("_raw"))
+        parts.append(values.select(
             v.alias("value"), k.alias("kind"), F.lit(name).alias("source"),
             F.lit(category).alias("category"),
             F.struct(F.lit(rank).alias("feed"), F.col("line_no").alias("line")).alias("feed_order")))

@@ -8,6 +8,7 @@ from ..config import SECOND
 from ..functions import tables
 from ..functions.alerting import at_least, source_destination
 from ..functions.moments import from_us, iso_utc
+from ..functions.names import once
 from ..functions.net import lookup
 
 PRODUCT = "lanwatch"
@@ -85,7 +86,7 @@ def _filled(c: Column) -> Column:
 
 def to_ecs(alerts: DataFrame, version: str = "1.0.0", product: str = PRODUCT) -> DataFrame:
     """One ECS JSON document per alert in `value`."""
-    df = alerts.withColumn("_e", _ends())
+    df = once(alerts, _e=_ends())
     categories = F.create_map(*[x for k, v in tables.ECS_CATEGORIES.items()
                                 for x in (F.lit(k), F.array(*[F.lit(i) for i in v]))])
     src, mac, dst = (_filled(F.col(f"_e.{c}")) for c in ("ip", "mac", "dest"))
@@ -128,7 +129,7 @@ def _cef_value(c: Column) -> Column:
 
 def to_cef(alerts: DataFrame, version: str = "1.0.0", product: str = PRODUCT) -> DataFrame:
     """One CEF line per alert in `value`."""
-    df = alerts.withColumn("_e", _ends())
+    df = once(alerts, _e=_ends())
     title = F.coalesce(_filled(F.col("title")), F.col("category"))
     header = F.concat_ws("|", *[_cef_header(c) for c in (
         F.lit("CEF:0"), F.lit(product), F.lit(product), F.lit(version), F.col("category"), title,
@@ -162,7 +163,7 @@ def to_syslog_lines(alerts: DataFrame, facility: str = "local0", host: str = "",
 
 def to_otlp(alerts: DataFrame, host: str = "", version: str = "1.0.0", product: str = PRODUCT) -> DataFrame:
     """One OTLP logs envelope (JSON) per alert in `value`."""
-    df = alerts.withColumn("_e", _ends())
+    df = once(alerts, _e=_ends())
     nothing = F.lit(None).cast("string")
 
     def attribute(key: str, text: Column, number: Column | None = None) -> Column:
