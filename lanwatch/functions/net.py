@@ -103,7 +103,7 @@ def prefix_key(hex_ip: Column, bits: Column) -> Column:
 def ip_in_subnets(c: Column, cidrs) -> Column:
     """Membership in any of a short list of CIDR blocks; invalid text is in none.
 
-    Blocks on an octet boundary become text prefixes, which parquet can filter on.
+    Blocks on an octet boundary become plain text prefixes.
     """
     v4, v6 = F.lit(False), F.lit(False)
     for cidr in cidrs:

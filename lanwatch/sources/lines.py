@@ -153,11 +153,12 @@ def build_indicators(feeds: list[tuple[str, DataFrame]]) -> DataFrame:
         if name not in tables.FEEDS:
             continue
         kind, category = tables.FEEDS[name]
-        value = F.col("value")
-        k = (F.when(is_valid_ip(value), "ip").otherwise("domain") if kind == "host" else F.lit(kind))
+        value, k = F.col("value"), F.col("kind")
         v = F.when(k == "domain", F.lower(value)).when((k == "cidr") & ~value.contains("/"), F.concat(
             value, F.when(value.contains(":"), "/128").otherwise("/32"))).otherwise(value)
         values = once(_FEED_PARSERS[name](lines).withColumnRenamed("value", "_raw"), value=F.col("_raw"))
+        values = (once(values, kind=F.when(is_valid_ip(value), "ip").otherwise("domain")) if kind == "host"
+                  else values.withColumn("kind", F.lit(kind)))
         parts.append(values.select(
             v.alias("value"), k.alias("kind"), F.lit(name).alias("source"),
             F.lit(category).alias("category"),
