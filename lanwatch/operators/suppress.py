@@ -264,13 +264,12 @@ def _adaptive_rounds(rows: DataFrame, host: str, count: str, base: float, quiet:
 
 
 def _adaptive_fold(host, pair, count, base, quiet, adaptive: Adaptive, ts):
-    window = adaptive.window * SECOND
+    # Plain values, so that the function needs no module of this package on the workers.
+    window, free = adaptive.window * SECOND, adaptive.trips_before_backoff
+    step, top = adaptive.step, adaptive.max_multiplier
 
     def multiplier(trips: int) -> float:
-        if trips < adaptive.trips_before_backoff:
-            return 1.0
-        return min(adaptive.max_multiplier,
-                   1.0 + adaptive.step * (trips - adaptive.trips_before_backoff + 1))
+        return 1.0 if trips < free else min(top, 1.0 + step * (trips - free + 1))
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, last, trips = None, {}, []
