@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from . import simhash
+from . import language, simhash
 
 ENTRIES = {
     "op3_simhash": (simhash.query, None),
+    "op10_language": (language.query, None),
 }
