@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import language, simhash
+from . import decontaminate, language, simhash
 
 ENTRIES = {
     "op3_simhash": (simhash.query, None),
+    "op7_decontaminate": (decontaminate.query, decontaminate.SQL),
     "op10_language": (language.query, None),
 }
