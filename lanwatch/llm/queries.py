@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language, simhash
+from . import decontaminate, language, secrets, simhash
 
 ENTRIES = {
     "op3_simhash": (simhash.query, None),
+    "op4_secrets": (secrets.query, secrets.SQL),
     "op7_decontaminate": (decontaminate.query, decontaminate.SQL),
     "op10_language": (language.query, None),
 }
