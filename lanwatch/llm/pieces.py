@@ -9,11 +9,11 @@ a vocabulary reaches past a word, which is checked.
 
 from __future__ import annotations
 
-import hashlib
 import heapq
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,9 +22,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from .common import fresh, read, text_slices
 
 SPACE = "▁"
-INDEX_BYTES = 256 << 10   # words indexed at once; one longer word is indexed alone, in overlapping parts
+INDEX_BYTES = 512 << 10   # words indexed at once; one longer word is indexed alone, in overlapping parts
 SHORT = 64                # bytes; longer words are relaxed with a heap instead of in rounds over all words
-CACHE_WORDS = 150_000     # encoded words kept by a task; the cache starts anew beyond
+CACHE_WORDS = 500_000     # encoded words kept by a task; the cache starts anew beyond
 SLICE_BYTES = 4 << 20
 NONE = np.int32(2**31 - 1)
 WORD = re.compile(rb" *[^ ]+| +")
@@ -71,35 +71,37 @@ class Vocabulary:
         n = len(text)
         windows = np.lib.stride_tricks.sliding_window_view(np.concatenate((text, np.zeros(self.width, np.uint8))), self.width)[:n]
         keys = np.ascontiguousarray(windows).view(">u8").astype(np.uint64)
-        suffixes = np.lexsort(keys.T[::-1])
+        suffixes = np.argsort(keys[:, 0], kind="stable")
+        head = keys[suffixes, 0]
+        tied = np.append(False, head[1:] == head[:-1])
+        tied |= np.append(tied[1:], False)
+        again = suffixes[tied]  # equal in eight bytes: the rest decides, group by group
+        suffixes[tied] = again[np.lexsort((*keys[again, 1:].T[::-1], keys[again, 0]))]
         ordered = np.ascontiguousarray(windows[suffixes]).view(f"S{self.width}").ravel()
         first = np.searchsorted(ordered, self.low, "left")
         count = np.searchsorted(ordered, self.high, "right") - first
         piece = np.repeat(np.arange(len(count)), count)
         inside = np.arange(len(piece)) - np.repeat(np.cumsum(count) - count, count)
         start = suffixes[first[piece] + inside]
-        table = np.full((n, self.longest + 1), self.none, np.int32)
-        order = np.argsort(start, kind="stable")
-        table[start[order], self.sizes[piece[order]]] = self.ids[piece[order]]
+        table = np.full((n, self.longest + 1), self.none, np.int32)  # a counting sort by position and length
+        table.ravel()[start * (self.longest + 1) + self.sizes[piece]] = self.ids[piece]
         return table
 
-    def encode_words(self, words: list[bytes]) -> list[np.ndarray]:
-        """Piece ids of each word."""
-        out: list[np.ndarray | None] = [None] * len(words)
-        batch, size = [], 0
+    def encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Piece ids of all words one after another, and how many each has."""
+        found, first, size = [], 0, 0
         for k, word in enumerate(words):
-            if size + len(word) > INDEX_BYTES and batch:
-                self._encode(words, batch, out)
-                batch, size = [], 0
-            batch.append(k)
+            if size + len(word) > INDEX_BYTES and k > first:
+                found.append(self._encode(words[first:k]))
+                first, size = k, 0
             size += len(word)
-        if batch:
-            self._encode(words, batch, out)
-        return out
+        if words:
+            found.append(self._encode(words[first:]))
+        return tuple(np.concatenate(x) if x else np.empty(0, np.int64) for x in ([f[0] for f in found], [f[1] for f in found]))
 
-    def _encode(self, words: list[bytes], batch: list[int], out: list) -> None:
-        text = np.frombuffer(b"".join([words[k] for k in batch]), np.uint8)
-        sizes = np.array([len(words[k]) for k in batch], np.int64)
+    def _encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        text = np.frombuffer(b"".join(words), np.uint8)
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
         ends = np.cumsum(sizes)
         if len(text) > 2 * INDEX_BYTES:  # one very long word: its edges part by part
             step, reach = INDEX_BYTES, self.longest
@@ -125,9 +127,7 @@ class Vocabulary:
             at = np.repeat(s, reps) + np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps)
             ids = np.where(np.repeat(unknown, reps), self.byte_ids[text[at]], np.repeat(ids, reps)).astype(np.int32)
             s = at
-        cut = np.searchsorted(s, ends - sizes)
-        for k, part in zip(batch, np.split(ids, cut[1:])):
-            out[k] = part
+        return ids, np.diff(np.append(np.searchsorted(s, ends - sizes), len(ids)))
 
     def _rounds(self, table, starts, owner, ends):
         """Relax all short words together: a round merges the best pair of each word that has one."""
@@ -164,7 +164,7 @@ class Vocabulary:
             keep[at + 1] = False
             s, e, g, pair = s[keep], e[keep], g[keep], pair[keep]
             at = at - np.arange(len(at))
-            change = np.unique(np.concatenate((at, at[at > 0] - 1)))
+            change = np.concatenate((at, at[at > 0] - 1))
             inner = change[change < len(s) - 1]
             pair[inner] = ranks(inner)
             pair[-1] = NONE
@@ -212,18 +212,32 @@ class Encoder:
     """Encodes texts, keeping the ids of words it has met."""
 
     def __init__(self, vocab: Vocabulary):
-        self.vocab, self.known = vocab, {}
+        self.vocab = vocab
+        self._forget()
 
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        raw = [(" " + t.replace(SPACE, " ")).encode() if t else b"" for t in texts]
-        split = [WORD.findall(r) for r in raw]
+    def _forget(self) -> None:
+        self.known: dict[bytes, int] = {}
+        self.ids, self.start, self.count = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Piece ids of all texts one after another, and where each text's begin (with the end of the last)."""
+        split = [WORD.findall((" " + t.replace(SPACE, " ")).encode()) if t else [] for t in texts]
+        words = list(chain.from_iterable(split))
         if len(self.known) > CACHE_WORDS:
-            self.known = {}
-        known = self.known
-        new = list({w for words in split for w in words if w not in known})
-        known.update(zip(new, self.vocab.encode_words(new)))
-        empty = np.empty(0, np.int32)
-        return [np.concatenate([known[w] for w in words]) if words else empty for words in split]
+            self._forget()
+        new = [w for w in dict.fromkeys(words) if w not in self.known]
+        if new:
+            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
+            ids, count = self.vocab.encode_words(new)
+            self.start = np.concatenate((self.start, len(self.ids) + np.cumsum(count) - count))
+            self.count = np.concatenate((self.count, count))
+            self.ids = np.concatenate((self.ids, ids))
+        at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        count = self.count[at]
+        ends = np.cumsum(count)
+        ids = self.ids[np.repeat(self.start[at] - (ends - count), count) + np.arange(count.sum())]
+        borders = np.cumsum(np.fromiter(map(len, split), np.int64, len(split)))
+        return ids, np.concatenate(([0], np.append(0, ends)[borders]))
 
 
 def decode_ids(vocab: Vocabulary, ids) -> str:
@@ -245,11 +259,9 @@ def encode(docs: DataFrame, model: str, name: str = "piece_ids") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(vocabulary(model))
         for part in text_slices(batches, SLICE_BYTES):
-            ids = encoder.encode(part.column("text").to_pylist())
-            offsets = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
-            values = pa.array(np.concatenate(ids) if ids else np.empty(0, np.int32), pa.int32())
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(pa.array(offsets), values)],
-                                             [*part.schema.names, name])
+            ids, borders = encoder.encode(part.column("text").to_pylist())
+            lists = pa.ListArray.from_arrays(pa.array(borders, pa.int32()), pa.array(ids, pa.int32()))
+            yield pa.RecordBatch.from_arrays([*part.columns, lists], [*part.schema.names, name])
 
     return docs.mapInArrow(run, schema)
 
@@ -268,10 +280,6 @@ def decode(encoded: DataFrame, model: str, ids: str = "piece_ids", name: str = "
     return encoded.mapInArrow(run, schema)
 
 
-def digest(ids: "np.ndarray") -> str:
-    return hashlib.sha256(np.asarray(ids, "<i4").tobytes()).hexdigest()
-
-
 def summary(decoded: DataFrame) -> DataFrame:
     """doc_id, n_pieces, ids_sha256 (of the ids, comma-joined) and whether decoding gave the text back."""
     text = F.translate(F.coalesce(F.col("text"), F.lit("")), SPACE, " ")
