@@ -111,6 +111,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
         ((n_hit > 0) & (SHARE * n_hit >= F.col("n_words"))).alias("contaminated"))
 
 
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """Rows of `docs` that are not contaminated; all columns are kept, extra ones too."""
+    bad = contamination(docs, benchmark, window).where("contaminated").select(F.col("doc_id").alias("d"), F.col("h").alias("t")).distinct()
+    return docs.join(bad, docs.doc_id.eqNullSafe(bad.d) & (F.xxhash64(docs.text) == bad.t), "left_anti")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("h")
 

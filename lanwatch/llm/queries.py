@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language, secrets, simhash
+from . import decontaminate, language, pieces, secrets, simhash
 
 ENTRIES = {
     "op3_simhash": (simhash.query, None),
     "op4_secrets": (secrets.query, secrets.SQL),
     "op7_decontaminate": (decontaminate.query, decontaminate.SQL),
+    "op8_pieces": (pieces.query, None),
     "op10_language": (language.query, None),
 }

@@ -12,9 +12,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from .common import cut, read, text_slices
+from .common import cut, fresh, read, text_slices
 from .components import components
 
 SHINGLE = 3          # words in a shingle
@@ -46,16 +46,18 @@ def fingerprint_of(text: str | None, words: int = SHINGLE) -> int:
 def _fingerprints(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
     for part in text_slices(batches, SLICE_BYTES):
         prints = np.array([fingerprint_of(t, words) for t in part.column("text").to_pylist()], np.uint64)
-        yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(prints.view(np.int64))], ["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), part.column("h"), pa.array(prints.view(np.int64))],
+                                         ["doc_id", "h", "fp"])
 
 
 def fingerprints(docs: DataFrame, words: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp): a 64-bit SimHash of the lower-cased word shingles of every whole text, repeats counted.
+    """(doc_id, h, fp): a hash of the text to tell rows apart, and a 64-bit SimHash of the lower-cased word shingles of every whole text, repeats counted.
 
     Null and empty texts have fingerprint zero; a text shorter than a shingle is one shingle. Other columns
     of `docs` are not read. Repeated rows give repeated rows.
     """
-    return docs.select("doc_id", "text").mapInArrow(lambda it: _fingerprints(it, words), "doc_id long, fp long")
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
+    return rows.mapInArrow(lambda it: _fingerprints(it, words), "doc_id long, h long, fp long")
 
 
 def _distance(a: Column, b: Column) -> Column:
@@ -104,7 +106,7 @@ def links(prints: DataFrame) -> DataFrame:
 
 
 def near_duplicates(prints: DataFrame) -> DataFrame:
-    """(doc_id, fp, component_id) of every row of (doc_id, fp): the least doc_id reachable over links of RADIUS bits.
+    """(doc_id, h, fp, component_id, root) of every row of fingerprints(): the least doc_id reachable over links of RADIUS bits.
 
     Equal fingerprints are one node, so a group of copies costs a map-side reduced minimum and no pairs.
     Null doc_ids take part in linking; a component that has no other id has component_id null. An empty
@@ -115,8 +117,23 @@ def near_duplicates(prints: DataFrame) -> DataFrame:
     groups = components(links(prints)).withColumnRenamed("node", "fp")
     rooted = nodes.join(groups, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     named = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    classes = rooted.join(named, "root").select("fp", "component_id")
-    return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
+    classes = rooted.join(named, "root").select("fp", "component_id", "root")
+    return prints.join(classes, "fp").select("doc_id", "h", "fp", "component_id", "root")
+
+
+def keep_first(docs: DataFrame) -> DataFrame:
+    """One row of each component: that with the least doc_id, or one without id where there is none.
+
+    Of several rows with that id, the one with the least hash of its text stays. All columns are kept.
+    """
+    found = near_duplicates(fingerprints(docs))
+    first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("h")))
+    kept = found.groupBy("root").agg(first.alias("k")).select("k.doc_id", "k.h")
+    row = fresh(docs, "row")
+    same = docs.doc_id.eqNullSafe(kept.doc_id) & (F.xxhash64(docs.text) == kept.h)
+    return docs.join(kept, same, "left_semi").withColumn(
+        row, F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(0)))) \
+        .where(F.col(row) == 1).select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
