@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..operators.lineage import cut
 
-__all__ = ["cut", "fresh", "lower_ascii", "read", "text_slices"]
+__all__ = ["cut", "exists", "fresh", "lower_ascii", "read", "text_slices"]
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -44,3 +44,9 @@ def text_slices(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.Re
             total += size or 0
         if batch.num_rows > start:
             yield batch.slice(start)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file is there, in whatever store the path names."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language, pieces, secrets, simhash
+from . import decontaminate, language, pieces, secrets, simhash, sketch, tokencount
 
 ENTRIES = {
     "op3_simhash": (simhash.query, None),
     "op4_secrets": (secrets.query, secrets.SQL),
+    "op5_sketch": (sketch.query, None),
+    "op6_tokencount": (tokencount.query, None),
     "op7_decontaminate": (decontaminate.query, decontaminate.SQL),
     "op8_pieces": (pieces.query, None),
     "op10_language": (language.query, None),

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..operators.lineage import work_folder
-from .common import fresh, read
+from .common import exists, fresh, read
 
 
 @dataclass(frozen=True)
@@ -103,18 +103,13 @@ def update(docs: DataFrame, path: str, rules: tuple[Rule, ...] = RULES) -> DataF
     findings are dropped here.
     """
     spark = docs.sparkSession
-    stored = _exists(spark, f"{path}/ledger/_SUCCESS")
+    stored = exists(spark, f"{path}/ledger/_SUCCESS")
     findings, new = scan(docs, spark.read.schema(LEDGER).parquet(f"{path}/ledger") if stored else None, rules)
     findings.write.mode("append").parquet(f"{path}/findings")
     new.write.mode("append").parquet(f"{path}/ledger")
     return spark.read.schema(FINDINGS).parquet(f"{path}/findings").distinct()
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
-
-
 def by_path(docs: DataFrame, findings: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """(doc_id, spans) of every row of `docs`; spans: array of (start, order, kind, end), sorted. None: empty.
 
