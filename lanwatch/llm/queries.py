@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language, pieces, secrets, simhash, sketch, tokencount
+from . import chat, decontaminate, language, pieces, secrets, simhash, sketch, tokencount
 
 ENTRIES = {
+    "op2_chat": (chat.query, None),
     "op3_simhash": (simhash.query, None),
     "op4_secrets": (secrets.query, secrets.SQL),
     "op5_sketch": (sketch.query, None),
