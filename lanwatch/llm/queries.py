@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, language, pieces, secrets, simhash, sketch, tokencount
+from . import chat, decontaminate, language, licenses, pieces, secrets, simhash, sketch, tokencount
 
 ENTRIES = {
     "op2_chat": (chat.query, None),
@@ -12,5 +12,6 @@ ENTRIES = {
     "op6_tokencount": (tokencount.query, None),
     "op7_decontaminate": (decontaminate.query, decontaminate.SQL),
     "op8_pieces": (pieces.query, None),
+    "op9_licenses": (licenses.query, None),
     "op10_language": (language.query, None),
 }
