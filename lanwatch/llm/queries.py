@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, language, licenses, pieces, secrets, simhash, sketch, tokencount
+from . import chat, decontaminate, language, licenses, lm, pieces, secrets, simhash, sketch, tokencount
 
 ENTRIES = {
+    "op1_lm": (lm.query, None),
     "op2_chat": (chat.query, None),
     "op3_simhash": (simhash.query, None),
     "op4_secrets": (secrets.query, secrets.SQL),
