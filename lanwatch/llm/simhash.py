@@ -121,16 +121,128 @@ def near_duplicates(prints: DataFrame) -> DataFrame:
     return prints.join(classes, "fp").select("doc_id", "h", "fp", "component_id", "root")
 
 
+# Near copies: texts whose sets of SIMILAR_WORDS-word shingles have a similarity of 0.8 or more. At that similarity
+# some 15 % of the bits of a shingle fingerprint differ, too many for small balls; of the bits of a fingerprint of
+# the distinct words only some 7 % do. The words' fingerprint retrieves, the shingles' one is verified.
+SIMILAR_WORDS = 5
+SEGMENTS, SEGMENT_BITS = 10, 24  # with balls of one bit: a pair with 7.5 % differing bits is met with probability 0.997
+CHECK_BITS = 16                  # of the first 64 word bits may differ (mean 5, deviation 2 for such a pair; 29 for others)
+# Of the 256 shingle bits 39 differ at a similarity of 0.8, with a deviation of 5. Up to SURE_BITS a pair counts as
+# similar, beyond SIMILAR_BITS as not; between them the sets of shingles are compared.
+SURE_BITS, SIMILAR_BITS = 26, 56
+SIMILARITY = 0.8
+WORD_CACHE = 200_000
+
+
+def _wide(features, known: dict[bytes, bytes] | None = None) -> np.ndarray:
+    """256-bit SimHash, as 32 bytes, of a set of byte strings; none: zero."""
+    counts, n = np.zeros(256, np.int64), len(features)
+    features = list(features)
+    for i in range(0, n, BLOCK >> 2):
+        part = features[i:i + (BLOCK >> 2)]
+        if known is None:
+            digests = b"".join([xxhash.xxh128_digest(f, SEED) + xxhash.xxh128_digest(f, SEED + 1) for f in part])
+        else:
+            for f in part:
+                if f not in known:
+                    known[f] = xxhash.xxh128_digest(f, SEED) + xxhash.xxh128_digest(f, SEED + 1)
+            digests = b"".join([known[f] for f in part])
+        counts += np.unpackbits(np.frombuffer(digests, np.uint8).reshape(-1, 32), axis=1).sum(axis=0, dtype=np.int64)
+    return np.packbits(counts * 2 > n)
+
+
+def similar_shingles(tokens: list[bytes]) -> set[bytes]:
+    n = max(1, len(tokens) - SIMILAR_WORDS + 1) if tokens else 0
+    return {b" ".join(tokens[i:i + SIMILAR_WORDS]) for i in range(n)}
+
+
+def wide_prints(text: str | None, known: dict[bytes, bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(fingerprint of the distinct words, fingerprint of the distinct shingles) of one text, 32 bytes each."""
+    tokens = (text or "").encode().lower().split()
+    return _wide(set(tokens), known), _wide(similar_shingles(tokens))
+
+
+def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part in text_slices(batches, SLICE_BYTES):
+        sets = [np.array([xxhash.xxh64_intdigest(x, SEED) for x in similar_shingles((t or "").encode().lower().split())], np.uint64).view(np.int64)
+                for t in part.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([part.column("h"), pa.array(sets, pa.list_(pa.int64()))], ["h", "shingles"])
+
+
+_NODES = "doc_id long, h long, id long, chk long, segs array<int>, s0 long, s1 long, s2 long, s3 long"
+
+
+def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    known: dict[bytes, bytes] = {}
+    for part in text_slices(batches, SLICE_BYTES):
+        if len(known) > WORD_CACHE:
+            known = {}
+        prints = [wide_prints(t, known) for t in part.column("text").to_pylist()]
+        ids = [xxhash.xxh64_intdigest(w.tobytes() + s.tobytes()) for w, s in prints]
+        words = np.array([w for w, _ in prints], np.uint8)
+        segs = words[:, :3 * SEGMENTS].reshape(-1, 3).astype(np.int32) @ np.array([1 << 16, 1 << 8, 1], np.int32)
+        shingles = np.array([s for _, s in prints], np.uint8).view(">i8").astype(np.int64)
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(segs) + 1, SEGMENTS), pa.int32()), pa.array(segs, pa.int32()))
+        yield pa.RecordBatch.from_arrays(
+            [part.column("doc_id").cast(pa.int64()), part.column("h"), pa.array(np.array(ids, np.uint64).view(np.int64)),
+             pa.array(words[:, :8].copy().view(">i8").astype(np.int64).ravel()), lists, *(pa.array(shingles[:, k].copy()) for k in range(4))],
+            ["doc_id", "h", "id", "chk", "segs", "s0", "s1", "s2", "s3"])
+
+
+def similar_groups(docs: DataFrame) -> DataFrame:
+    """(doc_id, h, root) of every row of `docs`: near copies have one root.
+
+    Texts with equal fingerprints (copies, case and spacing apart) are one node. Values of a segment that more
+    than CROWDED nodes have are linked through four of them, chosen by different orders of their hashes,
+    instead of all pairs; as every node has SEGMENTS * (SEGMENT_BITS + 1) such values, a large group of near
+    copies still hangs together. All null and empty texts are one node. An empty table gives an empty table.
+    """
+    rows = cut(docs.select("doc_id", "text", F.xxhash64("text").alias("h")).mapInArrow(_nodes, _NODES))
+    nodes = rows.groupBy("id").agg(F.first("chk").alias("chk"), F.first("segs").alias("segs"), *(F.first(f"s{k}").alias(f"s{k}") for k in range(4)))
+    nodes = cut(nodes)
+    table = nodes.select("id", "chk", F.posexplode("segs").alias("seg", "val"))
+    orders = [F.col("id"), -F.col("id"), F.xxhash64("id"), F.xxhash64("id", F.lit(1))]
+    chosen = table.groupBy("seg", "val").agg(F.count("*").alias("n"), *(F.min_by(F.struct("id", "chk"), o).alias(f"l{k}") for k, o in enumerate(orders))) \
+        .where(F.col("n") > CROWDED)
+    leaders = cut(chosen.select("seg", "val", F.explode(F.array_distinct(F.array(*(f"l{k}" for k in range(4))))).alias("l")).select("seg", "val", "l.id", "l.chk"))
+    targets = table.join(leaders.select("seg", "val").distinct(), ["seg", "val"], "left_anti").unionByName(leaders)
+    probes = table.select(F.col("id").alias("a"), F.col("chk").alias("ca"), "seg", F.explode(_ball(F.col("val").cast("long"), SEGMENT_BITS).cast("array<int>")).alias("val"))
+    near = probes.join(targets, ["seg", "val"]).where((F.col("a") != F.col("id")) & (_distance(F.col("ca"), F.col("chk")) <= CHECK_BITS)) \
+        .select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
+    left = nodes.select(F.col("id").alias("a"), *(F.col(f"s{k}").alias(f"p{k}") for k in range(4)))
+    right = nodes.select(F.col("id").alias("b"), *(f"s{k}" for k in range(4)))
+    differing = sum((_distance(F.col(f"p{k}"), F.col(f"s{k}")) for k in range(1, 4)), _distance(F.col("p0"), F.col("s0")))
+    pairs = cut(near.join(left, "a").join(right, "b").select("a", "b", differing.alias("bits")).where(F.col("bits") <= SIMILAR_BITS))
+    sure = pairs.where(F.col("bits") <= SURE_BITS).select("a", "b")
+    groups = components(sure)
+    # of the doubtful pairs, only those that would join two groups need a look
+    doubtful = pairs.where(F.col("bits") > SURE_BITS).join(groups.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left") \
+        .join(groups.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left") \
+        .where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
+    hashes = rows.groupBy("id").agg(F.min("h").alias("h"))
+    doubtful = cut(doubtful.join(hashes.select(F.col("id").alias("a"), F.col("h").alias("ha")), "a")
+                   .join(hashes.select(F.col("id").alias("b"), F.col("h").alias("hb")), "b"))
+    wanted = doubtful.select(F.col("ha").alias("h")).unionByName(doubtful.select(F.col("hb").alias("h"))).distinct()
+    texts = docs.select(F.xxhash64("text").alias("h"), "text").join(wanted, "h", "left_semi")
+    sets = cut(texts.mapInArrow(_shingle_sets, "h long, shingles array<long>").dropDuplicates(["h"]))
+    both = doubtful.join(sets.select(F.col("h").alias("ha"), F.col("shingles").alias("x")), "ha") \
+        .join(sets.select(F.col("h").alias("hb"), F.col("shingles").alias("y")), "hb")
+    common = F.size(F.array_intersect("x", "y"))
+    checked = both.where(common >= SIMILARITY * (F.size("x") + F.size("y") - common)).select("a", "b")
+    joined = checked.unionByName(groups.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
+    groups = components(joined).withColumnRenamed("node", "id")
+    return rows.select("doc_id", "h", "id").join(groups, "id", "left").select("doc_id", "h", F.coalesce("root", "id").alias("root"))
+
+
 def keep_first(docs: DataFrame) -> DataFrame:
-    """One row of each component: that with the least doc_id, or one without id where there is none.
+    """One row of each group of near copies: that with the least doc_id, or one without id where there is none.
 
     Of several rows with that id, the one with the least hash of its text stays. All columns are kept.
     """
-    found = near_duplicates(fingerprints(docs))
     first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("h")))
-    kept = found.groupBy("root").agg(first.alias("k")).select("k.doc_id", "k.h")
+    kept = similar_groups(docs).groupBy("root").agg(first.alias("k")).select("k.doc_id", "k.h")
     row = fresh(docs, "row")
-    same = docs.doc_id.eqNullSafe(kept.doc_id) & (F.xxhash64(docs.text) == kept.h)
+    same = docs.doc_id.eqNullSafe(kept.doc_id) & F.xxhash64(docs.text).eqNullSafe(kept.h)
     return docs.join(kept, same, "left_semi").withColumn(
         row, F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(0)))) \
         .where(F.col(row) == 1).select(*docs.columns)
