@@ -193,20 +193,24 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     """(doc_id, h, root) of every row of `docs`: near copies have one root.
 
     Texts with equal fingerprints (copies, case and spacing apart) are one node. Values of a segment that more
-    than CROWDED nodes have are linked through four of them, chosen by different orders of their hashes,
-    instead of all pairs; as every node has SEGMENTS * (SEGMENT_BITS + 1) such values, a large group of near
-    copies still hangs together. All null and empty texts are one node. An empty table gives an empty table.
+    than CROWDED nodes have are linked through two of them, instead of all pairs; as every node has SEGMENTS
+    values, with leaders of their own, a large group of near copies still hangs together. All null and empty texts are one node. An empty table gives an empty table.
     """
     rows = cut(docs.select("doc_id", "text", F.xxhash64("text").alias("h")).mapInArrow(_nodes, _NODES))
     nodes = rows.groupBy("id").agg(F.first("chk").alias("chk"), F.first("segs").alias("segs"), *(F.first(f"s{k}").alias(f"s{k}") for k in range(4)))
     nodes = cut(nodes)
     table = nodes.select("id", "chk", F.posexplode("segs").alias("seg", "val"))
-    orders = [F.col("id"), -F.col("id"), F.xxhash64("id"), F.xxhash64("id", F.lit(1))]
-    chosen = table.groupBy("seg", "val").agg(F.count("*").alias("n"), *(F.min_by(F.struct("id", "chk"), o).alias(f"l{k}") for k, o in enumerate(orders))) \
-        .where(F.col("n") > CROWDED)
-    leaders = cut(chosen.select("seg", "val", F.explode(F.array_distinct(F.array(*(f"l{k}" for k in range(4))))).alias("l")).select("seg", "val", "l.id", "l.chk"))
-    targets = table.join(leaders.select("seg", "val").distinct(), ["seg", "val"], "left_anti").unionByName(leaders)
-    probes = table.select(F.col("id").alias("a"), F.col("chk").alias("ca"), "seg", F.explode(_ball(F.col("val").cast("long"), SEGMENT_BITS).cast("array<int>")).alias("val"))
+    chosen = table.groupBy("seg", "val").agg(F.count("*").alias("n"), F.min_by(F.struct("id", "chk"), "id").alias("l0"),
+                                             F.min_by(F.struct("id", "chk"), F.xxhash64("id")).alias("l1")).where(F.col("n") > CROWDED)
+    leaders = cut(chosen.select("seg", "val", F.explode(F.array_distinct(F.array("l0", "l1"))).alias("l")).select("seg", "val", "l.id", "l.chk"))
+    full = leaders.select("seg", "val").distinct().withColumn("full", F.lit(True))
+    marked = table.join(full, ["seg", "val"], "left")
+    targets = marked.where("full is null").drop("full").unionByName(leaders)
+    # the members of a crowded value ask for that value alone: its neighbours' members ask for it, too
+    own = F.array(F.col("val"))
+    ball = _ball(F.col("val").cast("long"), SEGMENT_BITS).cast("array<int>")
+    probes = marked.select(F.col("id").alias("a"), F.col("chk").alias("ca"), "seg",
+                           F.explode(F.when(F.col("full"), own).otherwise(ball)).alias("val"))
     near = probes.join(targets, ["seg", "val"]).where((F.col("a") != F.col("id")) & (_distance(F.col("ca"), F.col("chk")) <= CHECK_BITS)) \
         .select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
     left = nodes.select(F.col("id").alias("a"), *(F.col(f"s{k}").alias(f"p{k}") for k in range(4)))
