@@ -1,109 +1,142 @@
 """Order-dependent suppression: greedy cooldowns and adaptive thresholds.
 
-Whether a row is kept depends on the last row kept before it, so a key's rows form a chain. Folding
-a whole key in one task would not survive a busy key. `cooldown` therefore cuts every key into time
-blocks, summarises each block by what it does to "time of the last kept row" (a short step
-function), walks those summaries per key, and then picks rows in all blocks in parallel.
-
-Keys with a block too full for that (counted first) take another exact way: their chains advance
-together, one kept row per key and round, and each round is a minimum that Spark reduces before
-the shuffle. So no task ever holds the rows of a busy key.
+Whether a row is kept depends on the last row kept before it, so a key's rows form a chain. Folding a whole
+key in one task would not survive a busy key. What a stretch of rows does to "time of the last kept row" is a
+step function, and step functions compose. `cooldown` cuts every key into time blocks, reads each block
+backwards to find its function, walks the functions of a key (one short row per block), and picks rows in all
+blocks in parallel. Every pass is a sorted stream that holds the rows of one cooldown at most.
 """
 
 from __future__ import annotations
 
 import sys
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window, functions as F
-from pyspark.sql.types import (ArrayType, BooleanType, DoubleType, IntegerType, LongType,
-                               StructField, StructType)
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..config import SECOND, Adaptive
-from .lineage import cut, work_folder
 
 # Python workers get these functions by value, so the package need not be installed on them.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-_LONGS = ArrayType(LongType())
-
-BLOCK_COOLDOWNS = 16  # block length in cooldowns: at most 17 kept rows per block
-MAX_BLOCK_ROWS = 250_000  # rows of one key in one block that a task may hold
-MAX_RUN_ROWS = 20_000_000  # rows of one host's busy stretch that one task streams
+BLOCK_COOLDOWNS = 4  # block length in cooldowns; a busy key is spread over as many tasks as it has blocks
 _NEVER = -(2 ** 62)
+_GROUP = ["_g1", "_g2"]
+
+
+def _groups(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of runs of equal values in all columns."""
+    change = np.zeros(len(columns[0]), bool)
+    for c in columns:
+        change[1:] |= c[1:] != c[:-1]
+    change[:1] = True
+    starts = np.flatnonzero(change)
+    return starts, np.append(starts[1:], len(change))
+
+
+def _numbers(batch: pa.RecordBatch, *names: str) -> list[np.ndarray]:
+    return [batch.column(n).to_numpy(zero_copy_only=False) for n in names]
+
+
+def _summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks, latest row first -> their step functions: an incoming time L <= upto[i] (first such i) leaves as
+    last[i], a later one unchanged.
 
+    Row i takes L <= ts - quiet and passes on what the rows after it make of its own time. Steps above the
+    row's time are out of reach for all earlier rows, but for the first, so they are dropped on the way.
+    """
+    current, steps = None, deque()  # (upto, last), the greatest first
+
+    def row():
+        return (*current, [u for u, _ in reversed(steps)], [v for _, v in reversed(steps)])
+
+    def table(rows):
+        return pa.RecordBatch.from_arrays(
+            [*(pa.array(c, pa.int64()) for c in list(zip(*rows))[:3]), *(pa.array(c, pa.list_(pa.int64())) for c in list(zip(*rows))[3:])],
+            ["_g1", "_g2", "_blk", "upto", "last"])
+
+    for batch in batches:
+        g1, g2, blk, ts, quiet = _numbers(batch, "_g1", "_g2", "_blk", "_ts", "_quiet")
+        out = []
+        for a, b in zip(*_groups(g1, g2, blk)):
+            key = (int(g1[a]), int(g2[a]), int(blk[a]))
+            if key != current:
+                if current:
+                    out.append(row())
+                current, steps = key, deque()
+            for t, reach in zip(ts[a:b].tolist(), (ts[a:b] - quiet[a:b]).tolist()):
+                while len(steps) > 1 and steps[1][0] >= t:
+                    steps.popleft()
+                value = steps[0][1] if steps and steps[0][0] >= t else t
+                while steps and steps[-1][0] <= reach:
+                    steps.pop()
+                if not steps or steps[-1][1] != value:
+                    steps.append((reach, value))
+        if out:
+            yield table(out)
+    if current:
+        yield table([row()])
+
+
+def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Step functions of a key in time order -> the time of the last kept row on entry to each block."""
+    current, last = None, _NEVER
+    for batch in batches:
+        g1, g2, blk = _numbers(batch, "_g1", "_g2", "_blk")
+        entries = np.empty(len(g1), np.int64)
+        for i, (key, upto, out) in enumerate(zip(zip(g1.tolist(), g2.tolist()), batch.column("upto"), batch.column("last"))):
+            if key != current:
+                current, last = key, _NEVER
+            entries[i] = last
+            at = int(np.searchsorted(upto.values.to_numpy(), last, "left"))
+            if at < len(upto):
+                last = out[at].as_py()
+        yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in (g1, g2, blk)), pa.array(entries)], ["_g1", "_g2", "_blk", "_entry"])
+
+
+def _pick(strict: bool, columns: list[str]):
+    """Blocks in time order, each after a row that holds its entry -> the kept rows."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = _NEVER
+        for batch in batches:
+            g1, g2, blk, ts, quiet, entry = _numbers(batch, "_g1", "_g2", "_blk", "_ts", "_quiet", "_entry")
+            head = batch.column("_head").to_numpy(zero_copy_only=False)
+            kept = []
+            for a, b in zip(*_groups(g1, g2, blk)):
+                if head[a]:
+                    last, a = int(entry[a]), a + 1
+                t, reach = ts[a:b], ts[a:b] - quiet[a:b]
+                top = np.maximum.accumulate(reach)
+                i = int(np.searchsorted(top, last, "left"))
+                while i < len(t):
+                    if not strict or reach[i] > last:
+                        kept.append(a + i)
+                    last, before = int(t[i]), i
+                    i = int(np.searchsorted(top, last, "left"))
+                    if i <= before:  # a cooldown of nothing
+                        i = before + 1
+                        while i < len(t) and reach[i] < last:
+                            i += 1
+            if kept:
+                row = batch.column("_row").take(pa.array(kept))
+                yield pa.RecordBatch.from_arrays([row.field(i) for i in range(len(columns))], columns)
 
-def _reach(ts: np.ndarray, quiet: np.ndarray) -> np.ndarray:
-    """Running maximum of (ts - cooldown): the first index with reach >= last is the next row."""
-    return np.maximum.accumulate(ts - quiet)
-
-
-@F.pandas_udf(StructType([StructField("upto", _LONGS), StructField("last", _LONGS)]))
-def _block_steps(ts: pd.Series, quiet: pd.Series) -> pd.DataFrame:
-    """Per block: for an incoming last-kept time L <= upto[i] (first such i), the outgoing one."""
-    uptos, lasts = [], []
-    for t, q in zip(ts, quiet):
-        t, reach = np.asarray(t), _reach(np.asarray(t), np.asarray(q))
-        jump = np.searchsorted(reach, t, "left")
-        root = np.where(jump < len(t), jump, np.arange(len(t)))
-        while not np.array_equal(root, root[root]):
-            root = root[root]
-        out = t[root]
-        starts = np.flatnonzero(np.r_[True, reach[1:] > reach[:-1]])
-        # Only rows at most one cooldown past the block start can follow an earlier block's row;
-        # the first row beyond stands for every later entry that cannot occur.
-        starts = starts[:np.searchsorted(reach[starts], t[0], "left") + 1]
-        changes = np.flatnonzero(np.r_[out[starts][1:] != out[starts][:-1], True])
-        uptos.append(reach[starts][changes])
-        lasts.append(out[starts][changes])
-    return pd.DataFrame({"upto": uptos, "last": lasts})
-
-
-@F.pandas_udf(_LONGS)
-def _walk(uptos: pd.Series, lasts: pd.Series) -> pd.Series:
-    """Per key, over its blocks in time order: the last-kept time on entry to each block."""
-    entries = []
-    for block_uptos, block_lasts in zip(uptos, lasts):
-        last, entry = _NEVER, []
-        for upto, out in zip(block_uptos, block_lasts):
-            entry.append(last)
-            i = int(np.searchsorted(upto, last, "left"))
-            if i < len(out):
-                last = int(out[i])
-        entries.append(entry)
-    return pd.Series(entries)
-
-
-@F.pandas_udf(ArrayType(IntegerType()))
-def _pick(ts: pd.Series, quiet: pd.Series, entry: pd.Series, strict: pd.Series) -> pd.Series:
-    """Per block: 1-based positions of the kept rows, given the last-kept time on entry."""
-    kept = []
-    for t, q, last, only_later in zip(ts, quiet, entry, strict):
-        t, q = np.asarray(t), np.asarray(q)
-        reach, found = _reach(t, q), []
-        i = int(np.searchsorted(reach, last, "left"))
-        while i < len(t):
-            if not only_later or t[i] - q[i] > last:
-                found.append(i + 1)
-            last = t[i]
-            i = int(np.searchsorted(reach, last, "left"))
-        kept.append(found)
-    return pd.Series(kept)
+    return run
 
 
 def cooldown(df: DataFrame, keys: str | list[str], seconds: int | Column, *, ts: str = "us",
-             tie: str = "event_id", strict: bool = False, longest: int | None = None,
-             max_block_rows: int | None = None) -> DataFrame:
+             tie: str = "event_id", strict: bool = False, longest: int | None = None) -> DataFrame:
     """Keep a row only if `seconds` have passed since the last kept row of its key.
 
-    `seconds` may be a column (per-row cooldown); `longest` is then its upper bound. With `strict`
-    the wait must be longer than the cooldown; a row exactly at the limit is dropped but restarts
-    the wait. A cooldown of 0 keeps every row, which also works on a stream.
-
-    The candidate rows are written once (see `lineage`), since their sizes decide the way.
+    `seconds` may be a column (per-row cooldown); `longest` is then its upper bound. With `strict` the wait
+    must be longer than the cooldown; a row exactly at the limit is dropped but restarts the wait. Rows at one
+    time are taken by `tie`; of identical rows one is kept. Rows without a time are dropped. A cooldown of 0
+    keeps every row, which also works on a stream. Building the result starts no job.
     """
     if isinstance(seconds, int) and seconds == 0:
         return df
@@ -111,159 +144,50 @@ def cooldown(df: DataFrame, keys: str | list[str], seconds: int | Column, *, ts:
     longest = seconds if longest is None else longest
     quiet = seconds * SECOND if isinstance(seconds, Column) else F.lit(int(seconds * SECOND))
     width = longest * SECOND * BLOCK_COOLDOWNS
-    rows = cut(df.select(
-        F.struct(*keys).alias("_key"), F.col(ts).alias("_ts"), F.col(tie).alias("_tie"),
-        quiet.cast("bigint").alias("_quiet"), F.struct(*df.columns).alias("row")).where("_ts is not null"))
-    blocks = rows.withColumn("_blk", F.floor(F.col("_ts") / width).cast("bigint"))
-    full = (blocks.groupBy("_key", "_blk").agg(F.count("*").alias("_n"))
-            .where(F.col("_n") > (max_block_rows or MAX_BLOCK_ROWS)).select("_key").distinct())
-    if full.isEmpty():
-        return _by_blocks(blocks, strict).select("row.*")
-    busy = cut(full)
-    calm = blocks.join(busy, "_key", "left_anti")
-    hot = rows.join(busy, "_key", "left_semi")
-    return (_by_blocks(calm, strict).unionByName(_by_rounds(hot, longest * SECOND, strict))
-            .select("row.*"))
-
-
-def _by_blocks(rows: DataFrame, strict: bool) -> DataFrame:
-    """Kept rows of keys whose blocks are small: summarise blocks, walk them, pick."""
-    blocks = (rows.select("_key", "_blk", F.struct("_ts", "_tie", "_quiet", "row").alias("_r"))
-              .where("_blk is not null")  # the join below would infer it for one branch only
-              .groupBy("_key", "_blk").agg(F.sort_array(F.collect_list("_r")).alias("_rows")))
-    steps = blocks.select("_key", "_blk", _block_steps(
-        F.col("_rows._ts"), F.col("_rows._quiet")).alias("_s"))
-    walked = (steps.groupBy("_key")
-              .agg(F.sort_array(F.collect_list(F.struct("_blk", "_s.upto", "_s.last"))).alias("_b"))
-              .select("_key", F.explode(F.arrays_zip(
-                  F.col("_b._blk").alias("blk"),
-                  _walk(F.col("_b.upto"), F.col("_b.last")).alias("entry"))).alias("_e"))
-              .select("_key", F.col("_e.blk").alias("_blk"), F.col("_e.entry").alias("_entry")))
-    picked = (blocks.join(walked, ["_key", "_blk"])
-              .withColumn("_at", _pick(F.col("_rows._ts"), F.col("_rows._quiet"), "_entry",
-                                       F.lit(strict))))
-    # The outer form keeps the optimizer from running the Python function once more as a filter.
-    return (picked.select("_rows", F.explode_outer("_at").alias("_i")).where("_i is not null")
-            .select(F.element_at("_rows", F.col("_i"))["row"].alias("row")))
-
-
-def _by_rounds(rows: DataFrame, longest: int, strict: bool) -> DataFrame:
-    """Kept rows of busy keys, one chain row per key and round.
-
-    Rows lie in time cells of one cooldown. A small table knows per (key, cell) how late an earlier
-    row its rows can follow, so a round reads only the cell that holds the next row.
-    """
-    spark = rows.sparkSession
-    reach = F.col("_ts") - F.col("_quiet")
-    table = cut(rows.withColumn("_cell", F.floor(F.col("_ts") / longest).cast("bigint")), ["_cell"])
-    cells = cut(table.groupBy("_key", "_cell").agg(F.max(reach).alias("_reach")))
-    state = cells.select("_key").distinct().withColumn("_last", F.lit(_NEVER).cast("bigint"))
-    chain, turn = work_folder(spark), 0
-    while True:
-        cell = (state.join(cells, "_key").where(F.col("_reach") >= F.col("_last"))
-                .groupBy("_key", "_last").agg(F.min("_cell").alias("_cell")))
-        step = (table.select("_key", "_cell", "_ts", "_tie", "_quiet").join(cell, ["_key", "_cell"])
-                .where(reach >= F.col("_last")).groupBy("_key", "_last")
-                .agg(F.min(F.struct("_ts", "_tie", "_quiet")).alias("_r"))
-                .select("_key", "_last", "_r.*"))
-        path = f"{chain}/turn={turn}"
-        step.write.parquet(path)
-        step = spark.read.schema(step.schema).parquet(path)
-        if step.isEmpty():
-            break
-        state, turn = step.select("_key", F.col("_ts").alias("_last")), turn + 1
-    kept = spark.read.schema(step.schema).parquet(*[f"{chain}/turn={i}" for i in range(turn)])
-    if strict:
-        kept = kept.where(reach > F.col("_last"))
-    return table.join(kept.select("_key", "_ts", "_tie"), ["_key", "_ts", "_tie"], "left_semi").select("row")
+    parts = [x for k in keys for x in (F.col(k).isNull(), F.col(k))]  # a hash alone passes over nulls
+    rows = df.where(F.col(ts).isNotNull()).select(
+        F.xxhash64(*parts).alias("_g1"), F.xxhash64(F.lit(1), *parts).alias("_g2"),
+        F.floor(F.col(ts) / width).cast("bigint").alias("_blk"), F.col(ts).cast("bigint").alias("_ts"), F.col(tie).alias("_tie"),
+        quiet.cast("bigint").alias("_quiet"), F.struct(*df.columns).alias("_row"))
+    block = [*_GROUP, "_blk"]
+    backwards = rows.select(*block, "_ts", "_tie", "_quiet").repartition(*block).sortWithinPartitions(
+        *block, F.desc("_ts"), F.desc("_tie"), F.desc("_quiet"))
+    steps = backwards.mapInArrow(_summarise, "_g1 long, _g2 long, _blk long, upto array<long>, last array<long>")
+    entries = steps.repartition(*_GROUP).sortWithinPartitions(*block).mapInArrow(_walk, "_g1 long, _g2 long, _blk long, _entry long")
+    both = rows.withColumns({"_head": F.lit(False), "_entry": F.lit(0).cast("long")}).unionByName(
+        entries.withColumns({"_head": F.lit(True), "_ts": F.lit(0).cast("long"), "_quiet": F.lit(0).cast("long")}), allowMissingColumns=True)
+    ordered = both.repartition(*block).sortWithinPartitions(*block, F.desc("_head"), "_ts", "_tie", "_quiet").drop("_tie")
+    return ordered.mapInArrow(_pick(strict, df.columns), df.schema)
 
 
 def adaptive_cooldown(df: DataFrame, host: str, count: str, base: float, seconds: int,
-                      adaptive: Adaptive, *, pair: str | None = None, ts: str = "us",
-                      tie: str = "event_id", max_run_rows: int | None = None) -> DataFrame:
+                      adaptive: Adaptive, *, pair: str | None = None, ts: str = "us", tie: str = "event_id") -> DataFrame:
     """Cooldown whose threshold grows while a host keeps alerting; adds `threshold`.
 
-    `df` holds candidates with `count` >= `base` (the multiplier never falls below 1). The cooldown
-    runs per (host, `pair`) where `pair` is given, else per host; trips count per host, and a trip
-    counts up to and including the edge of the trip window.
+    `df` holds candidates with `count` >= `base` (the multiplier never falls below 1). The cooldown runs per
+    (host, `pair`) where `pair` is given, else per host; trips count per host, and a trip counts up to and
+    including the edge of the trip window.
 
-    The state is a list of recent trips, so candidates are taken in time order. They are cut at
-    every quiet span longer than the memory, which makes the stretches independent; a stretch is
-    streamed in batches with constant memory, never collected. Hosts with an overfull stretch
-    advance in rounds, unless each of their pairs has a cooldown of its own.
+    The state is a list of recent trips and, with `pair`, the recent alerts by pair, so the candidates of a
+    host are taken in time order. They are cut at every quiet span longer than the memory, which makes the
+    stretches independent; a stretch is one sorted stream, whose state holds one memory of alerts.
     """
     if not adaptive.enabled:
         return (cooldown(df, [host] + ([pair] if pair else []), seconds, ts=ts, tie=tie)
                 .withColumn("threshold", F.lit(float(base))))
     memory = max(seconds, adaptive.window) * SECOND
-    rows = cut(df).withColumn("_cell", F.floor(F.col(ts) / memory).cast("bigint"))
+    rows = df.withColumn("_cell", F.floor(F.col(ts) / memory).cast("bigint"))
     order = Window.partitionBy(host).orderBy("_cell")
     gap = F.col("_cell") - F.lag("_cell").over(order) > 1  # a whole empty cell: memory has expired
-    runs = (rows.groupBy(host, "_cell").agg(F.count("*").alias("_n"))
-            .withColumn("_new", F.when(gap, 1).otherwise(0))
-            .withColumn("_run", F.sum("_new").over(order)).select(host, "_cell", "_run", "_n"))
-    fired = None
-    if pair is None:
-        full = (runs.groupBy(host, "_run").agg(F.sum("_n").alias("_n"))
-                .where(F.col("_n") > (max_run_rows or MAX_RUN_ROWS)).select(host).distinct())
-        if not full.isEmpty():
-            busy = cut(full)
-            fired = _adaptive_rounds(rows.drop("_cell").join(busy, host, "left_semi"), host, count, base,
-                                     seconds * SECOND, adaptive, ts, tie)
-            rows = rows.join(busy, host, "left_anti")
-    ordered = (rows.join(runs.drop("_n"), [host, "_cell"]).drop("_cell").repartition(host, "_run")
+    runs = (rows.select(host, "_cell").distinct().withColumn("_new", F.when(gap, 1).otherwise(0))
+            .withColumn("_run", F.sum("_new").over(order)).select(host, "_cell", "_run"))
+    ordered = (rows.join(runs, [host, "_cell"]).drop("_cell").repartition(host, "_run")
                .sortWithinPartitions(host, "_run", ts, tie))
-    schema = StructType(ordered.schema.fields + [StructField("threshold", DoubleType()),
-                                                 StructField("_keep", BooleanType())])
-    fold = _adaptive_fold(host, pair, count, base, seconds * SECOND, adaptive, ts)
-    calm = ordered.mapInPandas(fold, schema).filter("_keep").drop("_keep", "_run").select(*df.columns, "threshold")
-    return calm if fired is None else calm.unionByName(fired.select(*df.columns, "threshold"))
-
+    schema = StructType([*df.schema.fields, StructField("threshold", DoubleType())])
+    return ordered.mapInArrow(_adaptive_fold(host, pair, count, base, seconds * SECOND, adaptive, ts, df.columns), schema)
 
-def _adaptive_rounds(rows: DataFrame, host: str, count: str, base: float, quiet: int, adaptive: Adaptive,
-                     ts: str, tie: str) -> DataFrame:
-    """Fired rows of busy hosts: every round looks at one time cell per host.
 
-    The first row of the cell that may fire is a minimum, reduced before the shuffle. A host whose
-    cell has none goes on to its next cell.
-    """
-    spark = rows.sparkSession
-    table = cut(rows.withColumn("_cell", F.floor(F.col(ts) / quiet).cast("bigint")), ["_cell"])
-    cells = cut(table.select(host, "_cell").distinct())
-    window = adaptive.window * SECOND
-    recent = F.size(F.filter("_trips", lambda t: t >= F.col(ts) - window))
-    extra = recent - adaptive.trips_before_backoff + 1
-    limit = base * F.when(extra < 1, 1.0).otherwise(
-        F.least(F.lit(float(adaptive.max_multiplier)), 1.0 + adaptive.step * extra))
-    state = cells.select(host).distinct().select(
-        host, F.lit(_NEVER).cast("bigint").alias("_last"), F.array().cast("array<bigint>").alias("_trips"),
-        F.lit(_NEVER).cast("bigint").alias("_from"))
-    chain, turn = work_folder(spark), 0
-    while True:
-        cell = (state.join(cells, host).where(F.col("_cell") >= F.col("_from"))
-                .groupBy(host, "_last", "_trips").agg(F.min("_cell").alias("_cell")))
-        hits = (table.select(host, "_cell", ts, tie, count).join(cell, [host, "_cell"])
-                .withColumn("threshold", limit)
-                .where((F.col(ts) >= F.col("_last") + quiet) & (F.col(count) >= F.col("threshold")))
-                .groupBy(host).agg(F.min(F.struct(ts, tie, "threshold")).alias("_hit")))
-        step = cell.join(hits, host, "left")
-        path = f"{chain}/turn={turn}"
-        step.write.parquet(path)
-        step = spark.read.schema(step.schema).parquet(path)
-        if step.isEmpty():
-            break
-        at = F.col(f"_hit.{ts}")
-        state, turn = step.select(
-            host, F.coalesce(at, "_last").alias("_last"),
-            F.when(at.isNull(), F.col("_trips")).otherwise(F.filter(
-                F.concat("_trips", F.array(at)), lambda t: t >= at - window)).alias("_trips"),
-            F.coalesce(F.floor((at + quiet) / quiet).cast("bigint"), F.col("_cell") + 1).alias("_from")), turn + 1
-    fired = (spark.read.schema(step.schema).parquet(*[f"{chain}/turn={i}" for i in range(turn)])
-             .where("_hit is not null").select(host, "_hit.*"))
-    return table.join(fired, [host, ts, tie])
-
-
-def _adaptive_fold(host, pair, count, base, quiet, adaptive: Adaptive, ts):
+def _adaptive_fold(host, pair, count, base, quiet, adaptive: Adaptive, ts, columns):
     # Plain values, so that the function needs no module of this package on the workers.
     window, free = adaptive.window * SECOND, adaptive.trips_before_backoff
     step, top = adaptive.step, adaptive.max_multiplier
@@ -271,26 +195,30 @@ def _adaptive_fold(host, pair, count, base, quiet, adaptive: Adaptive, ts):
     def multiplier(trips: int) -> float:
         return 1.0 if trips < free else min(top, 1.0 + step * (trips - free + 1))
 
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, last, trips = None, {}, []
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, last, trips, full = None, {}, deque(), 1024
         for batch in batches:
             kept, limits = [], []
-            columns = zip(batch[host], batch["_run"], batch[pair] if pair else batch["_run"],
-                          batch[ts], batch[count])
-            for i, (h, run, p, t, n) in enumerate(columns):
+            rows = zip(*(batch.column(c).to_pylist() for c in (host, "_run", pair or "_run", ts, count)))
+            for i, (h, run, p, t, n) in enumerate(rows):
                 if (h, run) != current:
-                    current, last, trips = (h, run), {}, []
+                    current, last, trips = (h, run), {}, deque()
                 if p in last and t - last[p] < quiet:
                     continue
-                trips = [x for x in trips if x >= t - window]
+                while trips and trips[0] < t - window:
+                    trips.popleft()
                 limit = base * multiplier(len(trips))
                 if n < limit:
                     continue
                 last[p] = t
+                if len(last) > full:  # forget what no longer waits
+                    last = {k: v for k, v in last.items() if t - v < quiet}
+                    full = max(1024, 2 * len(last))
                 trips.append(t)
                 kept.append(i)
                 limits.append(float(limit))
             if kept:
-                yield batch.iloc[kept].assign(threshold=limits, _keep=True)
+                at = pa.array(kept)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in columns), pa.array(limits)], [*columns, "threshold"])
 
     return fold
