@@ -124,6 +124,14 @@ def suppression_stats(raw: DataFrame, fired: DataFrame) -> DataFrame:
                       .alias("suppression_rate"))
 
 
+def fire(alerts: DataFrame, cfg: Config, mutes: DataFrame | None = None, history: DataFrame | None = None) -> DataFrame:
+    """Alerts that pass quiet hours, mutes and dedup, as a table."""
+    out = quiet_hours(alerts, cfg)
+    if mutes is not None:
+        out = apply_mutes(out, mutes)
+    return cut(dedup(out, history))
+
+
 def process(alerts: DataFrame, cfg: Config = Config(), prefixes: DataFrame | None = None,
             mutes: DataFrame | None = None, history: DataFrame | None = None,
             correlate: bool = True) -> DataFrame:
@@ -131,16 +139,10 @@ def process(alerts: DataFrame, cfg: Config = Config(), prefixes: DataFrame | Non
     through the same steps once and are never correlated again."""
     from .incidents import incidents
 
-    def fire(df: DataFrame) -> DataFrame:
-        out = quiet_hours(df, cfg)
-        if mutes is not None:
-            out = apply_mutes(out, mutes)
-        return cut(dedup(out, history))
-
-    fired = fire(alerts)
+    fired = fire(alerts, cfg, mutes, history)
     if correlate:
         # Enrichment changes nothing that correlation looks at, so it runs once, at the end.
-        fired = fired.unionByName(fire(incidents(fired, cfg)))
+        fired = fired.unionByName(fire(incidents(fired, cfg), cfg, mutes, history))
     return enrich(fired, prefixes) if prefixes is not None else fired
 
 

@@ -69,24 +69,37 @@ def _in_order(events):
         F.concat(got, F.array(e))).otherwise(got))
 
 
-def incidents(alerts: DataFrame, cfg: Config = Config()) -> DataFrame:
+def incidents(alerts: DataFrame, cfg: Config = Config(), past: DataFrame | None = None,
+              marks: DataFrame | None = None) -> DataFrame:
     """Incident alerts: an actor seen by enough sensors, hitting enough targets, or passing all
-    stages in order, within the window; one per cooldown. Breadth wins over the stage sequence."""
+    stages in order, within the window; one per cooldown. Breadth wins over the stage sequence.
+
+    With earlier batches, `past` holds their alerts of the last window, which count but complete no
+    incident here, and `marks` (actor, us) their incidents, which hold the cooldown.
+    """
     window = cfg.correlation_window * SECOND
+    alerts = alerts.withColumn("_new", F.lit(True))
+    if past is not None:
+        alerts = alerts.unionByName(past.withColumn("_new", F.lit(False)), allowMissingColumns=True)
     rows = actor_target(alerts.where("category != 'incident'")).where(F.col("actor").isNotNull())
     rows = rows.withColumn("sensor", F.coalesce("sensor", F.lit("local"))).select(
         "alert_id", "us", "actor", "target", "sensor", "category", "severity", "title",
-        "affected_host", "related_host")
-    slim = rows.select("alert_id", "us", "actor", "target", "sensor", "category")
+        "affected_host", "related_host", "_new")
+    slim = rows.select("alert_id", "us", "actor", "target", "sensor", "category", "_new")
     # The window is closed at its far end, hence one microsecond more than the half-open one.
     counted = sliding_distinct(_stage_start(slim, window + 1), ["actor"], ["sensor", "target"],
                                window + 1, ["n_sensors", "n_targets"])
     broad = (F.col("n_sensors") >= cfg.correlation_sensors) | (
         F.col("n_targets") >= cfg.correlation_targets)
     staged = F.coalesce(F.col("stage_start") >= F.col("us") - window, F.lit(False))
-    hits = counted.withColumn("broad", broad).where(broad | staged)
-    fired = cooldown(hits.select("alert_id", "us", "actor", "n_sensors", "n_targets", "broad"),
-                     "actor", cfg.correlation_cooldown, tie="alert_id")
+    hits = counted.withColumn("broad", broad).where(F.col("_new") & (broad | staged)) \
+        .select("alert_id", "us", "actor", "n_sensors", "n_targets", "broad")
+    if marks is not None:
+        seeds = marks.groupBy("actor").agg(F.max("us").alias("us")).withColumn("_seed", F.lit(True))
+        hits = hits.unionByName(seeds, allowMissingColumns=True)
+    fired = cooldown(hits, "actor", cfg.correlation_cooldown, tie="alert_id")
+    if marks is not None:
+        fired = fired.where("_seed is null").drop("_seed")
     full = _members(fired, rows, window)
 
     def names(field):

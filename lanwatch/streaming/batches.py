@@ -14,14 +14,18 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..config import SECOND, Config
 from ..functions import tables
 from ..operators.firsts import first_rows, not_in_baseline
+from ..operators.lineage import cut
 from ..plans import alerts as alert_plans, reports
+from ..plans.incidents import incidents
+
+DAY = 86400 * SECOND
 
 
 def earlier(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
     """Rows written by earlier batches, None before the first."""
     try:
         table = spark.read.parquet(path)
-    except AnalysisException:
+    except AnalysisException:  # no table yet, or only empty batches
         return None
     return table.where(F.col("batch_id") < batch_id).drop("batch_id")
 
@@ -41,21 +45,44 @@ def first_seen_batches(keys: list[str], baseline: str, out: str) -> Callable[[Da
     return run
 
 
+def _recent(spark: SparkSession, path: str, batch_id: int, since: int) -> DataFrame | None:
+    """Rows of earlier batches from `since` on; only the folders of those days are read."""
+    table = earlier(spark, path, batch_id)
+    return None if table is None else table.where((F.col("day") >= since // DAY) & (F.col("us") >= since)).drop("day")
+
+
+def _put_by_day(df: DataFrame, path: str, batch_id: int) -> None:
+    days = df.withColumn("day", F.floor(F.col("us") / DAY))
+    days.write.mode("overwrite").partitionBy("day").parquet(f"{path}/batch_id={batch_id}")
+
+
 def alert_batches(detect: Callable[[DataFrame], DataFrame], out: str, cfg: Config = Config(),
-                  prefixes: DataFrame | None = None, correlate: bool = True) -> Callable[[DataFrame, int], None]:
+                  prefixes: DataFrame | None = None, correlate: bool = True,
+                  mutes: DataFrame | None = None) -> Callable[[DataFrame, int], None]:
     """foreachBatch function: detect, suppress, enrich, correlate and append fired alerts.
 
-    Only alerts young enough to suppress are read from the history.
+    Batches follow each other in event time. An actor's alerts of earlier batches count towards its
+    incidents as long as they lie in the correlation window, so any cut into batches gives the rows of one
+    batch. Tables are laid out by day, and only days young enough to matter are read: alerts below `out`,
+    the times of incidents, which hold their cooldown, beside it.
     """
     longest = max(tables.CATEGORY_COOLDOWN_SECONDS.values()) * SECOND
+    marks = out.rstrip("/") + "_incidents"
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        raw = detect(batch)
-        history = earlier(batch.sparkSession, out, batch_id)
-        if history is not None:
-            start = batch.agg(F.min("us")).first()[0]
-            history = history.select("dedup_key", "us").where(F.col("us") >= (start or 0) - longest)
-        put(alert_plans.process(raw, cfg, prefixes, history=history, correlate=correlate), out, batch_id)
+        spark = batch.sparkSession
+        raw = cut(detect(batch))
+        start = raw.agg(F.min("us")).first()[0] or 0
+        history = _recent(spark, out, batch_id, start - longest)
+        seen = None if history is None else history.select("dedup_key", "us")
+        fired = alert_plans.fire(raw, cfg, mutes, seen)
+        if correlate:
+            past = _recent(spark, out, batch_id, start - cfg.correlation_window * SECOND)
+            before = _recent(spark, marks, batch_id, start - cfg.correlation_cooldown * SECOND)
+            found = cut(incidents(fired, cfg, past, before))
+            fired = fired.unionByName(alert_plans.fire(found, cfg, mutes, seen))
+            _put_by_day(found.select(F.col("affected_host").alias("actor"), "us"), marks, batch_id)
+        _put_by_day(alert_plans.enrich(fired, prefixes) if prefixes is not None else fired, out, batch_id)
     return run
 
 

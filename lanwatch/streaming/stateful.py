@@ -38,7 +38,7 @@ class _BucketCounter(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         for batch in rows:
-            self.rows.appendList([(int(u), int(e), v, bool(o)) for u, e, v, o in zip(
+            self.rows.appendList([(int(u), int(e), v if isinstance(v, str) else None, bool(o)) for u, e, v, o in zip(
                 batch["us"], batch["event_id"], batch["value"], batch["own"])])
         self.handle.registerTimer((int(key[-1]) + 1) * self.width // 1000 + 1)
         yield from ()
@@ -50,12 +50,14 @@ class _BucketCounter(StatefulProcessor):
         while i < len(rows):
             now, j = rows[i][0], i
             while j < len(rows) and rows[j][0] == now:
-                counts[rows[j][2]] = counts.get(rows[j][2], 0) + 1
+                if rows[j][2] is not None:  # a null is no value
+                    counts[rows[j][2]] = counts.get(rows[j][2], 0) + 1
                 j += 1
             while rows[low][0] <= now - self.window_us:
-                counts[rows[low][2]] -= 1
-                if not counts[rows[low][2]]:
-                    del counts[rows[low][2]]
+                if rows[low][2] is not None:
+                    counts[rows[low][2]] -= 1
+                    if not counts[rows[low][2]]:
+                        del counts[rows[low][2]]
                 low += 1
             out += [(*key[:-1], r[0], r[1], r[2], len(counts)) for r in rows[i:j] if r[3]]
             i = j
@@ -92,19 +94,24 @@ class _Cooldown(StatefulProcessor):
         self.waiting = handle.getListState("waiting", "us bigint, event_id bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        first = None
         for batch in rows:
             pairs = [(int(u), int(e)) for u, e in zip(batch["us"], batch["event_id"])]
             self.waiting.appendList(pairs)
-            for u in sorted({u for u, _ in pairs}):
-                self.handle.registerTimer(u // 1000 + 1)
+            first = min(pairs)[0] if first is None else min(first, min(pairs)[0])
+        if first is not None:  # one timer: when it expires, all rows due by then are settled
+            self.handle.registerTimer(first // 1000 + 1)
         yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        limit = expiredTimerInfo.getExpiryTimeInMs() * 1000
+        limit = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()) * 1000
         rows = sorted(self.waiting.get())
         due, rest = [r for r in rows if r[0] < limit], [r for r in rows if r[0] >= limit]
+        if not due:  # settled with an earlier timer of this batch
+            return
         if rest:
             self.waiting.put(rest)
+            self.handle.registerTimer(rest[0][0] // 1000 + 1)
         else:
             self.waiting.clear()
         last = self.last.get()[0] if self.last.exists() else None

@@ -104,3 +104,37 @@ def test_alert_batches_survive_a_retry(spark, tmp_path):
 
     batches.report_batches(out, str(tmp_path / "report"), lambda: T0 + 3600 * S)(batch, 0)
     assert spark.read.parquet(str(tmp_path / "report")).where("report = 'severity'").count() > 0
+
+
+def test_incidents_span_batches(spark, tmp_path):
+    from lanwatch.functions.alerting import to_alerts
+    from lanwatch.plans import alerts as plans
+    rows = [(i, T0 + i * 10 * S, "192.168.1.9", f"192.168.1.{40 + i}") for i in range(8)] + [
+        (20 + i, T0 + 7200 * S + i * 20 * S, "192.168.1.9", f"192.168.1.{80 + i}") for i in range(7)]
+    data = spark.createDataFrame(rows, "event_id long, us long, src string, dst string").withColumn("sensor", F.lit("s1"))
+
+    def detect(df):
+        return to_alerts(df, category="port_scan", severity="high", confidence=0.9, affected=F.col("dst"), related=F.col("src"),
+                         dedup_key=F.concat(F.lit("port_scan:"), "src", F.lit(":"), "dst"), title=F.lit("scan"), description=F.lit("d"),
+                         action=F.lit("a"), rationale=F.lit("r"), extra={"n": F.lit(1)})
+
+    want = sorted((r.category, r.us, r.affected_host) for r in plans.process(detect(data)).collect())
+    assert sum(w[0] == "incident" for w in want) >= 2
+    mute = spark.createDataFrame([(want[-1][2], T0)], "dedup_key string, us long")
+    for k, cuts in enumerate(([0, 30, 100], [0, 2, 4, 6, 21, 24, 100])):
+        out = str(tmp_path / f"out{k}")
+        step = batches.alert_batches(detect, out, mutes=mute)
+        for i, (a, b) in enumerate(zip(cuts, cuts[1:])):
+            step(data.where((F.col("event_id") >= a) & (F.col("event_id") < b)), i)
+        assert sorted((r.category, r.us, r.affected_host) for r in spark.read.parquet(out).collect()) == want
+
+
+def test_stream_counter_passes_over_nulls(spark, tmp_path):
+    path = str(tmp_path / "conn")
+    batch = traffic(spark, path, n=90)
+    value = F.when(F.col("dst_port") == 443, None).otherwise(F.col("dst_ip"))
+    stream = stream_events(spark, "connections", path, maxFilesPerTrigger=1).withColumn("v", value)
+    got = run(stateful.sliding_distinct_stream(stream, ["src_ip"], "v", 30 * S), tmp_path, "nulls")
+    want = sliding_distinct(batch.withColumn("v", value).select("us", "event_id", "src_ip", "v"), ["src_ip"], "v", 30 * S, "n")
+    late = T0 + 10 ** 5 * S
+    assert {(r.event_id, r.n_distinct) for r in got.collect()} == {(r.event_id, r.n) for r in want.collect() if r.us < late}
