@@ -131,6 +131,7 @@ CHECK_BITS = 16                  # of the first 64 word bits may differ (mean 5,
 # similar, beyond SIMILAR_BITS as not; between them the sets of shingles are compared.
 SURE_BITS, SIMILAR_BITS = 26, 56
 SIMILARITY = 0.8
+SHARED = 16                      # nodes with one segment value that are compared in pairs; beyond it see similar_groups()
 WORD_CACHE = 200_000
 
 
@@ -189,29 +190,48 @@ def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ["doc_id", "h", "id", "chk", "segs", "s0", "s1", "s2", "s3"])
 
 
+def _targets(table: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(`table` with `full` set where more than SHARED rows have one (seg, val), the rows that others are compared with).
+
+    Of a full value these are two: the least id and the id with the least hash.
+    """
+    node = F.struct("id", "chk")
+    chosen = table.groupBy("seg", "val").agg(F.count("*").alias("n"), F.min_by(node, "id").alias("l0"), F.min_by(node, F.xxhash64("id")).alias("l1"))
+    leaders = cut(chosen.where(F.col("n") > SHARED).select("seg", "val", F.explode(F.array_distinct(F.array("l0", "l1"))).alias("l"))
+                  .select("seg", "val", "l.id", "l.chk"))
+    marked = table.join(leaders.select("seg", "val").distinct().withColumn("full", F.lit(True)), ["seg", "val"], "left")
+    return marked, marked.where("full is null").drop("full").unionByName(leaders)
+
+
 def similar_groups(docs: DataFrame) -> DataFrame:
     """(doc_id, h, root) of every row of `docs`: near copies have one root.
 
-    Texts with equal fingerprints (copies, case and spacing apart) are one node. Values of a segment that more
-    than CROWDED nodes have are linked through two of them, instead of all pairs; as every node has SEGMENTS
-    values, with leaders of their own, a large group of near copies still hangs together. All null and empty texts are one node. An empty table gives an empty table.
+    Texts with equal fingerprints (copies, case and spacing apart) are one node. Nodes that share a segment value
+    are compared in pairs up to SHARED of them. The nodes of a fuller value are compared with two of them, and
+    met again under each two full values that they share (48 bits instead of 24), so unrelated texts that crowd a
+    value in a large corpus do not part those that agree in two segments. A large group of near copies hangs
+    together by the leaders of its many values. All null and empty texts are one node. An empty table gives an
+    empty table.
     """
     rows = cut(docs.select("doc_id", "text", F.xxhash64("text").alias("h")).mapInArrow(_nodes, _NODES))
     nodes = rows.groupBy("id").agg(F.first("chk").alias("chk"), F.first("segs").alias("segs"), *(F.first(f"s{k}").alias(f"s{k}") for k in range(4)))
     nodes = cut(nodes)
-    table = nodes.select("id", "chk", F.posexplode("segs").alias("seg", "val"))
-    chosen = table.groupBy("seg", "val").agg(F.count("*").alias("n"), F.min_by(F.struct("id", "chk"), "id").alias("l0"),
-                                             F.min_by(F.struct("id", "chk"), F.xxhash64("id")).alias("l1")).where(F.col("n") > CROWDED)
-    leaders = cut(chosen.select("seg", "val", F.explode(F.array_distinct(F.array("l0", "l1"))).alias("l")).select("seg", "val", "l.id", "l.chk"))
-    full = leaders.select("seg", "val").distinct().withColumn("full", F.lit(True))
-    marked = table.join(full, ["seg", "val"], "left")
-    targets = marked.where("full is null").drop("full").unionByName(leaders)
-    # the members of a crowded value ask for that value alone: its neighbours' members ask for it, too
+    marked, targets = _targets(nodes.select("id", "chk", F.posexplode("segs").alias("seg", "val")))
+    # the members of a full value ask for that value alone: its neighbours' members ask for it, too
     own = F.array(F.col("val"))
     ball = _ball(F.col("val").cast("long"), SEGMENT_BITS).cast("array<int>")
     probes = marked.select(F.col("id").alias("a"), F.col("chk").alias("ca"), "seg",
                            F.explode(F.when(F.col("full"), own).otherwise(ball)).alias("val"))
-    near = probes.join(targets, ["seg", "val"]).where((F.col("a") != F.col("id")) & (_distance(F.col("ca"), F.col("chk")) <= CHECK_BITS)) \
+    # a list holds SEGMENTS values at most
+    full = marked.where("full").groupBy("id", "chk").agg(F.sort_array(F.collect_list(F.struct("seg", "val"))).alias("v"))
+    twos = cut(full.select("id", "chk", F.explode(F.expr(
+        f"flatten(transform(v, (x, i) -> transform(slice(v, i + 2, size(v)), y -> named_struct("
+        f"'seg', x.seg * {SEGMENTS} + y.seg, 'val', shiftleft(cast(x.val as long), {SEGMENT_BITS}) + y.val))))")).alias("k"))
+               .select("id", "chk", "k.seg", "k.val"))
+    marked_twos, target_twos = _targets(twos)
+    met = probes.join(targets, ["seg", "val"]).select("a", "ca", "id", "chk").unionByName(
+        marked_twos.select(F.col("id").alias("a"), F.col("chk").alias("ca"), "seg", "val").join(target_twos, ["seg", "val"]).select("a", "ca", "id", "chk"))
+    near = met.where((F.col("a") != F.col("id")) & (_distance(F.col("ca"), F.col("chk")) <= CHECK_BITS)) \
         .select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
     left = nodes.select(F.col("id").alias("a"), *(F.col(f"s{k}").alias(f"p{k}") for k in range(4)))
     right = nodes.select(F.col("id").alias("b"), *(f"s{k}" for k in range(4)))
