@@ -36,7 +36,10 @@ BASE = (
     Rule("hex", r"[0-9a-f]{24,}"),
 )
 MORE = (
-    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", hint="PRIVATE KEY-----"),
+    # the whole key: to its END line, or else headers and the block of base64 (also escaped or quoted) after the BEGIN line
+    Rule("pem", r"""-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[\s\S]*?-----END [A-Z ]*PRIVATE KEY-----|"""
+                r"""(?:[ \t\r\n]+[A-Z][A-Za-z-]+: [^\r\n]*){0,8}[ \t\r\n\\"'>]*[A-Za-z0-9+/=]{16,}[A-Za-z0-9+/= \t\r\n\\"'>]*)?""",
+         hint="PRIVATE KEY-----", version=2),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{6,}\.[A-Za-z0-9_-]{6,}\.[A-Za-z0-9_-]{6,}", hint="eyJ"),
     Rule("chat_token", r"xox[abprs]-[A-Za-z0-9-]{10,}", hint="xox"),
 )
