@@ -121,35 +121,13 @@ def near_duplicates(prints: DataFrame) -> DataFrame:
     return prints.join(classes, "fp").select("doc_id", "h", "fp", "component_id", "root")
 
 
-# Near copies: texts whose sets of SIMILAR_WORDS-word shingles have a similarity of 0.8 or more. At that similarity
-# some 15 % of the bits of a shingle fingerprint differ, too many for small balls; of the bits of a fingerprint of
-# the distinct words only some 7 % do. The words' fingerprint retrieves, the shingles' one is verified.
+# Near copies: texts whose sets of SIMILAR_WORDS-word shingles have a similarity of SIMILAR / WHOLE or more.
 SIMILAR_WORDS = 5
-SEGMENTS, SEGMENT_BITS = 10, 24  # with balls of one bit: a pair with 7.5 % differing bits is met with probability 0.997
-CHECK_BITS = 16                  # of the first 64 word bits may differ (mean 5, deviation 2 for such a pair; 29 for others)
-# Of the 256 shingle bits 39 differ at a similarity of 0.8, with a deviation of 5. Up to SURE_BITS a pair counts as
-# similar, beyond SIMILAR_BITS as not; between them the sets of shingles are compared.
-SURE_BITS, SIMILAR_BITS = 26, 56
-SIMILARITY = 0.8
-SHARED = 16                      # nodes with one segment value that are compared in pairs; beyond it see similar_groups()
+SIMILAR, WHOLE = 4, 5
+ORDER_EVERY, ORDER_LEAST = 8, 4  # shingles met so often in one node of so many count as common; see _common()
+COMMON = 1 << 17                 # common shingles that travel to the tasks, at most
 WORD_CACHE = 200_000
-
-
-def _wide(features, known: dict[bytes, bytes] | None = None) -> np.ndarray:
-    """256-bit SimHash, as 32 bytes, of a set of byte strings; none: zero."""
-    counts, n = np.zeros(256, np.int64), len(features)
-    features = list(features)
-    for i in range(0, n, BLOCK >> 2):
-        part = features[i:i + (BLOCK >> 2)]
-        if known is None:
-            digests = b"".join([xxhash.xxh128_digest(f, SEED) + xxhash.xxh128_digest(f, SEED + 1) for f in part])
-        else:
-            for f in part:
-                if f not in known:
-                    known[f] = xxhash.xxh128_digest(f, SEED) + xxhash.xxh128_digest(f, SEED + 1)
-            digests = b"".join([known[f] for f in part])
-        counts += np.unpackbits(np.frombuffer(digests, np.uint8).reshape(-1, 32), axis=1).sum(axis=0, dtype=np.int64)
-    return np.packbits(counts * 2 > n)
+_MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
 
 
 def similar_shingles(tokens: list[bytes]) -> set[bytes]:
@@ -157,104 +135,142 @@ def similar_shingles(tokens: list[bytes]) -> set[bytes]:
     return {b" ".join(tokens[i:i + SIMILAR_WORDS]) for i in range(n)}
 
 
-def wide_prints(text: str | None, known: dict[bytes, bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(fingerprint of the distinct words, fingerprint of the distinct shingles) of one text, 32 bytes each."""
+def shingle_hashes(text: str | None, known: dict[bytes, int]) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the shingles of similar_shingles(), put together from hashes of the words."""
     tokens = (text or "").encode().lower().split()
-    return _wide(set(tokens), known), _wide(similar_shingles(tokens))
-
-
-def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part in text_slices(batches, SLICE_BYTES):
-        sets = [np.array([xxhash.xxh64_intdigest(x, SEED) for x in similar_shingles((t or "").encode().lower().split())], np.uint64).view(np.int64)
-                for t in part.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([part.column("h"), pa.array(sets, pa.list_(pa.int64()))], ["h", "shingles"])
+    for t in set(tokens).difference(known):
+        known[t] = xxhash.xxh64_intdigest(t, SEED)
+    words = np.array([known[t] for t in tokens], np.uint64)
+    n = max(1, len(words) - SIMILAR_WORDS + 1) if len(words) else 0
+    out = np.zeros(n, np.uint64)
+    for k in range(min(SIMILAR_WORDS, len(words))):
+        out = (out ^ (out >> np.uint64(31))) * _MIX[0] + words[k:k + n] * _MIX[k]
+    out = (out ^ (out >> np.uint64(29))) * _MIX[2]
+    return np.unique((out ^ (out >> np.uint64(32))).view(np.int64))
 
 
-_NODES = "doc_id long, h long, id long, chk long, segs array<int>, s0 long, s1 long, s2 long, s3 long"
+_MARKS = [f"m{k}" for k in range(8)]  # bits of the hashes in a set
 
 
 def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known: dict[bytes, bytes] = {}
+    known: dict[bytes, int] = {}
     for part in text_slices(batches, SLICE_BYTES):
         if len(known) > WORD_CACHE:
             known = {}
-        prints = [wide_prints(t, known) for t in part.column("text").to_pylist()]
-        ids = [xxhash.xxh64_intdigest(w.tobytes() + s.tobytes()) for w, s in prints]
-        words = np.array([w for w, _ in prints], np.uint8)
-        segs = words[:, :3 * SEGMENTS].reshape(-1, 3).astype(np.int32) @ np.array([1 << 16, 1 << 8, 1], np.int32)
-        shingles = np.array([s for _, s in prints], np.uint8).view(">i8").astype(np.int64)
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(segs) + 1, SEGMENTS), pa.int32()), pa.array(segs, pa.int32()))
+        sets = [shingle_hashes(t, known) for t in part.column("text").to_pylist()]
+        ids = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
+        marks = np.zeros((len(sets), 64 * len(_MARKS)), np.uint8)
+        marks[np.repeat(np.arange(len(sets)), [len(s) for s in sets]), np.concatenate(sets) & (marks.shape[1] - 1)] = 1
+        marks = np.packbits(marks, axis=1).view(np.int64)
         yield pa.RecordBatch.from_arrays(
-            [part.column("doc_id").cast(pa.int64()), part.column("h"), pa.array(np.array(ids, np.uint64).view(np.int64)),
-             pa.array(words[:, :8].copy().view(">i8").astype(np.int64).ravel()), lists, *(pa.array(shingles[:, k].copy()) for k in range(4))],
-            ["doc_id", "h", "id", "chk", "segs", "s0", "s1", "s2", "s3"])
+            [part.column("doc_id").cast(pa.int64()), part.column("h"), pa.array(ids), pa.array(sets, pa.list_(pa.int64())),
+             *(pa.array(marks[:, k].copy()) for k in range(len(_MARKS)))], ["doc_id", "h", "id", "shingles", *_MARKS])
 
 
-def _targets(table: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(`table` with `full` set where more than SHARED rows have one (seg, val), the rows that others are compared with).
+def _common(nodes: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, counts) of common shingles, counted in one node of ORDER_EVERY; the most common ones, COMMON at most.
 
-    Of a full value these are two: the least id and the id with the least hash.
+    They only order the shingles of a set. Any order that is the same for all sets gives all pairs; a good one
+    puts the shingles that many sets share last, so that few sets meet for nothing.
+    """
+    counts = cut(nodes.where(F.pmod("id", F.lit(ORDER_EVERY)) == 0).select(F.explode("shingles").alias("sh")).groupBy("sh").count()
+                 .where(F.col("count") >= ORDER_LEAST))
+    step = F.floor(F.log2("count") * 16)
+    least, taken = None, 0
+    for row in counts.groupBy(step.alias("s")).agg(F.count("*").alias("n")).orderBy(F.desc("s")).collect():
+        taken += row.n
+        if taken > COMMON:
+            break
+        least = row.s
+    rows = [] if least is None else sorted((r.sh, r["count"]) for r in counts.where(step >= least).collect())
+    return np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64)
+
+
+def _prefixes(nodes: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """(sh, id, n, pos): the rarest shingles of each set, so many that similar sets share one of them.
+
+    Sets of n and more shingles that are similar to one of n have at least ceil(n * SIMILAR / WHOLE) shingles in
+    common with it, so not all the others and one more can be missing.
     """
-    node = F.struct("id", "chk")
-    chosen = table.groupBy("seg", "val").agg(F.count("*").alias("n"), F.min_by(node, "id").alias("l0"), F.min_by(node, F.xxhash64("id")).alias("l1"))
-    leaders = cut(chosen.where(F.col("n") > SHARED).select("seg", "val", F.explode(F.array_distinct(F.array("l0", "l1"))).alias("l"))
-                  .select("seg", "val", "l.id", "l.chk"))
-    marked = table.join(leaders.select("seg", "val").distinct().withColumn("full", F.lit(True)), ["seg", "val"], "left")
-    return marked, marked.where("full is null").drop("full").unionByName(leaders)
+    hashes, counts = common
+
+    def run(batches):
+        for batch in batches:
+            lists = batch.column("shingles")
+            flat, sizes = lists.flatten().to_numpy(zero_copy_only=False), np.diff(lists.offsets.to_numpy())
+            weight = np.zeros(len(flat), np.int64)
+            if len(hashes):
+                at = np.minimum(np.searchsorted(hashes, flat), len(hashes) - 1)
+                weight = np.where(hashes[at] == flat, counts[at], 0)
+            owner = np.repeat(np.arange(len(sizes)), sizes)
+            order = np.lexsort((flat, weight, owner))
+            pos = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            first = pos < (sizes + (-sizes * SIMILAR) // WHOLE + 1)[owner]  # - ceil(x) is floor(- x)
+            by = owner[first]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(flat[order][first]), batch.column("id").take(pa.array(by)), pa.array(sizes[by].astype(np.int32)), pa.array(pos[first].astype(np.int32))],
+                ["sh", "id", "n", "pos"])
+
+    return nodes.select("id", "shingles").mapInArrow(run, "sh long, id long, n int, pos int")
+
+
+def _possible() -> Column:
+    """Whether sets a and b can be similar that share the shingle at places pos_a and pos_b of their orders."""
+    shared = F.least("pos_a", "pos_b") + 1 + F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b")) - 1
+    return shared.cast("long") * (SIMILAR + WHOLE) >= (F.col("n_a").cast("long") + F.col("n_b")) * SIMILAR
+
+
+def _unlike() -> Column:
+    """Whether the marks prove that a and b are not similar: each mark that only one has is a shingle that only it has."""
+    def alone(x, y):
+        return sum((F.bit_count(F.col(f"{m}_{x}").bitwiseAND(F.bitwise_not(F.col(f"{m}_{y}")))) for m in _MARKS), F.lit(0))
+
+    shared = F.least(F.col("n_a") - alone("a", "b"), F.col("n_b") - alone("b", "a"))
+    return shared.cast("long") * (SIMILAR + WHOLE) < (F.col("n_a").cast("long") + F.col("n_b")) * SIMILAR
+
+
+def _similar(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sets are similar, by the sets."""
+    pairs = cut(pairs)
+    wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    sets = cut(nodes.select("id", "shingles").join(wanted, "id", "left_semi"))
+    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a") \
+        .join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
+    common = F.size(F.array_intersect("x", "y")).cast("long")
+    return both.where(common * (SIMILAR + WHOLE) >= (F.size("x").cast("long") + F.size("y")) * SIMILAR).select("a", "b")
 
 
 def similar_groups(docs: DataFrame) -> DataFrame:
-    """(doc_id, h, root) of every row of `docs`: near copies have one root.
-
-    Texts with equal fingerprints (copies, case and spacing apart) are one node. Nodes that share a segment value
-    are compared in pairs up to SHARED of them. The nodes of a fuller value are compared with two of them, and
-    met again under each two full values that they share (48 bits instead of 24), so unrelated texts that crowd a
-    value in a large corpus do not part those that agree in two segments. A large group of near copies hangs
-    together by the leaders of its many values. All null and empty texts are one node. An empty table gives an
-    empty table.
+    """(doc_id, h, root) of every row of `docs`: rows have one root if and only if a chain of similar texts joins them.
+
+    Texts with equal sets of shingles (copies, case and spacing apart) are one node. Of each set the rarest
+    shingles are handed out (_prefixes); similar sets share one of them. First all sets with a shingle are compared
+    with the least of them, which joins large groups of near copies without their pairs. Then, under every
+    shingle, all pairs that are not in one group yet are compared. Nothing is capped: a shingle of many sets that
+    are no near copies costs their pairs, less those that sizes, places of the shingle or marks rule out. All
+    null and empty texts are one node. An empty table gives an empty table.
     """
-    rows = cut(docs.select("doc_id", "text", F.xxhash64("text").alias("h")).mapInArrow(_nodes, _NODES))
-    nodes = rows.groupBy("id").agg(F.first("chk").alias("chk"), F.first("segs").alias("segs"), *(F.first(f"s{k}").alias(f"s{k}") for k in range(4)))
-    nodes = cut(nodes)
-    marked, targets = _targets(nodes.select("id", "chk", F.posexplode("segs").alias("seg", "val")))
-    # the members of a full value ask for that value alone: its neighbours' members ask for it, too
-    own = F.array(F.col("val"))
-    ball = _ball(F.col("val").cast("long"), SEGMENT_BITS).cast("array<int>")
-    probes = marked.select(F.col("id").alias("a"), F.col("chk").alias("ca"), "seg",
-                           F.explode(F.when(F.col("full"), own).otherwise(ball)).alias("val"))
-    # a list holds SEGMENTS values at most
-    full = marked.where("full").groupBy("id", "chk").agg(F.sort_array(F.collect_list(F.struct("seg", "val"))).alias("v"))
-    twos = cut(full.select("id", "chk", F.explode(F.expr(
-        f"flatten(transform(v, (x, i) -> transform(slice(v, i + 2, size(v)), y -> named_struct("
-        f"'seg', x.seg * {SEGMENTS} + y.seg, 'val', shiftleft(cast(x.val as long), {SEGMENT_BITS}) + y.val))))")).alias("k"))
-               .select("id", "chk", "k.seg", "k.val"))
-    marked_twos, target_twos = _targets(twos)
-    met = probes.join(targets, ["seg", "val"]).select("a", "ca", "id", "chk").unionByName(
-        marked_twos.select(F.col("id").alias("a"), F.col("chk").alias("ca"), "seg", "val").join(target_twos, ["seg", "val"]).select("a", "ca", "id", "chk"))
-    near = met.where((F.col("a") != F.col("id")) & (_distance(F.col("ca"), F.col("chk")) <= CHECK_BITS)) \
-        .select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
-    left = nodes.select(F.col("id").alias("a"), *(F.col(f"s{k}").alias(f"p{k}") for k in range(4)))
-    right = nodes.select(F.col("id").alias("b"), *(f"s{k}" for k in range(4)))
-    differing = sum((_distance(F.col(f"p{k}"), F.col(f"s{k}")) for k in range(1, 4)), _distance(F.col("p0"), F.col("s0")))
-    pairs = cut(near.join(left, "a").join(right, "b").select("a", "b", differing.alias("bits")).where(F.col("bits") <= SIMILAR_BITS))
-    sure = pairs.where(F.col("bits") <= SURE_BITS).select("a", "b")
-    groups = components(sure)
-    # of the doubtful pairs, only those that would join two groups need a look
-    doubtful = pairs.where(F.col("bits") > SURE_BITS).join(groups.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left") \
-        .join(groups.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left") \
-        .where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
-    hashes = rows.groupBy("id").agg(F.min("h").alias("h"))
-    doubtful = cut(doubtful.join(hashes.select(F.col("id").alias("a"), F.col("h").alias("ha")), "a")
-                   .join(hashes.select(F.col("id").alias("b"), F.col("h").alias("hb")), "b"))
-    wanted = doubtful.select(F.col("ha").alias("h")).unionByName(doubtful.select(F.col("hb").alias("h"))).distinct()
-    texts = docs.select(F.xxhash64("text").alias("h"), "text").join(wanted, "h", "left_semi")
-    sets = cut(texts.mapInArrow(_shingle_sets, "h long, shingles array<long>").dropDuplicates(["h"]))
-    both = doubtful.join(sets.select(F.col("h").alias("ha"), F.col("shingles").alias("x")), "ha") \
-        .join(sets.select(F.col("h").alias("hb"), F.col("shingles").alias("y")), "hb")
-    common = F.size(F.array_intersect("x", "y"))
-    checked = both.where(common >= SIMILARITY * (F.size("x") + F.size("y") - common)).select("a", "b")
-    joined = checked.unionByName(groups.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
-    groups = components(joined).withColumnRenamed("node", "id")
+    rows = cut(docs.select("doc_id", "text", F.xxhash64("text").alias("h")).mapInArrow(
+        _nodes, "doc_id long, h long, id long, shingles array<long>, " + ", ".join(f"{m} long" for m in _MARKS)).withColumn("row", F.monotonically_increasing_id()))
+    least = rows.groupBy("id").agg(F.min("row").alias("least"))
+    copies = cut(rows.select("id", "row").join(least, "id").where("row <> least").select("row"))
+    nodes = rows.join(copies, "row", "left_anti").select("id", "shingles", *_MARKS)
+    spread = _prefixes(nodes, _common(nodes))
+    many = spread.groupBy("sh").agg(F.count("*").alias("c"), F.min(F.struct("id", "n", "pos")).alias("l")).where("c > 1").select("sh", "l")
+    lists = cut(spread.join(many, "sh").select("sh", "id", "n", "pos", "l"))
+    stars = lists.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("pos").alias("pos_b"), F.col("l.id").alias("a"),
+                         F.col("l.n").alias("n_a"), F.col("l.pos").alias("pos_a")).where("a <> b").where(_possible()).select("a", "b").distinct()
+    links = cut(_similar(stars, nodes))
+    groups = components(links).select(F.col("node").alias("id"), F.col("root"))
+    named = lists.drop("l").join(groups, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    split = named.groupBy("sh").agg(F.min("root").alias("p"), F.max("root").alias("q")).where("p <> q").select("sh")
+    open_ = cut(named.join(split, "sh", "left_semi"))
+    marks = cut(nodes.select("id", *_MARKS).join(open_.select("id").distinct(), "id", "left_semi"))
+    open_ = open_.join(marks, "id")
+    a = open_.select("sh", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("pos").alias("pos_a"), F.col("root").alias("ra"), *(F.col(m).alias(f"{m}_a") for m in _MARKS))
+    b = open_.select("sh", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("pos").alias("pos_b"), F.col("root").alias("rb"), *(F.col(m).alias(f"{m}_b") for m in _MARKS))
+    rest = a.join(b, "sh").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & _possible() & ~_unlike()).select("a", "b").distinct()
+    groups = components(links.unionByName(_similar(rest, nodes))).withColumnRenamed("node", "id")
     return rows.select("doc_id", "h", "id").join(groups, "id", "left").select("doc_id", "h", F.coalesce("root", "id").alias("root"))
 
 

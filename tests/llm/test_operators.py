@@ -104,6 +104,42 @@ def test_near_dedup_keeps_one_of_each_group(docs, none):
     assert simhash.keep_first(none).count() == 0
 
 
+def check_groups(spark, texts):
+    got = {r.doc_id: r.root for r in simhash.similar_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    sets = [frozenset(simhash.similar_shingles(t.encode().lower().split())) for t in texts]
+    root = roots(range(len(texts)), lambda a, b: sets[a] == sets[b] or 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]) > 0)
+    want, have = collections.defaultdict(set), collections.defaultdict(set)
+    for i in range(len(texts)):
+        want[root[i]].add(i)
+        have[got[i]].add(i)
+    assert sorted(map(sorted, want.values())) == sorted(map(sorted, have.values()))
+    return len(want)
+
+
+def test_near_dedup_meets_all_pairs_of_a_crowd(spark):
+    rng = random.Random(11)
+
+    def fresh(n):
+        return [f"w{rng.randrange(10**9)}" for _ in range(n)]
+
+    common = fresh(100)
+    texts = []
+    for _ in range(200):  # all share a passage; only the two of a pair are similar
+        own = fresh(20)
+        texts += [common + own, common + own[:17] + fresh(3)]
+        texts.append(common[:40] + fresh(6))
+    same = fresh(60)
+    for _ in range(200):  # the same words in other orders: every fingerprint of words is equal
+        rng.shuffle(same)
+        texts += [list(same), same[:2] + same[3:]]
+    base = fresh(120)
+    for _ in range(300):  # a chain of small changes, far from the first in the end
+        base = list(base)
+        base[rng.randrange(120)] = fresh(1)[0]
+        texts.append(base)
+    check_groups(spark, [" ".join(t) for t in texts])
+
+
 def test_language(spark, docs, none):
     r = random.Random(1)
     speech = {"aa": "the and of ing tion".split(), "bb": "der und ung keit sch".split()}
