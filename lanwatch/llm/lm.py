@@ -1,8 +1,7 @@
 """Scoring texts with a gated recurrent language model trained on the corpus.
 
 Word counts cover all training documents. The network's vocabulary are the most frequent words; it learns from
-a fixed share of all spans of the training texts, in tasks of bounded size whose weights are averaged round by
-round. Every whole text is scored, its state carried from window to window. Words outside the vocabulary cost
+all spans of the training texts, in tasks of bounded size whose weights are averaged round by round. Every whole text is scored, its state carried from window to window. Words outside the vocabulary cost
 the network's probability of such a word times the word's own share among them.
 """
 
@@ -25,8 +24,7 @@ VOCABULARY = 2048      # words of the network, the end among them
 COMMON = 1 << 16       # words whose counts travel to the tasks, at most; the others are joined. A word outside
                        # has less than 1 / COMMON of all tokens, so no key of that join is large
 SPAN = 128             # tokens of a training span
-TRAIN_EVERY = 16       # one span in so many teaches the network, chosen by hash over all places of all training texts
-ROUNDS = 3             # of training, with averaging after each
+ROUNDS = 3             # of training, with averaging after each; each span teaches in one of them
 TASK_SPANS = 4096      # spans of a training task and round; more spans make more tasks
 AVERAGE_ROWS = 64      # weight vectors averaged in one group, level by level
 SLICE_BYTES = 4 << 20
@@ -105,28 +103,30 @@ def _with_ends(ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def training_spans(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """(key, round, ids): the spans that teach the network; the first id is what stands before the span."""
+    """(key, round, ids): all spans of all texts; the first id is what stands before the span.
+
+    The key is a hash of row, text and place, so the spans of equal texts have different keys and rounds.
+    """
     def run(batches):
         for part in _slices(batches):
             words, sizes = tokens_of(part.column("text"))
             ids = lexicon.ids(words)
             ids, borders = _with_ends(np.where((ids < 0) | (ids >= lexicon.size), lexicon.size, ids), sizes)
             keys, rounds, spans = [], [], []
-            for i, text in enumerate(part.column("text").to_pylist()):
-                name = xxhash.xxh64_digest((text or "").encode())
+            for i, (text, row) in enumerate(zip(part.column("text").to_pylist(), part.column("row").to_pylist())):
+                name = xxhash.xxh64_digest((text or "").encode()) + row.to_bytes(8, "big")
                 for place in range(0, int(borders[i + 1] - borders[i]), SPAN):
                     key = xxhash.xxh64_intdigest(name + place.to_bytes(8, "big"))
-                    if key % TRAIN_EVERY == 0:
-                        at = int(borders[i]) + place
-                        before = gru.END if place == 0 else ids[at - 1]
-                        keys.append(key >> 1)
-                        rounds.append(key // TRAIN_EVERY % ROUNDS)
-                        spans.append(np.append(before, ids[at:min(at + SPAN, int(borders[i + 1]))]).astype(np.int32))
+                    at = int(borders[i]) + place
+                    before = gru.END if place == 0 else ids[at - 1]
+                    keys.append(key >> 1)
+                    rounds.append(key % ROUNDS)
+                    spans.append(np.append(before, ids[at:min(at + SPAN, int(borders[i + 1]))]).astype(np.int32))
             if keys:
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(rounds, pa.int32()), pa.array(spans, pa.list_(pa.int32()))],
                                                  ["key", "round", "ids"])
 
-    return docs.select("text").mapInArrow(run, "key long, round int, ids array<int>")
+    return docs.select("text", F.monotonically_increasing_id().alias("row")).mapInArrow(run, "key long, round int, ids array<int>")
 
 
 def _average(rows: DataFrame, tasks: int) -> DataFrame:

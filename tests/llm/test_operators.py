@@ -375,3 +375,15 @@ def test_lm(docs, none):
     nothing = lm.Lexicon(empty)
     assert lm.score(none, empty, nothing, lm.train(none, nothing)).count() == 0
     assert lm.score(docs.limit(3), empty, nothing, lm.train(none, nothing)).count() == 3
+
+
+def test_lm_learns_from_every_span(spark):
+    rng = random.Random(13)
+    texts = ["one short text"] * 300 + [" ".join(rng.choices(VOCAB, k=rng.choice([5, 128, 300]))) for _ in range(600)]
+    df = spark.createDataFrame([(None if i % 2 else 7, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    lexicon = lm.Lexicon(lm.word_counts(df))
+    spans = lm.training_spans(df, lexicon).collect()
+    assert sum(len(r.ids) - 1 for r in spans) == lexicon.n == sum(len(words(t)) + 1 for t in texts)
+    assert len({r.key for r in spans}) == len(spans)
+    copies = collections.Counter(r["round"] for r in spans if len(r.ids) == 5)
+    assert all(copies[k] > 60 for k in range(lm.ROUNDS))
