@@ -140,6 +140,21 @@ def test_near_dedup_meets_all_pairs_of_a_crowd(spark):
     check_groups(spark, [" ".join(t) for t in texts])
 
 
+def test_near_dedup_meets_block_edits_and_short_texts(spark):
+    rng = random.Random(12)
+
+    def fresh(n):
+        return [f"w{rng.randrange(10**9)}" for _ in range(n)]
+
+    texts = []
+    for size, more in ((60, 14), (300, 70), (1000, 240), (8, 1)):
+        for _ in range(30):
+            own = fresh(size)
+            texts += [own, own + fresh(more)]  # one block, or one word, added at the end
+    groups = check_groups(spark, [" ".join(t) for t in texts])
+    assert groups == 4 * 30
+
+
 def test_language(spark, docs, none):
     r = random.Random(1)
     speech = {"aa": "the and of ing tion".split(), "bb": "der und ung keit sch".split()}
