@@ -126,6 +126,7 @@ SIMILAR_WORDS = 5
 SIMILAR, WHOLE = 4, 5
 ORDER_EVERY, ORDER_LEAST = 8, 4  # shingles met so often in one node of so many count as common; see _common()
 COMMON = 1 << 17                 # common shingles that travel to the tasks, at most
+LIST_SLICE = 1 << 18             # shingles sorted at once
 WORD_CACHE = 200_000
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
 
@@ -186,6 +187,16 @@ def _common(nodes: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64)
 
 
+def _list_slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch cut where its sets exceed LIST_SLICE shingles (one larger set comes alone)."""
+    ends = np.cumsum(np.diff(batch.column("shingles").offsets.to_numpy()))
+    start = 0
+    while start < batch.num_rows:
+        end = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + LIST_SLICE, "right")))
+        yield batch.slice(start, end - start)
+        start = end
+
+
 def _prefixes(nodes: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """(sh, id, n, pos): the rarest shingles of each set, so many that similar sets share one of them.
 
@@ -195,7 +206,7 @@ def _prefixes(nodes: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFr
     hashes, counts = common
 
     def run(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in _list_slices(whole)):
             lists = batch.column("shingles")
             flat, sizes = lists.flatten().to_numpy(zero_copy_only=False), np.diff(lists.offsets.to_numpy())
             weight = np.zeros(len(flat), np.int64)
