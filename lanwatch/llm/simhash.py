@@ -241,9 +241,17 @@ def _unlike() -> Column:
 
 
 def _similar(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets are similar, by the sets."""
+    """The pairs (a, b) whose sets are similar, by the sets; those that marks rule out need none."""
+    def ids(of):
+        return cut(of.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+
+    def side(of, x):
+        return of.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), *(F.col(m).alias(f"{m}_{x}") for m in _MARKS))
+
     pairs = cut(pairs)
-    wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    about = cut(nodes.select("id", F.size("shingles").alias("n"), *_MARKS).join(ids(pairs), "id", "left_semi"))
+    pairs = cut(pairs.join(side(about, "a"), "a").join(side(about, "b"), "b").where(~_unlike()).select("a", "b"))
+    wanted = ids(pairs)
     sets = cut(nodes.select("id", "shingles").join(wanted, "id", "left_semi"))
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a") \
         .join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
