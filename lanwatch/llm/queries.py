@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, language, licenses, lm, pieces, secrets, simhash, sketch, tokencount
+from . import (chat, decontaminate, divergence, language, licenses, lm, pieces, secrets, simhash, sketch, spelling,
+               tokencount, topk)
 
 ENTRIES = {
     "op1_lm": (lm.query, None),
@@ -15,4 +16,7 @@ ENTRIES = {
     "op8_pieces": (pieces.query, None),
     "op9_licenses": (licenses.query, None),
     "op10_language": (language.query, None),
+    "op11_topk": (topk.query, topk.SQL),
+    "op12_divergence": (divergence.query, divergence.SQL),
+    "op13_spelling": (spelling.query, None),
 }
