@@ -20,7 +20,8 @@ from .common import LOWER, UPPER, cut, read
 
 TERM = re.compile(rb"[a-z\x80-\xff]+")  # of UTF-8 in lower case: letters A-Z and all other code points from U+0080
 CELLS = 1 << 15       # (source, term) cells of a block, on average
-HELD = 200_000        # counted terms a task holds before it passes them on
+HELD = 500_000        # counted terms a task holds before it passes them on
+DOC = 1 << 40         # one document, in a number that counts occurrences below it (a task holds less text than that)
 SCALE = 1_000_000_000
 LEAST_DOCS = 3
 TOP_TERMS = 200
@@ -33,31 +34,29 @@ def tally(docs: DataFrame) -> DataFrame:
     Counted in the tasks that read the texts, HELD terms at a time, then summed.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple, list[int]] = {}
+        groups: dict[tuple[str, str], dict[bytes, int]] = {}
+        size = 0
 
-        def out() -> pa.RecordBatch:
-            keys, counts = list(held), list(held.values())
-            columns = [pa.array([k[i] for k in keys], kind) for i, kind in enumerate((pa.string(), pa.string(), pa.binary()))]
-            columns[2] = columns[2].cast(pa.string())
-            return pa.RecordBatch.from_arrays([*columns, *(pa.array([c[i] for c in counts], pa.int64()) for i in (0, 1))],
-                                              ["lang", "source", "term", "n", "docs"])
+        def out() -> Iterator[pa.RecordBatch]:
+            for (lang, source), held in groups.items():
+                both = np.fromiter(held.values(), np.int64, len(held))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([lang] * len(held)), pa.array([source] * len(held)), pa.array(held.keys(), pa.binary()).cast(pa.string()),
+                     pa.array(both & (DOC - 1)), pa.array(both >> 40)], ["lang", "source", "term", "n", "docs"])
+            groups.clear()
 
         for batch in batches:
             langs, sources, texts = (batch.column(c) for c in ("lang", "source", "text"))
             for i in range(batch.num_rows):
-                lang, source = langs[i].as_py(), sources[i].as_py()
+                held = groups.setdefault((langs[i].as_py(), sources[i].as_py()), {})
+                size -= len(held)
                 for term, n in Counter(TERM.findall(texts[i].as_buffer().to_pybytes().lower())).items():
-                    cell = held.get((lang, source, term))
-                    if cell is None:
-                        held[lang, source, term] = [n, 1]
-                    else:
-                        cell[0] += n
-                        cell[1] += 1
-                if len(held) > HELD:
-                    yield out()
-                    held.clear()
-        if held:
-            yield out()
+                    held[term] = held.get(term, 0) + n + DOC
+                size += len(held)
+                if size > HELD:
+                    yield from out()
+                    size = 0
+        yield from out()
 
     plain = docs.select(*(F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("lang", "source")),
                         F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
