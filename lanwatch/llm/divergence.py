@@ -41,7 +41,7 @@ def tally(docs: DataFrame) -> DataFrame:
             for (lang, source), held in groups.items():
                 both = np.fromiter(held.values(), np.int64, len(held))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * len(held)), pa.array([source] * len(held)), pa.array(held.keys(), pa.binary()).cast(pa.string()),
+                    [pa.array([lang] * len(held), pa.string()), pa.array([source] * len(held), pa.string()), pa.array(held.keys(), pa.binary()).cast(pa.string()),
                      pa.array(both & (DOC - 1)), pa.array(both >> 40)], ["lang", "source", "term", "n", "docs"])
             groups.clear()
 
