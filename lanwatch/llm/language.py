@@ -14,12 +14,13 @@ import regex
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
-from .common import fresh, read, text_slices
+from .common import cut, fresh, read, text_slices
 
 DICT_DOCS = 200        # training documents per language that fill its dictionary: those with the least hash
 DICT_EXCERPT = 512     # code points of each, from its middle, so that no long text fills a dictionary alone
-DICT_BYTES = 96 << 10  # at most so many bytes a dictionary
-LANGUAGES = 256        # languages with most training documents; a guard against identifiers in `lang`
+DICT_BYTES = 96 << 10  # at most so many bytes a dictionary, and
+ALL_BYTES = 64 << 20   # so many all together, in equal shares: every language is learned, however many there are
+SPARE = 4              # times DICT_DOCS rows are ranked, so that no task ranks all rows of a language
 BLOCK_BYTES = 4096     # encoded at once
 MARGIN = 0.01          # smaller relative gaps between the best two languages are rejected
 SLICE_BYTES = 8 << 20
@@ -38,24 +39,29 @@ def held_out(doc_id: Column) -> Column:
 def learn(docs: DataFrame) -> dict[str, bytes]:
     """Dictionary bytes per language, from labelled documents that are not held out.
 
-    The sample is bounded by the parameters above, whatever the size of `docs`: DICT_DOCS excerpts a language,
+    The sample is bounded by the parameters above, whatever the size of `docs`: DICT_DOCS excerpts a language (fewer
+    where so many languages share ALL_BYTES that these would not fit), of every language there is,
     chosen by a hash of the text, so that equal tables give equal dictionaries. Copies of a text count once.
     Texts that are null or empty and rows without a language teach nothing. No labelled row: an empty result.
     """
     known = docs.where(F.col("lang").isNotNull() & (F.length("text") > 0) & ~held_out(F.col("doc_id"))) \
         .select("lang", F.xxhash64("text").alias("h"), "text")
-    kinds = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).select("lang")
+    texts = known.select("lang", "h").distinct()
+    many = cut(texts.groupBy("lang").agg(F.count("*").alias("n")))
+    languages = many.count()
+    room = min(DICT_BYTES, ALL_BYTES // max(1, languages))
+    docs_each = max(1, min(DICT_DOCS, -(-room // (DICT_EXCERPT // 2))))
+    # the least hashes of a language lie below a limit that follows from its number of texts
+    low = (F.col("h") / F.lit(2.0 ** 64) + 0.5) * F.col("n") < SPARE * docs_each + 64
     by_hash = Window.partitionBy("lang").orderBy("h")
-    chosen = known.groupBy("lang", "h").count().join(kinds, "lang", "left_semi") \
-        .withColumn("r", F.row_number().over(by_hash)).where(F.col("r") <= DICT_DOCS).select("lang", "h", "r")
+    chosen = cut(texts.join(many, "lang").where(low).withColumn("r", F.row_number().over(by_hash)).where(F.col("r") <= docs_each).select("lang", "h", "r"))
     start = F.greatest(F.lit(1), F.floor((F.length("text") - DICT_EXCERPT) / 2).cast("int") + 1)
     piece = F.substring(F.col("text"), start, F.lit(DICT_EXCERPT))
-    # chosen has LANGUAGES * DICT_DOCS rows of two numbers and a short name at most
-    pieces = known.join(F.broadcast(chosen), ["lang", "h"]).groupBy("lang", "r").agg(F.min(piece).alias("piece"))
+    pieces = known.join(chosen, ["lang", "h"]).groupBy("lang", "r").agg(F.min(piece).alias("piece"))
     out: dict[str, list[str]] = {}
-    for row in pieces.orderBy("lang", F.desc("r")).collect():
+    for row in pieces.orderBy("lang", F.desc("r")).collect():  # ALL_BYTES and one excerpt a language at most
         out.setdefault(row.lang, []).append(row.piece)
-    return {lang: "\n".join(p).lower().encode()[-DICT_BYTES:] for lang, p in out.items()}
+    return {lang: "\n".join(p).lower().encode()[-room:] for lang, p in out.items()}
 
 
 def compressors(dictionaries: dict[str, bytes]) -> dict[str, zstandard.ZstdCompressor]:

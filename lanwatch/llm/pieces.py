@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import heapq
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -22,12 +23,15 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from .common import fresh, read, text_slices
 
 SPACE = "▁"
-INDEX_BYTES = 512 << 10   # words indexed at once; one longer word is indexed alone, in overlapping parts
-SHORT = 64                # bytes; longer words are relaxed with a heap instead of in rounds over all words
-CACHE_WORDS = 500_000     # encoded words kept by a task; the cache starts anew beyond
-SLICE_BYTES = 4 << 20
+INDEX_BYTES = 256 << 10   # words indexed at once. One longer word is not indexed: its pieces are looked up
+SHORT = 64                # bytes; longer words are relaxed with a queue instead of in rounds over all words
+CACHE_WORDS = 200_000     # encoded words kept by a task, and
+CACHE_BYTES = 4 << 20     # their bytes; the cache starts anew beyond either
+SLICE_BYTES = 1 << 20     # of text, encoded and decoded at once; a longer text is encoded in parts
+SLICE_IDS = 1 << 19       # decoded at once
 NONE = np.int32(2**31 - 1)
 WORD = re.compile(rb" *[^ ]+| +")
+CUT = re.compile(rb"[^ ](?= )")
 
 
 class Vocabulary:
@@ -65,6 +69,10 @@ class Vocabulary:
         for i in plain:
             self.rank[i] = place[sp.get_score(i)]
         self.none = n
+        self.id_of = {self.bytes_of[i]: i for i in plain}
+        sizes = np.fromiter(map(len, self.bytes_of), np.int64, n)
+        self.piece_size, self.piece_start = sizes, np.cumsum(sizes) - sizes
+        self.all_bytes = np.frombuffer(b"".join(self.bytes_of), np.uint8)
 
     def edges(self, text: np.ndarray) -> np.ndarray:
         """Table (position, length) -> piece id, or `none`, of all occurrences of pieces in `text` (bytes)."""
@@ -100,14 +108,13 @@ class Vocabulary:
         return tuple(np.concatenate(x) if x else np.empty(0, np.int64) for x in ([f[0] for f in found], [f[1] for f in found]))
 
     def _encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        if len(words) == 1 and len(words[0]) > INDEX_BYTES:
+            ids = self._long(words[0])
+            return ids, np.array([len(ids)])
         text = np.frombuffer(b"".join(words), np.uint8)
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         ends = np.cumsum(sizes)
-        if len(text) > 2 * INDEX_BYTES:  # one very long word: its edges part by part
-            step, reach = INDEX_BYTES, self.longest
-            table = np.concatenate([self.edges(text[i:i + step + reach])[:step] for i in range(0, len(text), step)])
-        else:
-            table = self.edges(text)
+        table = self.edges(text)
         starts = np.flatnonzero((text & 0xC0) != 0x80)
         owner = np.searchsorted(ends, starts, "right")
         short = sizes[owner] <= SHORT
@@ -172,35 +179,85 @@ class Vocabulary:
 
     def _heap(self, table, starts, end):
         """Relax one long word with a queue of pairs."""
-        s = starts.tolist()
-        e = [*s[1:], end]
-        n = len(s)
-        left, right = list(range(-1, n - 1)), list(range(1, n + 1))
-        queue: list[tuple[int, int, int, int]] = []
-
-        def push(i):
-            j = right[i]
-            if j < n and e[j] - s[i] <= self.longest:
-                r = int(self.rank[table[s[i], e[j] - s[i]]])
-                if r != NONE:
-                    heapq.heappush(queue, (r, s[i], i, e[j]))
-
-        gone = [False] * n
-        for i in range(n - 1):
-            push(i)
+        def rank(i, j):
+            return int(self.rank[table[i, j - i]])
+
+        begin = int(starts[0])
+        s, e = self._relax(starts - begin, int(end) - begin, lambda i, j: rank(begin + i, begin + j))
+        return s + begin, e + begin
+
+    def _relax(self, starts: np.ndarray, end: int, rank) -> tuple[np.ndarray, np.ndarray]:
+        """Begins and ends of the pieces of one word whose code points begin at `starts` (from 0).
+
+        A node is the place where it begins; a queue entry packs rank, place and length of a pair into one number, so
+        that a word takes some 60 bytes a byte.
+        """
+        stop, before = array("l", bytes(8 * (end + 1))), array("l", bytes(8 * (end + 1)))  # stop 0: no node (any more)
+        places = starts.tolist()
+        for i, j in zip(places, [*places[1:], end]):
+            stop[i], before[j] = j, i
+        del places
+
+        def entry(i: int) -> int:
+            """The pair of the node at i and the next one, or -1."""
+            j = stop[i]
+            if j == end:
+                return -1
+            k = stop[j]
+            if k - i > self.longest:
+                return -1
+            r = rank(i, k)
+            return -1 if r == NONE else (r << 48) | (i << 8) | (k - i)
+
+        if self.longest > 255 or end >= 1 << 40:
+            raise ValueError("pieces of over 255 bytes")
+        queue = [x for x in map(entry, starts.tolist()) if x >= 0]
+        heapq.heapify(queue)
         while queue:
-            _, _, i, stop = heapq.heappop(queue)
-            j = right[i] if not gone[i] else n
-            if j >= n or e[j] != stop:
-                continue
-            e[i], gone[j], right[i] = e[j], True, right[j]
-            if right[j] < n:
-                left[right[j]] = i
-            push(i)
-            if left[i] >= 0:
-                push(left[i])
-        kept = [i for i in range(n) if not gone[i]]
-        return np.array([s[i] for i in kept], np.int64), np.array([e[i] for i in kept], np.int64)
+            x = heapq.heappop(queue)
+            i, k = (x >> 8) & ((1 << 40) - 1), x & 255
+            k += i
+            j = stop[i]
+            if not j or j == end or stop[j] != k:
+                continue  # one of the two is part of a longer piece by now
+            stop[i], stop[j] = k, 0
+            before[k] = i
+            for node in ((i, before[i]) if i else (i,)):
+                x = entry(node)
+                if x >= 0:
+                    heapq.heappush(queue, x)
+        ends = np.frombuffer(stop, np.int64)[:end]
+        s = np.flatnonzero(ends)
+        return s, ends[s]
+
+    def _long(self, word: bytes) -> np.ndarray:
+        """Ids of one very long word. A table of its edges would take 100 bytes a byte, so each is looked up."""
+        text = np.frombuffer(word, np.uint8)
+
+        def rank(i, j):
+            return int(self.rank[self.id_of.get(word[i:j], self.none)])
+
+        s, e = self._relax(np.flatnonzero((text & 0xC0) != 0x80), len(word), rank)
+        ids: list[np.ndarray] = []
+        for at in range(0, len(s), SLICE_IDS):
+            part = []
+            for i, j in zip(s[at:at + SLICE_IDS].tolist(), e[at:at + SLICE_IDS].tolist()):
+                known = self.id_of.get(word[i:j])
+                part.extend(self.byte_ids[text[i:j]].tolist() if known is None else (known,))
+            ids.append(np.array(part, np.int32))
+        return np.concatenate(ids)
+
+    def raw(self, ids: np.ndarray, borders: np.ndarray) -> list[bytes]:
+        """Bytes of the pieces of each list of ids; unknown ids give nothing."""
+        ids = np.asarray(ids, np.int64)
+        known = (ids >= 0) & (ids < self.none)
+        ids = np.where(known, ids, 0)
+        sizes = np.where(known, self.piece_size[ids], 0)
+        ends = np.cumsum(sizes)
+        at = np.repeat(self.piece_start[ids] - (ends - sizes), sizes)
+        at += np.arange(len(at))
+        data, cuts = self.all_bytes[at].tobytes(), np.append(0, ends)[borders]
+        return [data[a:b] for a, b in zip(cuts.tolist(), cuts[1:].tolist())]
 
 
 @lru_cache(maxsize=2)
@@ -217,17 +274,24 @@ class Encoder:
 
     def _forget(self) -> None:
         self.known: dict[bytes, int] = {}
+        self.held = 0  # bytes
         self.ids, self.start, self.count = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Piece ids of all texts one after another, and where each text's begin (with the end of the last)."""
-        split = [WORD.findall((" " + t.replace(SPACE, " ")).encode()) if t else [] for t in texts]
+        if len(texts) == 1 and texts[0] and len(texts[0]) > SLICE_BYTES:
+            ids = np.concatenate([self._encode([WORD.findall(part)])[0] for part in _parts((" " + texts[0].replace(SPACE, " ")).encode())])
+            return ids, np.array([0, len(ids)])
+        return self._encode([WORD.findall((" " + t.replace(SPACE, " ")).encode()) if t else [] for t in texts])
+
+    def _encode(self, split: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
         words = list(chain.from_iterable(split))
-        if len(self.known) > CACHE_WORDS:
+        if len(self.known) > CACHE_WORDS or self.held > CACHE_BYTES:
             self._forget()
         new = [w for w in dict.fromkeys(words) if w not in self.known]
         if new:
             self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
+            self.held += sum(map(len, new))
             ids, count = self.vocab.encode_words(new)
             self.start = np.concatenate((self.start, len(self.ids) + np.cumsum(count) - count))
             self.count = np.concatenate((self.count, count))
@@ -240,52 +304,84 @@ class Encoder:
         return ids, np.concatenate(([0], np.append(0, ends)[borders]))
 
 
+def _parts(data: bytes) -> Iterator[bytes]:
+    """`data` in parts of about SLICE_BYTES, cut where a word (spaces and what follows) begins."""
+    start = 0
+    while start < len(data):
+        found = CUT.search(data, start + SLICE_BYTES)
+        stop = found.end() if found else len(data)
+        yield data[start:stop]
+        start = stop
+
+
 def decode_ids(vocab: Vocabulary, ids) -> str:
     """The text of piece ids; broken byte sequences become U+FFFD, unknown and control ids nothing."""
-    parts, n = vocab.bytes_of, len(vocab.bytes_of)
-    raw = b"".join([parts[i] for i in ids if 0 <= i < n])
+    return _text(vocab.raw(np.asarray(ids, np.int64), np.array([0, len(ids)]))[0])
+
+
+def _text(raw: bytes) -> str:
     return raw.removeprefix(b" ").decode("utf-8", "replace")
 
 
-def encode(docs: DataFrame, model: str, name: str = "piece_ids") -> DataFrame:
+def encode(docs: DataFrame, model: str, name: str = "piece_ids", check: str | None = None) -> DataFrame:
     """`docs` with the piece ids of every whole text appended as array<int>; all rows and columns are kept.
 
     Null and empty texts have no ids. U+2581 counts as a space, as in the library. Ids are those of the
     library, without begin or end. `model`: path of a BPE model file, at the same place on every executor.
+    With `check`, a boolean column of that name follows: whether decoding the ids gives the text back (null: as empty),
+    found in the same pass. Ties between equal pieces go to the left; repeated rows are encoded each; an empty table
+    stays empty; where `docs` has a column of a new name already, underscores are added to the new one. Texts of any
+    length pass, in parts; a word of any length too, at some 60 bytes of memory a byte.
     """
     name = fresh(docs, name)
-    schema = T.StructType([*docs.schema, T.StructField(name, T.ArrayType(T.IntegerType()))])
+    fields = [T.StructField(name, T.ArrayType(T.IntegerType()))]
+    if check:
+        fields.append(T.StructField(fresh(docs, check), T.BooleanType()))
+    schema = T.StructType([*docs.schema, *fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(vocabulary(model))
+        vocab = vocabulary(model)
+        encoder = Encoder(vocab)
         for part in text_slices(batches, SLICE_BYTES):
-            ids, borders = encoder.encode(part.column("text").to_pylist())
-            lists = pa.ListArray.from_arrays(pa.array(borders, pa.int32()), pa.array(ids, pa.int32()))
-            yield pa.RecordBatch.from_arrays([*part.columns, lists], [*part.schema.names, name])
+            texts = part.column("text").to_pylist()
+            ids, borders = encoder.encode(texts)
+            new = [pa.ListArray.from_arrays(pa.array(borders, pa.int32()), pa.array(ids, pa.int32()))]
+            if check:
+                new.append(pa.array([_text(raw) == (t or "").replace(SPACE, " ") for raw, t in zip(vocab.raw(ids, borders), texts)], pa.bool_()))
+            yield pa.RecordBatch.from_arrays([*part.columns, *new], [*part.schema.names, *(f.name for f in fields)])
 
     return docs.mapInArrow(run, schema)
 
 
 def decode(encoded: DataFrame, model: str, ids: str = "piece_ids", name: str = "decoded") -> DataFrame:
-    """`encoded` with the text of column `ids` appended. Null ids give null; no ids the empty text."""
+    """`encoded` with the text of column `ids` appended. Null ids give null; no ids the empty text. SLICE_IDS ids are
+    decoded at once (one longer list alone); empty tables and clashing names as in `encode`."""
     name = fresh(encoded, name)
     schema = T.StructType([*encoded.schema, T.StructField(name, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(model)
         for batch in batches:
-            texts = [None if x is None else decode_ids(vocab, x) for x in batch.column(ids).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, name])
+            lists = batch.column(ids)
+            sizes = np.diff(lists.offsets.to_numpy()) if len(lists) else np.empty(0, np.int64)
+            start = 0
+            while start < len(lists):
+                stop = start + max(1, int(np.searchsorted(np.cumsum(sizes[start:]), SLICE_IDS, "right")))
+                part = lists.slice(start, stop - start)
+                flat = part.flatten()  # without those of null lists
+                borders = np.concatenate(([0], np.cumsum(np.where(part.is_valid().to_numpy(zero_copy_only=False), sizes[start:stop], 0))))
+                raw = vocab.raw(flat.fill_null(-1).to_numpy(zero_copy_only=False), borders)
+                texts = pa.array([_text(r) if there.as_py() else None for r, there in zip(raw, part.is_valid())], pa.string())
+                yield pa.RecordBatch.from_arrays([*batch.slice(start, stop - start).columns, texts], [*batch.schema.names, name])
+                start = stop
 
     return encoded.mapInArrow(run, schema)
 
 
-def summary(decoded: DataFrame) -> DataFrame:
+def summary(checked: DataFrame) -> DataFrame:
     """doc_id, n_pieces, ids_sha256 (of the ids, comma-joined) and whether decoding gave the text back."""
-    text = F.translate(F.coalesce(F.col("text"), F.lit("")), SPACE, " ")
-    return decoded.select("doc_id", F.size("piece_ids").cast("long").alias("n_pieces"),
-                          F.sha2(F.array_join(F.col("piece_ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
-                          (F.col("decoded") == text).alias("round_trip"))
+    return checked.select("doc_id", F.size("piece_ids").cast("long").alias("n_pieces"),
+                          F.sha2(F.array_join(F.col("piece_ids").cast("array<string>"), ","), 256).alias("ids_sha256"), "round_trip")
 
 
 def default_model() -> str:
@@ -296,4 +392,4 @@ def default_model() -> str:
 def query(spark: SparkSession, sf_dir: str, model: str | None = None) -> DataFrame:
     model = model or default_model()
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    return summary(decode(encode(docs, model), model))
+    return summary(encode(docs, model, check="round_trip"))
