@@ -14,7 +14,7 @@ CLASS = 64
 WINDOW = 32           # steps of truncated backpropagation
 OUTPUT_ROWS = 1 << 15 # states whose outputs are computed together when scoring
 TOP = np.float32(80)  # exponents are cut here, below the overflow of float32
-LANES = 128           # sequences side by side
+LANES = 512           # sequences side by side
 RATE = 0.02           # of Adam
 CLIP = 1.0
 END = 0

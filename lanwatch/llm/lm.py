@@ -25,7 +25,7 @@ COMMON = 1 << 16       # words whose counts travel to the tasks, at most; the ot
                        # has less than 1 / COMMON of all tokens, so no key of that join is large
 SPAN = 128             # tokens of a training span
 ROUNDS = 3             # of training, with averaging after each; each span teaches in one of them
-TASK_SPANS = 4096      # spans of a training task and round; more spans make more tasks
+TASK_SPANS = 16384     # spans of a training task and round, on average; more spans make more tasks
 AVERAGE_ROWS = 64      # weight vectors averaged in one group, level by level
 SLICE_BYTES = 4 << 20
 
@@ -105,16 +105,23 @@ def _with_ends(ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarr
 def training_spans(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     """(key, round, ids): all spans of all texts; the first id is what stands before the span.
 
-    The key is a hash of row, text and place, so the spans of equal texts have different keys and rounds.
+    The key is a hash of doc_id, text and place, so neither files nor their order decide what is learned when, and
+    equal texts have different keys and rounds. Rows without an id, and those that repeat an earlier row of their
+    task, are told apart by their number in the table's layout, so that no crowd of them shares a key.
     """
     def run(batches):
+        met: set[bytes] = set()
         for part in _slices(batches):
             words, sizes = tokens_of(part.column("text"))
             ids = lexicon.ids(words)
             ids, borders = _with_ends(np.where((ids < 0) | (ids >= lexicon.size), lexicon.size, ids), sizes)
             keys, rounds, spans = [], [], []
-            for i, (text, row) in enumerate(zip(part.column("text").to_pylist(), part.column("row").to_pylist())):
-                name = xxhash.xxh64_digest((text or "").encode()) + row.to_bytes(8, "big")
+            for i, (text, doc_id, row) in enumerate(zip(*(part.column(c).to_pylist() for c in ("text", "doc_id", "row")))):
+                name = xxhash.xxh64_digest((text or "").encode(), 0 if doc_id is None else doc_id % (1 << 64))
+                name, again = name + bytes(8), doc_id is None or name in met
+                met.add(name[:8])
+                if again:
+                    name = name[:8] + (row + 1).to_bytes(8, "big")
                 for place in range(0, int(borders[i + 1] - borders[i]), SPAN):
                     key = xxhash.xxh64_intdigest(name + place.to_bytes(8, "big"))
                     at = int(borders[i]) + place
@@ -126,12 +133,13 @@ def training_spans(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(rounds, pa.int32()), pa.array(spans, pa.list_(pa.int32()))],
                                                  ["key", "round", "ids"])
 
-    return docs.select("text", F.monotonically_increasing_id().alias("row")).mapInArrow(run, "key long, round int, ids array<int>")
+    return docs.select("text", F.col("doc_id").cast("long"), F.monotonically_increasing_id().alias("row")).mapInArrow(run, "key long, round int, ids array<int>")
 
 
 def _average(rows: DataFrame, tasks: int) -> DataFrame:
     """Weighted mean of (slot, name, weight, value) by name, AVERAGE_ROWS rows to a group, level by level."""
     def mean(table: pa.Table) -> pa.Table:
+        table = table.sort_by("slot")  # one order of adding
         weights = np.array(table.column("weight").to_pylist(), np.float64)
         total = sum(w * np.frombuffer(v.as_py(), np.float32).astype(np.float64) for w, v in zip(weights, table.column("value")))
         return pa.table({"slot": pa.array([table.column("slot")[0].as_py() // AVERAGE_ROWS], pa.int64()),
@@ -165,7 +173,7 @@ def train(docs: DataFrame, lexicon: Lexicon) -> gru.Model:
                     [pa.array([slot] * n, pa.int64()), pa.array(list(local.w), pa.string()), pa.array([float(seen)] * n),
                      pa.array([v.astype(np.float32).tobytes() for v in local.w.values()], pa.binary())], ["slot", "name", "weight", "value"])
 
-        dealt = spans.where(F.col("round") == number).repartitionByRange(tasks, "key").sortWithinPartitions("key")
+        dealt = spans.where(F.col("round") == number).repartition(tasks, "key").sortWithinPartitions("key")
         weights = _average(dealt.mapInArrow(run, "slot long, name string, weight double, value binary"), tasks).collect()
         model = gru.Model(size, {r.name: np.frombuffer(r.value, np.float32).reshape(start[r.name].shape).copy() for r in weights})
     return model

@@ -64,3 +64,46 @@ def test_query_equals_brute_force_and_held_out_accuracy(spark):
     assert all(got[i].lang_pred == brute_predict(texts[i][0], dictionaries) for i in sample)
     held = [i for i in texts if got[i].held_out and texts[i][0] and texts[i][1]]
     assert sum(got[i].lang_pred == texts[i][1] for i in held) / len(held) > 0.95
+
+
+def test_model_does_not_depend_on_the_layout_of_files(spark, monkeypatch):
+    from lanwatch.llm import lm
+    monkeypatch.setattr(lm, "TASK_SPANS", 40)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    counts = lm.word_counts(docs).cache()
+    lexicon = lm.Lexicon(counts)
+    scores = []
+    for parts in (1, 5):
+        rows = docs.repartition(parts, "lang").cache()
+        scores.append({r.doc_id: r.score for r in lm.score(rows, counts, lexicon, lm.train(rows, lexicon)).collect()})
+    assert max(abs(scores[0][k] - scores[1][k]) / abs(scores[0][k]) for k in scores[0]) < 1e-4
+
+
+def test_score_equals_a_plain_network(spark):
+    """Log probabilities of whole texts, one token at a time, straight from the definition of the unit."""
+    import numpy as np
+    from lanwatch.llm import gru
+    rng = np.random.default_rng(4)
+    counts = np.arange(200, 70, -1.0)
+    model = gru.Model.new(counts, 500.0)
+    model.train([rng.integers(0, len(counts) + 1, 60).astype(np.int32) for _ in range(40)])
+    w, n = {k: v.astype(np.float64) for k, v in model.w.items()}, gru.HIDDEN
+    texts = [rng.integers(0, len(counts) + 1, size).astype(np.int64) for size in (1, 7, 90, 300)]
+
+    def plain(text):
+        h, before, total = np.zeros(n), gru.END, 0.0
+        for token in text:
+            x, hu = w["embed"][before] @ w["wx"] + w["b"], h @ w["u"]
+            z, r = (1 / (1 + np.exp(-(x[k * n:(k + 1) * n] + hu[k * n:(k + 1) * n]))) for k in (0, 1))
+            new = np.tanh(x[2 * n:] + r * hu[2 * n:])
+            h = z * h + (1 - z) * new
+            classes = h @ w["wc"] + w["bc"]
+            kind = len(classes) - 1 if token == len(counts) else token // gru.CLASS
+            total += classes[kind] - np.log(np.exp(classes).sum())
+            if token < len(counts):
+                inside = h @ w["ww"][kind] + w["bw"][kind]
+                total += inside[token % gru.CLASS] - np.log(np.exp(inside).sum())
+            before = token
+        return total
+
+    assert np.allclose(model.score(texts), [plain(t) for t in texts], rtol=1e-4)
