@@ -67,14 +67,24 @@ def beacon(conn: DataFrame, cfg: Config = Config(), baseline: DataFrame | None =
     A destination in `baseline` (src_ip, dst_ip, dst_port, protocol) lowers high to medium and the
     confidence by 0.15, outside the learning phase.
     """
-    dst, port = F.col("dst_ip"), F.col("dst_port")
-    rows = conn.where(not_allowed(port, tables.PERIODIC_PORTS) & not_allowed(port, cfg.allow_ports)
-                      & not_allowed(dst, cfg.allow_ips) & ~is_private_ip(dst))
+    rows = outbound(conn, cfg)
     cv = F.when(F.col("mean") > 0, F.col("sd") / F.col("mean")).otherwise(F.lit(float("inf")))
     hits = (flow_gaps(rows, cfg).withColumn("cv", cv)
             .where((F.col("intervals") >= cfg.beacon_intervals)
                    & (F.col("mean") >= cfg.beacon_min_mean) & (F.col("cv") <= cfg.beacon_cv)))
-    fired = cooldown(hits, FLOW, cfg.beacon_cooldown)
+    return beacon_alerts(cooldown(hits, FLOW, cfg.beacon_cooldown), cfg, baseline)
+
+
+def outbound(conn: DataFrame, cfg: Config) -> DataFrame:
+    """Connections that may be beacons: to the outside, neither allowed nor of services that are periodic anyway."""
+    dst, port = F.col("dst_ip"), F.col("dst_port")
+    return conn.where(not_allowed(port, tables.PERIODIC_PORTS) & not_allowed(port, cfg.allow_ports)
+                      & not_allowed(dst, cfg.allow_ips) & ~is_private_ip(dst))
+
+
+def beacon_alerts(fired: DataFrame, cfg: Config, baseline: DataFrame | None = None) -> DataFrame:
+    """Alerts of fired rows (event_id, us, flow, intervals, mean, sd, shortest, longest, cv)."""
+    dst, port = F.col("dst_ip"), F.col("dst_port")
     tcp = baseline.where("protocol = 'tcp'") if baseline is not None else None
     fired = known_in_baseline(fired, tcp, FLOW)
     known = F.col("known")

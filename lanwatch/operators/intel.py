@@ -17,7 +17,7 @@ def connection_hits(conn: DataFrame, indicators: DataFrame, cfg: Config = Config
     """Connections to a listed outside address, before the cooldown."""
     dst = F.col("dst_ip")
     rows = conn.where((dst != "") & ~ip_in_subnets(dst, cfg.subnets) & not_allowed(dst, cfg.allow_ips))
-    return (match_ip(rows, "dst_ip", indicators).where(F.col("hit").isNotNull())
+    return (match_ip(rows, "dst_ip", indicators, how="inner")
             .select("event_id", "us", F.col("src_ip").alias("host"), dst.alias("related"),
                     cat("connection to ", dst, ":", F.col("dst_port")).alias("what"),
                     F.lit(0).alias("step"), "hit"))
@@ -28,11 +28,11 @@ def dns_hits(dns: DataFrame, indicators: DataFrame, cfg: Config = Config()) -> D
     name, answer = F.col("query_name"), F.col("response_ip")
     rows = dns.select("event_id", "us", "src_ip", "query_name", "response_ip")
     asked = (match_domain(rows.where((name != "") & not_allowed(name, cfg.allow_ips)),
-                          "query_name", indicators).where(F.col("hit").isNotNull())
+                          "query_name", indicators, how="inner")
              .select("event_id", "us", F.col("src_ip").alias("host"), name.alias("related"),
                      cat("DNS lookup of ", name).alias("what"), F.lit(0).alias("step"), "hit"))
     answered = (match_ip(rows.where((answer != "") & ~ip_in_subnets(answer, cfg.subnets)),
-                         "response_ip", indicators).where(F.col("hit").isNotNull())
+                         "response_ip", indicators, how="inner")
                 .select("event_id", "us", F.col("src_ip").alias("host"), answer.alias("related"),
                         cat(name, " resolving to ", answer).alias("what"), F.lit(1).alias("step"), "hit"))
     return asked.unionByName(answered)
@@ -71,9 +71,8 @@ def hit_alerts(hits: DataFrame) -> DataFrame:
                             basis="0.95 for an exact match"))
 
 
-def asn_reputation(conn: DataFrame, prefixes: DataFrame, cfg: Config = Config(),
-                   devices: DataFrame | None = None) -> DataFrame:
-    """Connections to listed AS numbers or to operators whose name has a listed keyword."""
+def asn_hits(conn: DataFrame, prefixes: DataFrame, cfg: Config = Config()) -> DataFrame:
+    """Connections to listed AS numbers or to operators whose name has a listed keyword, before the cooldown."""
     src, dst = F.col("src_ip"), F.col("dst_ip")
     rows = asn_lookup(conn.where(ip_in_subnets(src, cfg.subnets) & ~is_private_ip(dst) & (dst != "")
                                  & not_allowed(dst, cfg.allow_ips))
@@ -85,8 +84,18 @@ def asn_reputation(conn: DataFrame, prefixes: DataFrame, cfg: Config = Config(),
         if word:
             reason = reason.when(F.instr(F.lower(org), word.lower()) > 0,
                                  cat("operator '", org, f"' matches '{word.lower()}'"))
-    hits = rows.where(asn != 0).withColumn("reason", reason).where(F.col("reason").isNotNull())
-    fired = with_hostname(cooldown(hits, ["src_ip", "asn"], cfg.asn_cooldown), devices, "src_ip")
+    return rows.where(asn != 0).withColumn("reason", reason).where(F.col("reason").isNotNull())
+
+
+def asn_reputation(conn: DataFrame, prefixes: DataFrame, cfg: Config = Config(),
+                   devices: DataFrame | None = None) -> DataFrame:
+    """Alerts for `asn_hits`, one per source and AS number and cooldown."""
+    hits = asn_hits(conn, prefixes, cfg)
+    return asn_alerts(with_hostname(cooldown(hits, ["src_ip", "asn"], cfg.asn_cooldown), devices, "src_ip"))
+
+
+def asn_alerts(fired: DataFrame) -> DataFrame:
+    src, dst, asn, org = (F.col(c) for c in ("src_ip", "dst_ip", "asn", "org"))
     name = F.when(org != "", org).otherwise(cat("AS", asn))
     return to_alerts(
         fired, category="connection_anomaly", severity="medium", affected=src, related=dst,

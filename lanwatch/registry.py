@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 
 from .config import Config
-from .operators import arp, auth, beacon, dns, profile, scan, volume
+from .operators import arp, auth, beacon, dns, intel, profile, scan, volume
 
 Detector = Callable[[DataFrame, Config], DataFrame]
 
@@ -45,14 +45,33 @@ DETECTORS: dict[str, tuple[str, Detector]] = {
 }
 
 
+# name -> (event tables of which at least one is needed, further tables needed, detector of a dict of tables)
+JOINED: dict[str, tuple[tuple[str, ...], tuple[str, ...], Callable[[dict[str, DataFrame], Config], DataFrame]]] = {
+    "intel_hits": (("connections", "dns"), ("indicators",),
+                   lambda t, cfg: intel.intel_hits(t.get("connections"), t.get("dns"), t["indicators"], cfg)),
+    "asn_reputation": (("connections",), ("prefixes",),
+                       lambda t, cfg: intel.asn_reputation(t["connections"], t["prefixes"], cfg, t.get("devices"))),
+    "new_country": (("connections",), ("prefixes",),
+                    lambda t, cfg: profile.new_country(t["connections"], t["prefixes"], cfg=cfg, devices=t.get("devices"))),
+    "half_open_scan": (("sockets",), (), lambda t, cfg: scan.port_scan(scan.syn_sent_ports(t["sockets"], cfg), cfg)),
+    "beacon_from_sockets": (("sockets",), (), lambda t, cfg: beacon.beacon_from_sockets(t["sockets"], cfg)),
+    "new_listener": (("sockets",), (), lambda t, cfg: profile.new_listener(t["sockets"], cfg)),
+}
+
+
 def register(name: str, kind: str, detector: Detector) -> None:
     DETECTORS[name] = (kind, detector)
 
 
+def names_for(inputs: dict[str, DataFrame]) -> list[str]:
+    """Detectors whose tables are all given."""
+    single = [n for n, (kind, _) in DETECTORS.items() if kind in inputs]
+    return single + [n for n, (some, every, _) in JOINED.items() if any(k in inputs for k in some) and all(k in inputs for k in every)]
+
+
 def detect(inputs: dict[str, DataFrame], cfg: Config = Config(),
            names: list[str] | None = None) -> DataFrame:
-    """Raw alerts of the named detectors (all by default) whose event table is given."""
+    """Raw alerts of the named detectors (all by default) whose tables are given; `names_for` tells which these are."""
     from .plans.alerts import union_alerts
-    chosen = names if names is not None else list(DETECTORS)
-    return union_alerts(*[fn(inputs[kind], cfg) for kind, fn in (DETECTORS[n] for n in chosen)
-                          if kind in inputs])
+    chosen = [n for n in names_for(inputs) if names is None or n in names]
+    return union_alerts(*[DETECTORS[n][1](inputs[DETECTORS[n][0]], cfg) if n in DETECTORS else JOINED[n][2](inputs, cfg) for n in chosen])

@@ -138,3 +138,83 @@ def test_stream_counter_passes_over_nulls(spark, tmp_path):
     want = sliding_distinct(batch.withColumn("v", value).select("us", "event_id", "src_ip", "v"), ["src_ip"], "v", 30 * S, "n")
     late = T0 + 10 ** 5 * S
     assert {(r.event_id, r.n_distinct) for r in got.collect()} == {(r.event_id, r.n) for r in want.collect() if r.us < late}
+
+
+def flows(spark, path, late_us):
+    """Beacons, ties, idle gaps and irregular traffic of several flows, in files whose rows are shuffled within bounds."""
+    import random
+    import time
+    rng, rows = random.Random(3), []
+    for f in range(6):
+        t, dst = T0 + f * S, f"203.0.113.{f}"
+        for i in range(90):
+            step = [60, 60, 60, 300, 7, 2][f] * S
+            t += step + rng.randrange(0, [1, 2, step // 20, step // 12, step // 2, step][f])
+            if i == 45 and f in (0, 2):
+                t += 4000 * S  # idle for longer than a flow lives
+            rows += [(t, "192.168.1.5", dst, 8443)] * (2 if i % 10 == 3 else 1)
+    rows.sort()
+    chunks = [rows[k * len(rows) // 5:(k + 1) * len(rows) // 5] for k in range(5)]
+    for chunk in chunks:
+        rng.shuffle(chunk)
+    for chunk in [*chunks, [(late_us, "0.0.0.0", "0.0.0.0", 1)], [(late_us + 10 ** 5 * S, "0.0.0.0", "0.0.0.0", 1)]]:
+        df = spark.createDataFrame(chunk, "us long, src_ip string, dst_ip string, dst_port int")
+        df.select(F.timestamp_micros("us").alias("ts"), "src_ip", F.lit(1).alias("src_port"), "dst_ip", "dst_port", F.lit("tcp").alias("protocol"),
+                  F.lit("S").alias("flags"), F.lit(10).cast("bigint").alias("size"), F.lit("s").alias("sensor")).coalesce(1).write.mode(
+                      "append").parquet(path)
+        time.sleep(1.1)
+    return canonical(spark.read.schema(SCHEMAS["connections"]).parquet(path))
+
+
+@pytest.mark.parametrize("history", [200, 12])
+def test_streamed_beacons_equal_batch(spark, tmp_path, history):
+    from lanwatch.operators.beacon import beacon
+    path, late = str(tmp_path / "conn"), T0 + 10 ** 6 * S
+    batch = flows(spark, path, late)
+    cfg = Config(beacon_history=history)
+    baseline = spark.createDataFrame([("192.168.1.5", "203.0.113.0", 8443, "tcp")], "src_ip string, dst_ip string, dst_port int, protocol string")
+    key = ["dedup_key", "us", "severity", "confidence", "title", "extra"]
+    want = sorted(tuple(r) for r in beacon(batch, cfg, baseline).where(F.col("us") < late).select(*key).collect())
+    stream = stream_events(spark, "connections", path, maxFilesPerTrigger=1)
+    got = sorted(tuple(r) for r in run(stateful.beacon_stream(stream, cfg, baseline), tmp_path, f"beacons{history}").select(*key).collect())
+    assert len(want) > 5 and got == want
+
+
+def test_first_seen_stream_equals_batch_and_survives_a_restart(spark, tmp_path):
+    import shutil
+
+    from lanwatch.operators.firsts import first_seen
+    path = str(tmp_path / "conn")
+    batch = traffic(spark, path)
+    baseline = batch.where("dst_ip like '%.2_'").select("src_ip", "dst_ip").distinct().limit(3).cache()
+    want = {(r.src_ip, r.dst_ip, r.event_id) for r in first_seen(batch.select("us", "event_id", "src_ip", "dst_ip"), ["src_ip"], "dst_ip", baseline).collect()
+            if r.us < T0 + 10 ** 5 * S}
+    files = sorted((tmp_path / "conn").glob("*.parquet"), key=lambda f: f.stat().st_mtime)
+    part = tmp_path / "part"
+    part.mkdir()
+    got = set()
+    for k, some in enumerate((files[:2], files[2:])):  # two runs over one checkpoint
+        for f in some:
+            shutil.copy2(f, part / f.name)
+        stream = stream_events(spark, "connections", str(part), maxFilesPerTrigger=1)
+        out = stateful.first_seen_stream(stream, ["src_ip"], "dst_ip", baseline)
+        q = out.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "ck")).outputMode(
+            "append").trigger(availableNow=True).start()
+        q.awaitTermination(120)
+        assert q.exception() is None
+    got = [(r.src_ip, r.dst_ip, r.event_id) for r in spark.read.parquet(str(tmp_path / "out")).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and want
+
+
+def test_state_is_empty_after_its_time(spark, tmp_path):
+    path, late = str(tmp_path / "conn"), T0 + 10 ** 6 * S
+    flows(spark, path, late)
+    stream = stream_events(spark, "connections", path, maxFilesPerTrigger=1).where("dst_port <> 1 or us > 0")
+    for name, out, states in (("cool", stateful.cooldown_stream(stream.where("dst_port = 8443 or dst_ip = '0.0.0.0'"), ["dst_ip"], 60), ["last", "waiting"]),
+                              ("beac", stateful.beacon_stream(stream), ["flow", "gaps", "kept", "waiting"]),
+                              ("firs", stateful.first_seen_stream(stream, ["src_ip"], "dst_ip", keep_seconds=600), ["known", "waiting"])):
+        run(out, tmp_path, name)
+        for state in states:
+            left = spark.read.format("statestore").option("stateVarName", state).load(str(tmp_path / name))
+            kept = [r for r in left.collect() if "0.0.0.0" not in str(r)]
+            assert not kept, (name, state, kept[:3])
