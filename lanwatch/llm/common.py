@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..operators.lineage import cut
 
-__all__ = ["cut", "exists", "fresh", "lower_ascii", "read", "text_slices"]
+__all__ = ["cut", "exists", "fresh", "lower_ascii", "read", "small", "text_slices"]
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -27,6 +27,11 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """`df`, a written table, marked for broadcast if it has at most so many rows; beyond, Spark joins it as it sees fit."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def lower_ascii(text: Column) -> Column:
     """A-Z in lower case, all other letters as they are. Texts of one byte a character take the fast way."""
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))

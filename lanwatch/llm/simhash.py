@@ -14,7 +14,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from .common import cut, fresh, read, text_slices
+from .common import cut, fresh, read, small, text_slices
 from .components import components
 
 SHINGLE = 3          # words in a shingle
@@ -128,6 +128,8 @@ ORDER_EVERY, ORDER_LEAST = 8, 4  # shingles met so often in one node of so many
 COMMON = 1 << 17                 # common shingles that travel to the tasks, at most
 LIST_SLICE = 1 << 18             # shingles sorted at once
 WORD_CACHE = 200_000
+IDS = 1 << 21       # ids (8 bytes) that travel to the executors, so that sets need no shuffle to be picked; more are joined
+SHINGLES = 1 << 20  # the same for shingles that several sets have
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
 
 
@@ -243,7 +245,7 @@ def _unlike() -> Column:
 def _similar(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sets are similar, by the sets; those that marks rule out need none."""
     def ids(of):
-        return cut(of.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+        return small(cut(of.select(F.explode(F.array("a", "b")).alias("id")).distinct()), IDS)
 
     def side(of, x):
         return of.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), *(F.col(m).alias(f"{m}_{x}") for m in _MARKS))
@@ -275,8 +277,9 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     copies = cut(rows.select("id", "row").join(least, "id").where("row <> least").select("row"))
     nodes = rows.join(copies, "row", "left_anti").select("id", "shingles", *_MARKS)
     spread = _prefixes(nodes, _common(nodes))
-    many = spread.groupBy("sh").agg(F.count("*").alias("c"), F.min(F.struct("id", "n", "pos")).alias("l")).where("c > 1").select("sh", "l")
-    lists = cut(spread.join(many, "sh").select("sh", "id", "n", "pos", "l"))
+    many = spread.groupBy("sh").agg(F.count("*").alias("c")).where("c > 1").select("sh")
+    lists = cut(spread.join(small(cut(many), SHINGLES), "sh", "left_semi"))
+    lists = lists.join(lists.groupBy("sh").agg(F.min(F.struct("id", "n", "pos")).alias("l")), "sh")
     stars = lists.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("pos").alias("pos_b"), F.col("l.id").alias("a"),
                          F.col("l.n").alias("n_a"), F.col("l.pos").alias("pos_a")).where("a <> b").where(_possible()).select("a", "b").distinct()
     links = cut(_similar(stars, nodes))
@@ -284,7 +287,7 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     named = lists.drop("l").join(groups, "id", "left").withColumn("root", F.coalesce("root", "id"))
     split = named.groupBy("sh").agg(F.min("root").alias("p"), F.max("root").alias("q")).where("p <> q").select("sh")
     open_ = cut(named.join(split, "sh", "left_semi"))
-    marks = cut(nodes.select("id", *_MARKS).join(open_.select("id").distinct(), "id", "left_semi"))
+    marks = cut(nodes.select("id", *_MARKS).join(small(cut(open_.select("id").distinct()), IDS), "id", "left_semi"))
     open_ = open_.join(marks, "id")
     a = open_.select("sh", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("pos").alias("pos_a"), F.col("root").alias("ra"), *(F.col(m).alias(f"{m}_a") for m in _MARKS))
     b = open_.select("sh", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("pos").alias("pos_b"), F.col("root").alias("rb"), *(F.col(m).alias(f"{m}_b") for m in _MARKS))
