@@ -37,7 +37,12 @@ def stddev(n, m2):
 
 def hourly_baseline(conn: DataFrame, cfg: Config = Config()) -> DataFrame:
     """Mean and deviation of connection counts per (host, hour, weekday)."""
-    counts = connection_counts(conn, cfg).select(
+    return hourly_of(connection_counts(conn, cfg))
+
+
+def hourly_of(minutes: DataFrame) -> DataFrame:
+    """The same from counts (src_ip, us, n) per host and minute."""
+    counts = minutes.select(
         F.col("src_ip").alias("ip"), hour_of_day(F.col("us")).alias("hour_of_day"),
         weekday(F.col("us")).alias("day_of_week"), "n", "us")
     return counts.groupBy("ip", "hour_of_day", "day_of_week").agg(

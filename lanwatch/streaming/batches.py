@@ -7,18 +7,22 @@ batch that is run again after a failure replaces its first attempt.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..config import SECOND, Config
 from ..functions import tables
+from ..operators import baseline, volume
 from ..operators.firsts import first_rows, not_in_baseline
 from ..operators.lineage import cut
 from ..plans import alerts as alert_plans, reports
 from ..plans.incidents import incidents
+from .partials import Partials, finished, folders
 
 DAY = 86400 * SECOND
+HOUR = 3600 * SECOND
 
 
 def earlier(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
@@ -72,7 +76,9 @@ def alert_batches(detect: Callable[[DataFrame], DataFrame], out: str, cfg: Confi
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         raw = cut(detect(batch))
-        start = raw.agg(F.min("us")).first()[0] or 0
+        start = raw.agg(F.min("us")).first()[0]
+        if start is None:  # nothing found; a retried batch finds the same nothing
+            return
         history = _recent(spark, out, batch_id, start - longest)
         seen = None if history is None else history.select("dedup_key", "us")
         fired = alert_plans.fire(raw, cfg, mutes, seen)
@@ -86,14 +92,80 @@ def alert_batches(detect: Callable[[DataFrame], DataFrame], out: str, cfg: Confi
     return run
 
 
-def report_batches(alerts_path: str, out: str, now_us: Callable[[], int]) -> Callable[[DataFrame, int], None]:
-    """foreachBatch function: refresh severity counts and the sensor rollup of the last day."""
+def report_batches(path: str, now_us: Callable[[], int], stale_s: int = 300) -> Callable[[DataFrame, int], None]:
+    """foreachBatch function over the stream of stored alerts: refreshes severity counts and the sensor rollup of the
+    last 24 hours (whole hours), and the freshness of every sensor.
+
+    A batch is reduced to hourly counts, which are kept by day. A tick opens the folders of two days, not the alerts;
+    a late alert changes the counts of its own hour. The last alert of each sensor is carried from tick to tick. Each
+    report is a folder of its own, so a reader always finds a whole one: see `last_report`.
+    """
+    hours = Partials(f"{path}/hours", ["hour", "severity", "sensor"], {"n": "sum", "last_us": "max"})
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        spark, now = batch.sparkSession, now_us()
+        sensor = F.coalesce("sensor", F.lit("local")).alias("sensor")
+        hour = F.floor(F.col("us") / HOUR)
+        partial = batch.groupBy(hour.alias("hour"), "severity", sensor).agg(F.count("*").alias("n"), F.max("us").alias("last_us"))
+        hours.put(partial.withColumn("day", F.floor(F.col("hour") / 24)), batch_id)
+        since = now // HOUR - 24
+        kept = hours.read(spark, since // 24)
+        recent = None if kept is None else kept.where(F.col("hour") >= since)
+        mine = batch.groupBy(sensor).agg(F.max("us").alias("last_us"))
+        before = newest(spark, f"{path}/last", batch_id)
+        last = mine if before is None else mine.unionByName(before.select("sensor", "last_us")).groupBy("sensor").agg(F.max("last_us").alias("last_us"))
+        put(last, f"{path}/last", batch_id)
+        fresh = reports.source_freshness(spark.read.parquet(f"{path}/last/batch_id={batch_id}").withColumnRenamed("last_us", "us"), "sensor", now, stale_s)
+        report = fresh.select(F.lit("freshness").alias("report"), F.col("sensor").alias("name"), F.col("last_event").alias("value"), "age_seconds", "stale")
+        for name, of, value in (("severity", "severity", F.sum("n")), ("sensor", "sensor", F.sum("n")), ("sensor_last", "sensor", F.max("last_us"))):
+            if recent is not None:
+                report = report.unionByName(recent.groupBy(F.col(of).alias("name")).agg(value.alias("value")).withColumn("report", F.lit(name)),
+                                            allowMissingColumns=True)
+        put(report.coalesce(1), f"{path}/report", batch_id)
+    return run
+
+
+def newest(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
+    """The table written by the latest batch, or by the latest one before `before`."""
+    ids = [int(n.split("=")[1]) for n in folders(spark, path) if n.startswith("batch_id=") and finished(spark, f"{path}/{n}")]
+    ids = [i for i in ids if before is None or i < before]
+    return spark.read.parquet(f"{path}/batch_id={max(ids)}") if ids else None
+
+
+def last_report(spark: SparkSession, path: str) -> DataFrame | None:
+    """The newest whole report of `report_batches`: (report, name, value, age_seconds, stale)."""
+    return newest(spark, f"{path}/report")
+
+
+# Baselines kept up to date: kind -> (key columns, merge of the others, partial rows of events, final table)
+BASELINES: dict[str, tuple] = {
+    "hourly": (["src_ip", "us"], {"n": "sum"}, volume.connection_counts, baseline.hourly_of),
+    "destinations": (["src_ip", "dst_ip", "dst_port", "protocol"], {"hit_count": "sum", "first_seen": "min", "last_seen": "max"},
+                     lambda conn, cfg: baseline.destination_baseline(conn), lambda rows: rows),
+    "domains": (["domain"], {"query_count": "sum", "first_seen": "min", "last_seen": "max"}, baseline.dns_baseline, lambda rows: rows),
+    "hours": (["ip", "hour"], {"first_seen": "min"}, baseline.host_hours, lambda rows: rows),
+    "profile": (["ip", "dimension", "value"], {"first_seen": "min"}, baseline.host_profile, lambda rows: rows),
+}
+
+
+def baseline_table(kind: str, path: str) -> Partials:
+    keys, merge, _, _ = BASELINES[kind]
+    return Partials(path, keys, merge)
+
+
+def baseline_batches(kind: str, path: str, cfg: Config = Config()) -> Callable[[DataFrame, int], None]:
+    """foreachBatch function: adds the batch to the baseline's day partials, once however often the batch is tried."""
+    table, partial = baseline_table(kind, path), BASELINES[kind][2]
+
     def run(batch: DataFrame, batch_id: int) -> None:
-        table = batch.sparkSession.read.parquet(alerts_path)
-        since = now_us() - 86400 * SECOND
-        counts = reports.alerts_by_severity(table, since).select(
-            F.lit("severity").alias("report"), F.col("severity").alias("name"), F.col("cnt").alias("value"))
-        sensors = reports.sensor_rollup(table, since).select(
-            F.lit("sensor").alias("report"), F.col("sensor").alias("name"), F.col("alert_count").alias("value"))
-        counts.unionByName(sensors).coalesce(1).write.mode("overwrite").parquet(out)
+        days = [r[0] for r in batch.select(F.floor(F.col("us") / DAY).alias("d")).distinct().collect()]
+        parts = [partial(batch.where(F.floor(F.col("us") / DAY) == d), cfg).withColumn("day", F.lit(d)) for d in days if d is not None]
+        if parts:
+            table.put(reduce(DataFrame.unionByName, parts), batch_id)
     return run
+
+
+def read_baseline(spark: SparkSession, kind: str, path: str, first_day: int | None = None) -> DataFrame | None:
+    """The baseline of all days, or from a day on; None while there is none. Equal to the operator over all events."""
+    rows = baseline_table(kind, path).read(spark, first_day)
+    return None if rows is None else BASELINES[kind][3](rows)

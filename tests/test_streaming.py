@@ -102,8 +102,8 @@ def test_alert_batches_survive_a_retry(spark, tmp_path):
     assert q.exception() is None
     assert spark.read.parquet(str(tmp_path / "fresh")).count() == batch.select("src_ip", "dst_ip").distinct().count()
 
-    batches.report_batches(out, str(tmp_path / "report"), lambda: T0 + 3600 * S)(batch, 0)
-    assert spark.read.parquet(str(tmp_path / "report")).where("report = 'severity'").count() > 0
+    batches.report_batches(str(tmp_path / "report"), lambda: T0 + 3600 * S)(spark.read.parquet(out), 0)
+    assert batches.last_report(spark, str(tmp_path / "report")).where("report = 'severity'").count() > 0
 
 
 def test_incidents_span_batches(spark, tmp_path):
@@ -218,3 +218,51 @@ def test_state_is_empty_after_its_time(spark, tmp_path):
             left = spark.read.format("statestore").option("stateVarName", state).load(str(tmp_path / name))
             kept = [r for r in left.collect() if "0.0.0.0" not in str(r)]
             assert not kept, (name, state, kept[:3])
+
+
+def test_reports_equal_the_whole_table_after_late_rows(spark, tmp_path):
+    from lanwatch.plans import reports
+    hour, now = 3600 * S, T0 + 80 * 3600 * S
+    rows = [(i, T0 + (i * 37 % 81) * hour + i, ["low", "high", "critical"][i % 3], [None, "s1", "s2"][i % 7 % 3]) for i in range(300)]
+    df = spark.createDataFrame(rows, "event_id long, us long, severity string, sensor string").cache()
+    path = str(tmp_path / "r")
+    tick = batches.report_batches(path, lambda: now)
+    for k in (0, 1, 2, 2):  # late rows in every batch; the last one is tried twice
+        tick(df.where(F.col("event_id") % 3 == k), k)
+    tick(df.limit(0), 3)
+    got = {(r.report, r.name): (r.value, r.stale) for r in batches.last_report(spark, path).collect()}
+    since = (now // hour - 24) * hour
+    want = {("severity", r.severity): (r.cnt, None) for r in reports.alerts_by_severity(df, since).collect()}
+    for r in reports.sensor_rollup(df, since).collect():
+        want |= {("sensor", r.sensor): (r.alert_count, None), ("sensor_last", r.sensor): (r.last_seen, None)}
+    whole = reports.source_freshness(df.withColumn("sensor", F.coalesce("sensor", F.lit("local"))), "sensor", now)
+    want |= {("freshness", r.sensor): (r.last_event, r.stale) for r in whole.collect()}
+    assert got == want
+    table = batches.Partials(f"{path}/hours", ["hour", "severity", "sensor"], {"n": "sum", "last_us": "max"})
+    day = (now // hour - 24) // 24
+    opened = table.opened(spark, day)
+    assert opened and all(int(f.split("day=")[1].split("/")[0]) >= day for f in opened) and len(opened) < len(table.opened(spark))
+
+
+def test_baselines_do_not_depend_on_the_cut_into_batches(spark, tmp_path):
+    from lanwatch.operators import baseline
+    cfg = Config(subnets=("192.168.0.0/16",))
+    rows = [(i, T0 + i * 1700 * S + i % 7, f"192.168.1.{i % 3}", f"203.0.113.{i % 5}", [443, 22][i % 2], "tcp", "S", i) for i in range(240)]
+    conn = spark.createDataFrame(rows, "event_id long, us long, src_ip string, dst_ip string, dst_port int, protocol string, flags string, size long").cache()
+    whole = {"hourly": baseline.hourly_baseline(conn, cfg), "destinations": baseline.destination_baseline(conn),
+             "hours": baseline.host_hours(conn, cfg), "profile": baseline.host_profile(conn, cfg)}
+    for kind, want in whole.items():
+        path = str(tmp_path / kind)
+        assert batches.read_baseline(spark, kind, path) is None
+        step = batches.baseline_batches(kind, path, cfg)
+        for k in (0, 1, 1, 2, 3):  # one batch is tried twice; rows of one minute and day lie in several batches
+            step(conn.where(F.col("event_id") % 4 == k), k)
+            if k == 2:
+                table = batches.baseline_table(kind, path)
+                assert table.compact(spark, 10 ** 6, 2) > 0
+                assert table.compact(spark, 10 ** 6, 2) == 0
+        got = batches.read_baseline(spark, kind, path).select(*want.columns)
+
+        def plain(df):
+            return sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in df.collect())
+        assert plain(got) == plain(want), kind
