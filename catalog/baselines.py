@@ -101,10 +101,10 @@ _KNOWN_SETS = duck("""select string_agg(local_port, ',' order by local_port) por
 
 def _inventory(spark, d):
     t = Tables(spark, d)
-    leases = t.arp.where("event_id % 3 = 0").groupBy(F.col("src_mac").alias("mac")).agg(
-        F.concat(F.lit("Living-TV"), F.max("event_id") % 5).alias("hostname"))
+    latest = F.max(F.when((F.col("event_id") % 3 == 0) & F.col("src_mac").like("%5"), F.col("event_id")))
+    leases = t.arp.groupBy(F.col("src_mac").alias("mac")).agg(F.concat(F.lit("Living-TV"), latest % 5).alias("hostname"))
     given = t.arp.groupBy(F.col("src_ip").alias("ip")).agg(F.when(F.max("event_id") % 2 == 0, "nas.lan").otherwise("box").alias("name"))
-    out = inventory.device_inventory(t.arp, CFG, leases.where("mac like '%5'"), given)
+    out = inventory.device_inventory(t.arp, CFG, leases, given)
     return out.select("ip", "mac", "first_seen", "last_seen", "hostname", "vendor", "is_gateway", "is_trusted", "identity_source",
                       "device_type", "device_type_confidence")
 
@@ -155,7 +155,7 @@ def _membership(spark, d):
     flagged = firsts.known_in_baseline(t.conn.where(F.col("us") >= MID).select("event_id", *keys), known, keys)
     fresh = firsts.not_in_baseline(t.conn.where(F.col("us") >= MID).select("event_id", *keys), known, keys)
     named = lookup.with_hostname(flagged, t.conn.groupBy(F.col("dst_ip").alias("ip")).agg(
-        F.max("sensor").alias("hostname")).where("ip like '%7'"), "dst_ip")
+        F.when(F.col("dst_ip").like("%7"), F.max("sensor")).alias("hostname")), "dst_ip")
     return named.select("event_id", "known", "hostname", F.lit(False).alias("fresh")).unionByName(
         fresh.select("event_id", F.lit(False).alias("known"), F.lit("").alias("hostname"), F.lit(True).alias("fresh")))
 

@@ -92,7 +92,7 @@ def _indicator_load(spark, d):
     t = Tables(spark, d)
     ips = _lines(t.dns, """case when event_id % 7 = 0 then '# note' when event_id % 9 = 0 then '  '
       else concat(response_ip, '  seen') end""")
-    nets = _lines(t.dns.where("event_id % 100 = 1"), """case when event_id % 700 = 1 then '; note' when event_id % 300 = 1 then 'bad/77 ; x'
+    nets = _lines(t.dns, """case when event_id % 700 = 1 then '; note' when event_id % 300 = 1 then 'bad/77 ; x'
       else concat(response_ip, '/', 20 + event_id % 9, ' ; SBL', event_id) end""")
     urls = t.table("pages").select(F.col("url").alias("value"), F.col("page_id").alias("line_no"))
     hosts = _lines(t.dns, "concat('http://', response_ip, ':8080/x')").select("value", "line_no")
@@ -105,7 +105,7 @@ _INDICATOR_LOAD = duck("""select response_ip as "value", 'ip' kind, 'urlhaus' so
  union all select h, 'domain', 'urlhaus', 'malware_distribution', max(page_id) from (select page_id,
    lower(trim(regexp_extract(url, '^(?:[^:]*://)?(?:[^/@]*@)?([^/:]*)', 1))) h from pages) where h != '' group by 1
  union all select concat(response_ip, '/', 20 + event_id % 9), 'cidr', 'spamhaus_drop', 'hijacked_netblock', event_id from dns
-   where event_id % 100 = 1 and event_id % 700 != 1 and event_id % 300 != 1""", "dns")
+   where event_id % 700 != 1 and event_id % 300 != 1""", "dns")
 
 
 def _leases(spark, d):

@@ -148,8 +148,8 @@ def process(alerts: DataFrame, cfg: Config = Config(), prefixes: DataFrame | Non
 
 def search(alerts: DataFrame, since_us: int | None = None, severity: str | None = None,
            status: str | None = None, host: str | None = None, sensor: str | None = None,
-           limit: int | None = 100) -> DataFrame:
-    """Newest alerts that match all given criteria; sensor `local` means raised here."""
+           limit: int | None = None) -> DataFrame:
+    """Alerts that match all given criteria, newest first, at most `limit` where that is given; sensor `local` means raised here."""
     out = alerts
     if since_us is not None:
         out = out.where(F.col("us") >= since_us)

@@ -30,10 +30,11 @@ def top_domains(dns_baseline: DataFrame, k: int = 20) -> DataFrame:
     return dns_baseline.orderBy(F.desc("query_count"), "domain").limit(k)
 
 
-def _top(rows: DataFrame, key: str, order: list, k: int) -> DataFrame:
-    """First k rows per key; Spark prunes to k per task before the shuffle."""
+def _top(rows: DataFrame, key: str, order: list, k: int | None) -> DataFrame:
+    """First k rows per key (all, if k is None); Spark prunes to k per task before the shuffle."""
     rank = F.row_number().over(Window.partitionBy(key).orderBy(*order))
-    return rows.withColumn("rank", rank).where(F.col("rank") <= k)
+    ranked = rows.withColumn("rank", rank)
+    return ranked if k is None else ranked.where(F.col("rank") <= k)
 
 
 def port_rollup(destinations: DataFrame, k: int = 15) -> DataFrame:
@@ -87,10 +88,12 @@ def daily_report(alerts: DataFrame, devices: DataFrame, now_us: int, top: int =
 def host_detail(devices: DataFrame, alerts: DataFrame, destinations: DataFrame, dns: DataFrame,
                 profile: DataFrame, hours: DataFrame, countries: DataFrame, points: DataFrame,
                 since_us: int, actions: DataFrame | None = None, hosts: list[str] | None = None,
-                max_alerts: int = 100) -> DataFrame:
+                max_alerts: int | None = None, max_points: int | None = None,
+                max_actions: int | None = None) -> DataFrame:
     """One row per device with its recent alerts, destinations, DNS, profile, ports and trend.
 
-    Every list is cut to its top-k before it is collected, or is bounded by its domain.
+    Lists of destinations, names and ports are cut to their top-k before they are collected. Alerts, points of the
+    trend and actions are all listed unless a number is given: give one where a host may have very many.
     """
     def pick(df, col):
         return df if hosts is None else df.where(F.col(col).isin(hosts))
@@ -118,10 +121,10 @@ def host_detail(devices: DataFrame, alerts: DataFrame, destinations: DataFrame,
         pick(countries, "src_ip").groupBy(F.col("src_ip").alias("ip")).agg(
             F.sort_array(F.collect_set("country")).alias("countries")),
         listed(_top(pick(points, "ip").where(F.col("us") >= since_us), "ip",
-                    [F.desc("us"), F.desc("event_id")], 500), "ip", ["us", "score"], "suspicion_trend"),
+                    [F.desc("us"), F.desc("event_id")], max_points), "ip", ["us", "score"], "suspicion_trend"),
     ]
     if actions is not None:
-        parts.append(listed(_top(actions, "target", [F.desc("us"), "action_id"], 200), "target",
+        parts.append(listed(_top(actions, "target", [F.desc("us"), "action_id"], max_actions), "target",
                             ["us", "responder", "status", "description"], "response_actions"))
     out = pick(devices, "ip")
     for p in parts:

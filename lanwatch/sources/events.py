@@ -78,11 +78,17 @@ def new_in_snapshot(df: DataFrame, keys: list[str], snapshot: str,
                     snapshots: DataFrame | None = None) -> DataFrame:
     """Rows whose key the preceding snapshot lacks; the first snapshot emits nothing.
 
-    `snapshots` lists all snapshot times when some may be empty. Numbering the distinct times is
-    the only ordered step; the comparison is an anti-join on (key, preceding time).
+    `snapshots` lists all snapshot times when some may be empty. The time before is found in two levels: inside a
+    day by lag, for the first of a day among the last times of the days (one number a day). The comparison is an
+    anti-join on (key, preceding time). `snapshot` counts microseconds.
     """
-    times = (snapshots if snapshots is not None else df).select(snapshot).distinct()
-    before = times.withColumn("_prev", F.lag(snapshot).over(Window.orderBy(snapshot)))
+    times = (snapshots if snapshots is not None else df).select(snapshot).distinct().withColumn(
+        "_day", F.floor(F.col(snapshot) / 86_400_000_000))
+    inside = times.withColumn("_prev", F.lag(snapshot).over(Window.partitionBy("_day").orderBy(snapshot)))
+    ends = times.groupBy("_day").agg(F.max(snapshot).alias("_end")).groupBy(F.lit(0).alias("_all")).agg(F.collect_list("_end").alias("_ends"))
+    first = inside.where(F.col("_prev").isNull()).withColumn("_all", F.lit(0)).join(ends, "_all").withColumn(
+        "_prev", F.array_max(F.filter("_ends", lambda e: e < F.col(snapshot))))
+    before = inside.where(F.col("_prev").isNotNull()).select(snapshot, "_prev").unionByName(first.select(snapshot, "_prev"))
     rows = df.dropDuplicates([*keys, snapshot])
     now = rows.join(before.where(F.col("_prev").isNotNull()), snapshot)
     last = rows.select(*keys, F.col(snapshot).alias("_prev"))

@@ -218,21 +218,21 @@ def test_auth(rows):
     assert auth.new_account(a).count() == 1
 
 
-INDICATORS = [("45.9.148.99", "ip", "feodo", "botnet_c2", 1), ("1.10.16.0/20", "cidr", "spamhaus_drop", "x", 2),
-              ("1.10.16.0/24", "cidr", "spamhaus_drop", "y", 3), ("evil.example.com", "domain", "urlhaus", "z", 4),
+INDICATORS = [("203.0.113.71", "ip", "feodo", "botnet_c2", 1), ("198.18.32.0/20", "cidr", "spamhaus_drop", "x", 2),
+              ("198.18.32.0/24", "cidr", "spamhaus_drop", "y", 3), ("odd.sample.net", "domain", "urlhaus", "z", 4),
               ("2001:db8::/33", "cidr", "spamhaus_drop", "six", 5)]
 IND = "value string, kind string, source string, category string, feed_order int"
 
 
 def test_intel(rows):
     ind = rows(INDICATORS, IND)
-    c = conn(rows, [(0, "192.168.1.5", "45.9.148.99", 443), (1, "192.168.1.6", "45.9.148.99", 443), (2, "192.168.1.5", "1.10.16.5", 1),
-                    (3, "192.168.1.5", "1.10.99.5", 1), (4, "192.168.1.5", "2001:db8:1::5", 1), (5, "192.168.1.5", "2001:db8:8000::5", 1)])
-    d = rows([(10, T0 + 10 * S, "192.168.1.5", "a.b.evil.example.com", "A", False, ""), (11, T0 + 11 * S, "192.168.1.5", "notevil.example.com", "A", False, ""),
-              (12, T0 + 12 * S, "192.168.1.5", "example.com", "A", False, "45.9.148.99"), (13, T0 + 7200 * S, "192.168.1.5", "fine.org", "A", False, "45.9.148.99")], DNS)
+    c = conn(rows, [(0, "192.168.1.5", "203.0.113.71", 443), (1, "192.168.1.6", "203.0.113.71", 443), (2, "192.168.1.5", "198.18.32.5", 1),
+                    (3, "192.168.1.5", "198.18.99.5", 1), (4, "192.168.1.5", "2001:db8:1::5", 1), (5, "192.168.1.5", "2001:db8:8000::5", 1)])
+    d = rows([(10, T0 + 10 * S, "192.168.1.5", "a.b.odd.sample.net", "A", False, ""), (11, T0 + 11 * S, "192.168.1.5", "xodd.sample.net", "A", False, ""),
+              (12, T0 + 12 * S, "192.168.1.5", "example.com", "A", False, "203.0.113.71"), (13, T0 + 7200 * S, "192.168.1.5", "fine.org", "A", False, "203.0.113.71")], DNS)
     got = sorted((json.loads(a.extra)["indicator"], a.related_host) for a in intel.intel_hits(c, d, ind).collect())
-    assert got == [("1.10.16.0/20", "1.10.16.5"), ("2001:db8::/33", "2001:db8:1::5"), ("45.9.148.99", "45.9.148.99"),
-                   ("45.9.148.99", "45.9.148.99"), ("evil.example.com", "a.b.evil.example.com")]
+    assert got == [("198.18.32.0/20", "198.18.32.5"), ("2001:db8::/33", "2001:db8:1::5"), ("203.0.113.71", "203.0.113.71"),
+                   ("203.0.113.71", "203.0.113.71"), ("odd.sample.net", "a.b.odd.sample.net")]
 
 
 PREFIXES = [("203.0.113.0/24", "US", "United States", 64500, "Alpha"), ("203.0.113.64/26", "NL", "Netherlands", 64501, "BulletProof BV")]

@@ -139,7 +139,7 @@ def test_suspicion_is_capped_and_known_devices_only(spark, alerts):
 
 def test_response_gates(alerts):
     a = alerts(dict(t=0, category="threat_intel", severity="high", related_host="203.0.113.9"),
-               dict(t=1, category="threat_intel", severity="high", related_host="Evil.Example.com."),
+               dict(t=1, category="threat_intel", severity="high", related_host="Odd.Sample.net."),
                dict(t=2, category="arp_anomaly", severity="critical", extra='{"is_gateway":true}'),
                dict(t=3, category="threat_intel", severity="low", related_host="203.0.113.9"))
     cfg = Config(gateway_ip="192.168.1.1", gateway_mac="aa:bb:cc:00:00:01")
@@ -148,7 +148,7 @@ def test_response_gates(alerts):
     assert plan(enabled=False) == {}
     dry = plan(enabled=True)
     assert set(dry) == {"firewall", "dns_sinkhole", "arp_restore"} and {r.status for r in dry.values()} == {"planned"}
-    assert dry["dns_sinkhole"].target == "evil.example.com" and dry["arp_restore"].commands == ["arp -s 192.168.1.1 aa:bb:cc:00:00:01"]
+    assert dry["dns_sinkhole"].target == "odd.sample.net" and dry["arp_restore"].commands == ["arp -s 192.168.1.1 aa:bb:cc:00:00:01"]
     armed = plan(enabled=True, dry_run=False, trusted_categories=("threat_intel",))
     assert (armed["firewall"].status, armed["arp_restore"].status) == ("ready", "pending")
     assert plan(enabled=True, block_min_severity="odd").get("firewall") is None
