@@ -126,9 +126,10 @@ SIMILAR_WORDS = 5
 SIMILAR, WHOLE = 4, 5
 ORDER_EVERY, ORDER_LEAST = 8, 4  # shingles met so often in one node of so many count as common; see _common()
 COMMON = 1 << 17                 # common shingles that travel to the tasks, at most
-LIST_SLICE = 1 << 18             # shingles sorted at once
 WORD_CACHE = 200_000
-IDS = 1 << 21       # ids (8 bytes) that travel to the executors, so that sets need no shuffle to be picked; more are joined
+IDS = 1 << 21       # rows of ids (some 50 bytes) that travel to the executors, so that texts need no shuffle to be picked; more are joined
+SLOT = 32           # texts of either side that a comparing task holds at once
+SEEN = 1 << 20      # ids that a task remembers, to hand out the shingles of copies once
 SHINGLES = 1 << 20  # the same for shingles that several sets have
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
 
@@ -155,28 +156,40 @@ def shingle_hashes(text: str | None, known: dict[bytes, int]) -> np.ndarray:
 _MARKS = [f"m{k}" for k in range(8)]  # bits of the hashes in a set
 
 
-def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray], np.ndarray]]:
+    """Slices of batches with a column `text`, the sets of their texts, and the ids of the sets."""
     known: dict[bytes, int] = {}
-    for part in text_slices(batches, SLICE_BYTES):
-        if len(known) > WORD_CACHE:
-            known = {}
-        sets = [shingle_hashes(t, known) for t in part.column("text").to_pylist()]
-        ids = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
+    for batch in batches:
+        for part in text_slices([batch], SLICE_BYTES):
+            if len(known) > WORD_CACHE:
+                known = {}
+            sets = [shingle_hashes(t, known) for t in part.column("text").to_pylist()]
+            yield part, sets, np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
+
+
+def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part, sets, ids in _sets(batches):
         marks = np.zeros((len(sets), 64 * len(_MARKS)), np.uint8)
         marks[np.repeat(np.arange(len(sets)), [len(s) for s in sets]), np.concatenate(sets) & (marks.shape[1] - 1)] = 1
         marks = np.packbits(marks, axis=1).view(np.int64)
         yield pa.RecordBatch.from_arrays(
-            [part.column("doc_id").cast(pa.int64()), part.column("h"), pa.array(ids), pa.array(sets, pa.list_(pa.int64())),
-             *(pa.array(marks[:, k].copy()) for k in range(len(_MARKS)))], ["doc_id", "h", "id", "shingles", *_MARKS])
+            [part.column("doc_id").cast(pa.int64()), part.column("h"), part.column("k"), pa.array(ids),
+             pa.array([len(s) for s in sets], pa.int32()), *(pa.array(marks[:, k].copy()) for k in range(len(_MARKS)))],
+            ["doc_id", "h", "k", "id", "n", *_MARKS])
+
 
+def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for _, sets, _ in _sets(batches):
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets))], ["sh"])
 
-def _common(nodes: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, counts) of common shingles, counted in one node of ORDER_EVERY; the most common ones, COMMON at most.
+
+def _common(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, counts) of common shingles, counted in one text of ORDER_EVERY; the most common ones, COMMON at most.
 
     They only order the shingles of a set. Any order that is the same for all sets gives all pairs; a good one
     puts the shingles that many sets share last, so that few sets meet for nothing.
     """
-    counts = cut(nodes.where(F.pmod("id", F.lit(ORDER_EVERY)) == 0).select(F.explode("shingles").alias("sh")).groupBy("sh").count()
+    counts = cut(texts.where(F.pmod("h", F.lit(ORDER_EVERY)) == 0).select("text").mapInArrow(_shingles, "sh long").groupBy("sh").count()
                  .where(F.col("count") >= ORDER_LEAST))
     step = F.floor(F.log2("count") * 16)
     least, taken = None, 0
@@ -189,28 +202,27 @@ def _common(nodes: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64)
 
 
-def _list_slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """The batch cut where its sets exceed LIST_SLICE shingles (one larger set comes alone)."""
-    ends = np.cumsum(np.diff(batch.column("shingles").offsets.to_numpy()))
-    start = 0
-    while start < batch.num_rows:
-        end = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + LIST_SLICE, "right")))
-        yield batch.slice(start, end - start)
-        start = end
-
-
-def _prefixes(nodes: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+def _prefixes(texts: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """(sh, id, n, pos): the rarest shingles of each set, so many that similar sets share one of them.
 
     Sets of n and more shingles that are similar to one of n have at least ceil(n * SIMILAR / WHOLE) shingles in
-    common with it, so not all the others and one more can be missing.
+    common with it, so not all the others and one more can be missing. Copies in one task come once.
     """
     hashes, counts = common
 
     def run(batches):
-        for batch in (part for whole in batches for part in _list_slices(whole)):
-            lists = batch.column("shingles")
-            flat, sizes = lists.flatten().to_numpy(zero_copy_only=False), np.diff(lists.offsets.to_numpy())
+        seen: set[int] = set()
+        for _, sets, ids in _sets(batches):
+            if len(seen) > SEEN:
+                seen = set()
+            new = []
+            for i, id_ in enumerate(ids.tolist()):
+                if id_ not in seen and len(sets[i]):
+                    seen.add(id_)
+                    new.append(i)
+            if not new:
+                continue
+            sizes, flat = np.array([len(sets[i]) for i in new]), np.concatenate([sets[i] for i in new])
             weight = np.zeros(len(flat), np.int64)
             if len(hashes):
                 at = np.minimum(np.searchsorted(hashes, flat), len(hashes) - 1)
@@ -221,10 +233,10 @@ def _prefixes(nodes: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFr
             first = pos < (sizes + (-sizes * SIMILAR) // WHOLE + 1)[owner]  # - ceil(x) is floor(- x)
             by = owner[first]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(flat[order][first]), batch.column("id").take(pa.array(by)), pa.array(sizes[by].astype(np.int32)), pa.array(pos[first].astype(np.int32))],
+                [pa.array(flat[order][first]), pa.array(ids[new][by]), pa.array(sizes[by].astype(np.int32)), pa.array(pos[first].astype(np.int32))],
                 ["sh", "id", "n", "pos"])
 
-    return nodes.select("id", "shingles").mapInArrow(run, "sh long, id long, n int, pos int")
+    return texts.select("text").mapInArrow(run, "sh long, id long, n int, pos int")
 
 
 def _possible() -> Column:
@@ -242,23 +254,55 @@ def _unlike() -> Column:
     return shared.cast("long") * (SIMILAR + WHOLE) < (F.col("n_a").cast("long") + F.col("n_b")) * SIMILAR
 
 
-def _similar(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets are similar, by the sets; those that marks rule out need none."""
-    def ids(of):
-        return small(cut(of.select(F.explode(F.array("a", "b")).alias("id")).distinct()), IDS)
-
-    def side(of, x):
-        return of.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), *(F.col(m).alias(f"{m}_{x}") for m in _MARKS))
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts in order of their slots, each with the ids it is to be compared with -> the pairs whose sets are similar."""
+    current, held, asked = None, {}, {}
+
+    def found():
+        out = []
+        for b, partners in asked.items():
+            for a in partners:
+                x, y = held.get(a), held.get(b)
+                if x is not None and y is not None and \
+                        len(np.intersect1d(x, y, assume_unique=True)) * (SIMILAR + WHOLE) >= (len(x) + len(y)) * SIMILAR:
+                    out.append((a, b))
+        return pa.RecordBatch.from_arrays([pa.array([p[i] for p in out], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+    for part, sets, ids in _sets(batches):
+        slots = zip(*(part.column(c).to_pylist() for c in ("sh", "p", "q")))
+        for slot, want, id_, words, partners in zip(slots, part.column("id").to_pylist(), ids.tolist(), sets, part.column("partners").to_pylist()):
+            if slot != current:
+                if asked:
+                    yield found()
+                current, held, asked = slot, {}, {}
+            if want == id_:  # else another text with the same hash
+                held[id_] = words
+                if partners:
+                    asked[id_] = partners
+    if asked:
+        yield found()
+
+
+def _similar(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sets are similar, by the sets; those that marks rule out need none.
+
+    `pairs` has a shingle `sh` that both share. The texts of a shingle meet in slots of some SLOT ids of either
+    side, so that a text travels once for a few of its pairs and a shingle of many sets is many small groups.
+    """
+    def side(x):
+        return nodes.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), *(F.col(m).alias(f"{m}_{x}") for m in _MARKS))
 
     pairs = cut(pairs)
-    about = cut(nodes.select("id", F.size("shingles").alias("n"), *_MARKS).join(ids(pairs), "id", "left_semi"))
-    pairs = cut(pairs.join(side(about, "a"), "a").join(side(about, "b"), "b").where(~_unlike()).select("a", "b"))
-    wanted = ids(pairs)
-    sets = cut(nodes.select("id", "shingles").join(wanted, "id", "left_semi"))
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a") \
-        .join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
-    common = F.size(F.array_intersect("x", "y")).cast("long")
-    return both.where(common * (SIMILAR + WHOLE) >= (F.size("x").cast("long") + F.size("y")) * SIMILAR).select("a", "b")
+    pairs = cut(pairs.join(side("a"), "a").join(side("b"), "b").where(~_unlike()).select("a", "b", "sh"))
+    sides = pairs.groupBy("sh").agg(F.ceil(F.countDistinct("a") / SLOT).alias("p"), F.ceil(F.countDistinct("b") / SLOT).alias("q"))
+    pairs = pairs.join(sides, "sh").withColumn("p", F.pmod(F.xxhash64("a"), "p")).withColumn("q", F.pmod(F.xxhash64("b"), "q"))
+    slot = ["sh", "p", "q"]
+    asked = pairs.select(*slot, F.col("b").alias("id"), F.col("a").alias("partner")).unionByName(
+        pairs.select(*slot, F.col("a").alias("id"), F.lit(None).cast("long").alias("partner")))
+    wanted = asked.groupBy(*slot, "id").agg(F.collect_set("partner").alias("partners"))
+    wanted = small(cut(wanted.join(nodes.select("id", "k"), "id")), IDS)
+    return texts.join(wanted, "k").select(*slot, "id", "partners", "text").repartition(*slot).sortWithinPartitions(*slot) \
+        .mapInArrow(_compare, "a long, b long")
 
 
 def similar_groups(docs: DataFrame) -> DataFrame:
@@ -268,31 +312,29 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     shingles are handed out (_prefixes); similar sets share one of them. First all sets with a shingle are compared
     with the least of them, which joins large groups of near copies without their pairs. Then, under every
     shingle, all pairs that are not in one group yet are compared. Nothing is capped: a shingle of many sets that
-    are no near copies costs their pairs, less those that sizes, places of the shingle or marks rule out. All
-    null and empty texts are one node. An empty table gives an empty table.
+    are no near copies costs their pairs, less those that sizes, places of the shingle or marks rule out. Sets are
+    made anew from the texts where they are needed; none is written. All null and empty texts are one node. An
+    empty table gives an empty table.
     """
-    rows = cut(docs.select("doc_id", "text", F.xxhash64("text").alias("h")).mapInArrow(
-        _nodes, "doc_id long, h long, id long, shingles array<long>, " + ", ".join(f"{m} long" for m in _MARKS)).withColumn("row", F.monotonically_increasing_id()))
-    least = rows.groupBy("id").agg(F.min("row").alias("least"))
-    copies = cut(rows.select("id", "row").join(least, "id").where("row <> least").select("row"))
-    nodes = rows.join(copies, "row", "left_anti").select("id", "shingles", *_MARKS)
-    spread = _prefixes(nodes, _common(nodes))
-    many = spread.groupBy("sh").agg(F.count("*").alias("c")).where("c > 1").select("sh")
-    lists = cut(spread.join(small(cut(many), SHINGLES), "sh", "left_semi"))
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("h"), F.xxhash64("doc_id", "text").alias("k"))
+    rows = cut(texts.mapInArrow(_nodes, "doc_id long, h long, k long, id long, n int, " + ", ".join(f"{m} long" for m in _MARKS)))
+    nodes = cut(rows.groupBy("id").agg(F.min(F.struct("k", "n", *_MARKS)).alias("r")).select("id", "r.*"))
+    spread = _prefixes(texts, _common(texts))
+    many = spread.groupBy("sh").agg(F.min("id").alias("x"), F.max("id").alias("y")).where("x <> y").select("sh")
+    lists = cut(spread.join(small(cut(many), SHINGLES), "sh", "left_semi").distinct())
     lists = lists.join(lists.groupBy("sh").agg(F.min(F.struct("id", "n", "pos")).alias("l")), "sh")
-    stars = lists.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("pos").alias("pos_b"), F.col("l.id").alias("a"),
-                         F.col("l.n").alias("n_a"), F.col("l.pos").alias("pos_a")).where("a <> b").where(_possible()).select("a", "b").distinct()
-    links = cut(_similar(stars, nodes))
+    stars = lists.select("sh", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("pos").alias("pos_b"), F.col("l.id").alias("a"),
+                         F.col("l.n").alias("n_a"), F.col("l.pos").alias("pos_a")).where("a <> b").where(_possible())
+    links = cut(_similar(stars.groupBy("a", "b").agg(F.min("sh").alias("sh")), nodes, texts))
     groups = components(links).select(F.col("node").alias("id"), F.col("root"))
     named = lists.drop("l").join(groups, "id", "left").withColumn("root", F.coalesce("root", "id"))
     split = named.groupBy("sh").agg(F.min("root").alias("p"), F.max("root").alias("q")).where("p <> q").select("sh")
-    open_ = cut(named.join(split, "sh", "left_semi"))
-    marks = cut(nodes.select("id", *_MARKS).join(small(cut(open_.select("id").distinct()), IDS), "id", "left_semi"))
-    open_ = open_.join(marks, "id")
+    open_ = cut(named.join(split, "sh", "left_semi")).join(nodes.select("id", *_MARKS), "id")
     a = open_.select("sh", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("pos").alias("pos_a"), F.col("root").alias("ra"), *(F.col(m).alias(f"{m}_a") for m in _MARKS))
     b = open_.select("sh", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("pos").alias("pos_b"), F.col("root").alias("rb"), *(F.col(m).alias(f"{m}_b") for m in _MARKS))
-    rest = a.join(b, "sh").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & _possible() & ~_unlike()).select("a", "b").distinct()
-    groups = components(links.unionByName(_similar(rest, nodes))).withColumnRenamed("node", "id")
+    rest = a.join(b, "sh").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & _possible() & ~_unlike())
+    links = links.unionByName(_similar(rest.groupBy("a", "b").agg(F.min("sh").alias("sh")), nodes, texts))
+    groups = components(links).withColumnRenamed("node", "id")
     return rows.select("doc_id", "h", "id").join(groups, "id", "left").select("doc_id", "h", F.coalesce("root", "id").alias("root"))
 
 
