@@ -119,6 +119,17 @@ _ACTORS = """select *, case when tgt != actor then tgt end target from (select *
    when category = 'auth_anomaly' then coalesce(nullif(json_extract_string(extra, '$.src_ip'), ''), nullif(related_host, ''), affected_host)
    else coalesce(nullif(affected_host, ''), related_host) end actor,
   nullif(case when category in ('port_scan', 'lateral_movement') then affected_host else related_host end, '') tgt from raised)"""
+_INCIDENT_PARTS = dict(acted=_ACTORS,
+                       counted="""select *, count(distinct sen) over w s, count(distinct target) over w t, count(*) over w n,
+   max(list_position(['info','low','medium','high','critical'], severity)) over w peak from acted
+   window w as (partition by actor order by us range between 900000000 preceding and current row)""",
+                       starts="""select l.actor, l.us done, max(n.us) began from acted l join acted s on s.actor = l.actor and s.us < l.us and s.us >= l.us - 900000000
+   join acted n on n.actor = l.actor and n.us < s.us and n.us >= l.us - 900000000 where l.category = 'lateral_movement' and s.category = 'port_scan'
+   and n.category = 'new_device' group by 1, 2""",
+                       hits="""select * from (select c.*, s >= 2 or t >= 7 broad, exists (select 1 from starts z where z.actor = c.actor and z.done <= c.us
+   and z.began >= c.us - 900000000) staged from counted c) where broad or staged""",
+                       kept="""select actor, min(us) us from hits group by 1 union all select c.actor, min(c.us) from kept k join hits c
+   on c.actor = k.actor and c.us >= k.us + 1800000000 group by 1""")
 _INCIDENTS = duck("""select us, case when broad and (s >= 3 or t >= 20) then 'critical' else 'high' end severity, actor affected_host, '' related_host,
  case when broad then concat('incident:', actor) else concat('incident:sequence:', actor) end dedup_key,
  case when broad then concat('Correlated incident: ', actor, ' active across ', s, ' sensor(s), ', t, ' target(s)')
@@ -127,17 +138,31 @@ _INCIDENTS = duck("""select us, case when broad and (s >= 3 or t >= 20) then 'cr
  case when broad then ['info','low','medium','high','critical'][peak] end peak_severity,
  case when broad then (select concat('["', string_agg(distinct category, '","' order by category), '"]') from acted e where e.actor = x.actor
    and e.us between x.us - 900000000 and x.us) end categories
- from (select h.* from kept join hits h using (actor, us)) x""", "raised", acted=_ACTORS,
-                  counted="""select *, count(distinct sen) over w s, count(distinct target) over w t, count(*) over w n,
-   max(list_position(['info','low','medium','high','critical'], severity)) over w peak from acted
-   window w as (partition by actor order by us range between 900000000 preceding and current row)""",
-                  starts="""select l.actor, l.us done, max(n.us) began from acted l join acted s on s.actor = l.actor and s.us < l.us and s.us >= l.us - 900000000
-   join acted n on n.actor = l.actor and n.us < s.us and n.us >= l.us - 900000000 where l.category = 'lateral_movement' and s.category = 'port_scan'
-   and n.category = 'new_device' group by 1, 2""",
-                  hits="""select * from (select c.*, s >= 2 or t >= 7 broad, exists (select 1 from starts z where z.actor = c.actor and z.done <= c.us
-   and z.began >= c.us - 900000000) staged from counted c) where broad or staged""",
-                  kept="""select actor, min(us) us from hits group by 1 union all select c.actor, min(c.us) from kept k join hits c
-   on c.actor = k.actor and c.us >= k.us + 1800000000 group by 1""")
+ from (select h.* from kept join hits h using (actor, us)) x""", "raised", **_INCIDENT_PARTS)
+
+
+def _evidence(spark, d):
+    raised = Tables(spark, d).raised
+    rows = inc.incident_evidence(raised, CFG).select("actor", "incident_us", "alert_id", "alert_us", "category", "sensor", "target", "stage")
+    short = inc.incidents(raised, CFG, timeline=False).select(
+        F.col("affected_host").alias("actor"), F.col("us").alias("incident_us"),
+        F.get_json_object("extra", "$.event_count").cast("bigint").alias("event_count"), "description")
+    return rows.join(short, ["actor", "incident_us"])
+
+
+_EVIDENCE = duck("""select x.actor, x.us incident_us, e.alert_id, e.us alert_us, e.category, e.sen sensor, e.target,
+ case when broad then n else 3 end event_count,
+ case when broad then concat(x.actor, ' caused ', n, ' alerts in 900 s, up to ', ['info','low','medium','high','critical'][peak], '.')
+  else concat(x.actor, ' appeared, scanned and moved on, in this order.') end description,
+ case when broad then null when (e.us, e.alert_id) = (t0.us, t0.alert_id) then 1 when (e.us, e.alert_id) = (t1.us, t1.alert_id) then 2
+  when (e.us, e.alert_id) = (t2.us, t2.alert_id) then 3 end stage
+ from (select h.* from kept join hits h using (actor, us)) x join acted e on e.actor = x.actor and e.us between x.us - 900000000 and x.us
+ left join lateral (select us, alert_id from acted z where z.actor = x.actor and z.us between x.us - 900000000 and x.us and z.category = 'new_device'
+  order by us, alert_id limit 1) t0 on true
+ left join lateral (select us, alert_id from acted z where z.actor = x.actor and z.us <= x.us and (z.us, z.alert_id) > (t0.us, t0.alert_id)
+  and z.category = 'port_scan' order by us, alert_id limit 1) t1 on true
+ left join lateral (select us, alert_id from acted z where z.actor = x.actor and z.us <= x.us and (z.us, z.alert_id) > (t1.us, t1.alert_id)
+  and z.category = 'lateral_movement' order by us, alert_id limit 1) t2 on true""", "raised", **_INCIDENT_PARTS)
 
 
 def _alert_flow(spark, d):
@@ -299,7 +324,7 @@ _RETENTION = duck(f"select event_id, us from dns where us >= {START + 15 * 86400
 ENTRIES = {
     "alert_dedup": (_dedup, _DEDUP), "alert_dedup_history": (_dedup_history, _DEDUP_HISTORY), "alert_mutes_quiet_hours": (_mutes, _MUTES),
     "alert_status": (_status, _STATUS), "alert_enrich": (_enrich, _ENRICH), "alert_stats": (_stats, _STATS),
-    "incidents": (_incidents, _INCIDENTS), "alert_flow": (_alert_flow, None), "alert_search": (_search, _SEARCH),
+    "incidents": (_incidents, _INCIDENTS), "incident_evidence": (_evidence, _EVIDENCE), "alert_flow": (_alert_flow, None), "alert_search": (_search, _SEARCH),
     "suspicion": (_suspicion, _SUSPICION), "suspicion_trend": (_trend, _TREND), "response_plan": (_responses, _RESPONSES),
     "export_cef_syslog": (_cef, _CEF), "export_ecs": (_ecs, _ECS), "export_otlp": (_otlp, _OTLP), "export_forward": (_forward, _FORWARD),
     "retention": (_retention, _RETENTION),

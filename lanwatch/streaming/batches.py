@@ -18,7 +18,7 @@ from ..operators import baseline, volume
 from ..operators.firsts import first_rows, not_in_baseline
 from ..operators.lineage import cut
 from ..plans import alerts as alert_plans, reports
-from ..plans.incidents import incidents
+from ..plans.incidents import incident_evidence, incidents
 from .partials import Partials, finished, folders
 
 DAY = 86400 * SECOND
@@ -62,13 +62,14 @@ def _put_by_day(df: DataFrame, path: str, batch_id: int) -> None:
 
 def alert_batches(detect: Callable[[DataFrame], DataFrame], out: str, cfg: Config = Config(),
                   prefixes: DataFrame | None = None, correlate: bool = True,
-                  mutes: DataFrame | None = None) -> Callable[[DataFrame, int], None]:
+                  mutes: DataFrame | None = None, evidence: str | None = None) -> Callable[[DataFrame, int], None]:
     """foreachBatch function: detect, suppress, enrich, correlate and append fired alerts.
 
     Batches follow each other in event time. An actor's alerts of earlier batches count towards its
     incidents as long as they lie in the correlation window, so any cut into batches gives the rows of one
     batch. Tables are laid out by day, and only days young enough to matter are read: alerts below `out`,
-    the times of incidents, which hold their cooldown, beside it.
+    the times of incidents, which hold their cooldown, beside it. With `evidence`, a path, the alerts of an
+    incident are kept there as rows (`incident_evidence`, by day of the incident) and its alert holds no list of them.
     """
     longest = max(tables.CATEGORY_COOLDOWN_SECONDS.values()) * SECOND
     marks = out.rstrip("/") + "_incidents"
@@ -85,7 +86,10 @@ def alert_batches(detect: Callable[[DataFrame], DataFrame], out: str, cfg: Confi
         if correlate:
             past = _recent(spark, out, batch_id, start - cfg.correlation_window * SECOND)
             before = _recent(spark, marks, batch_id, start - cfg.correlation_cooldown * SECOND)
-            found = cut(incidents(fired, cfg, past, before))
+            if evidence is not None:
+                kept = incident_evidence(fired, cfg, past, before)
+                _put_by_day(kept.withColumnRenamed("incident_us", "us"), evidence, batch_id)
+            found = cut(incidents(fired, cfg, past, before, timeline=evidence is None))
             fired = fired.unionByName(alert_plans.fire(found, cfg, mutes, seen))
             _put_by_day(found.select(F.col("affected_host").alias("actor"), "us"), marks, batch_id)
         _put_by_day(alert_plans.enrich(fired, prefixes) if prefixes is not None else fired, out, batch_id)

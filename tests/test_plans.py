@@ -109,6 +109,38 @@ def test_intrusion_sequence(alerts):
     assert inc.incidents(alerts(*again)).count() == 1
 
 
+def test_evidence_as_rows(spark, alerts):
+    a = alerts(stage(0, "new_device"), stage(0, "new_device"), stage(10, "beacon"), stage(15, "lateral_movement"), stage(20, "port_scan"),
+               stage(25, "new_device"), stage(30, "lateral_movement"), *[scanner(5000 + i, affected_host=f"h{i}") for i in range(6)])
+    rows = inc.incident_evidence(a).orderBy("alert_id").collect()
+    assert [(r.alert_id, r.stage) for r in rows if r.incident_us == T0 + 30 * S] == [
+        ("a000", 1), ("a001", None), ("a002", None), ("a003", None), ("a004", 2), ("a005", None), ("a006", 3)]
+    whole = {(r.us, r.dedup_key): r for r in inc.incidents(a).collect()}
+    brief = {(r.us, r.dedup_key): r for r in inc.incidents(a, timeline=False).collect()}
+    assert whole.keys() == brief.keys() and len(whole) == 2
+    for k, w in whole.items():
+        b, x, y = brief[k], json.loads(w.extra), json.loads(brief[k].extra)
+        assert (w.severity, w.title, w.description, w.confidence_rationale) == (b.severity, b.title, b.description, b.confidence_rationale)
+        assert all(x.get(f) == y.get(f) for f in ("event_count", "target_count", "categories", "first_seen", "peak_severity", "sequence"))
+        assert "timeline" in x and "timeline" not in y and y.get("sensor_count", 0) == len(x.get("sensors") or [])
+    none = spark.createDataFrame([], ALERT_SCHEMA)
+    assert inc.incident_evidence(none).count() == 0 and inc.incidents(none, timeline=False).count() == 0
+
+
+def test_evidence_of_a_busy_actor(spark):
+    n = 20_000  # alerts of one actor in one window
+    busy = spark.range(0, n, 1, 8).select(
+        F.format_string("a%07d", "id").alias("alert_id"), (F.lit(T0) + F.col("id") * 1000).alias("us"), F.lit("low").alias("severity"),
+        F.lit("port_scan").alias("category"), F.concat(F.lit("h"), F.col("id")).alias("affected_host"), F.lit("192.168.1.66").alias("related_host"),
+        F.lit("t").alias("title"), F.lit("{}").alias("extra"), F.lit("s").alias("sensor"))
+    cfg = Config(correlation_targets=n)
+    assert inc.incident_evidence(busy, cfg).agg(F.count("*"), F.countDistinct("alert_id")).first()[:] == (n, n)
+    got = inc.incidents(busy, cfg, timeline=False)
+    assert "collect_list" not in got._jdf.queryExecution().toString()
+    row = got.first()
+    assert json.loads(row.extra)["event_count"] == n and len(row.extra) < 1000
+
+
 def test_actor_of_logins(alerts):
     a = alerts(dict(t=0, category="auth_anomaly", affected_host="localhost", related_host="1.1.1.1", extra='{"src_ip":"2.2.2.2"}'),
                dict(t=1, category="auth_anomaly", affected_host="localhost", related_host="1.1.1.1"), dict(t=2, affected_host="", related_host="9.9.9.9"))

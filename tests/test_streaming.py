@@ -123,10 +123,16 @@ def test_incidents_span_batches(spark, tmp_path):
     mute = spark.createDataFrame([(want[-1][2], T0)], "dedup_key string, us long")
     for k, cuts in enumerate(([0, 30, 100], [0, 2, 4, 6, 21, 24, 100])):
         out = str(tmp_path / f"out{k}")
-        step = batches.alert_batches(detect, out, mutes=mute)
+        kept = str(tmp_path / f"evidence{k}")
+        step = batches.alert_batches(detect, out, mutes=mute, evidence=kept)
         for i, (a, b) in enumerate(zip(cuts, cuts[1:])):
             step(data.where((F.col("event_id") >= a) & (F.col("event_id") < b)), i)
-        assert sorted((r.category, r.us, r.affected_host) for r in spark.read.parquet(out).collect()) == want
+        stored = spark.read.parquet(out)
+        assert sorted((r.category, r.us, r.affected_host) for r in stored.collect()) == want
+        rows_kept = {(r.actor, r.us, r.alert_us) for r in spark.read.parquet(kept).collect()}
+        alerts_at = [r.us for r in stored.where("category = 'port_scan'").collect()]
+        for r in stored.where("category = 'incident'").collect():
+            assert {t for a, us, t in rows_kept if (a, us) == (r.affected_host, r.us)} == {t for t in alerts_at if r.us - 300 * S <= t <= r.us}
 
 
 def test_stream_counter_passes_over_nulls(spark, tmp_path):
