@@ -70,7 +70,7 @@ class Config:
     beacon_cv: float = 0.15
     beacon_min_gap: float = 1.0
     beacon_min_mean: float = 5.0
-    beacon_history: int = 200
+    beacon_history: int | None = 200  # None: all events since the flow was last idle
     beacon_idle: int = 3600
     beacon_cooldown: int = 1800
 

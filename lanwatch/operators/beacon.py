@@ -15,50 +15,87 @@ from .suppress import cooldown
 FLOW = ["src_ip", "dst_ip", "dst_port"]
 
 
-def _with_history(rows: DataFrame, cfg: Config) -> DataFrame:
-    """Cut flows into time buckets (`_b`) and put each bucket's missing history in front of it.
+BUCKET = 3600      # seconds of a flow that are ordered together
+BLOCK_HISTORIES = 4  # length of a block of events, in histories
 
-    A bucket is one idle span long. The history is the flow's last events from the buckets before,
-    at most `beacon_history` of them, and is left out where an idle gap precedes the bucket. A flow
-    without such a gap has an event in every bucket, so that many buckets back are enough.
+
+def _placed(rows: DataFrame, cfg: Config) -> DataFrame:
+    """Events as (event_id, us, _flow, _b, _run, _at, _good): the bucket of time, the run of the flow, which starts anew
+    after an idle gap, the place in the run, and the gap before the event in seconds, where it counts.
+
+    Buckets are no longer than an idle gap, so a run can only begin with a bucket. Runs, places and the event before
+    the first one of a bucket therefore follow from one short row a bucket; a struct as key keeps nulls together.
+    """
+    idle = cfg.beacon_idle * SECOND
+    events = rows.where("us is not null").select(
+        "event_id", F.col("us").cast("bigint").alias("us"), F.struct(*FLOW).alias("_flow"),
+        F.floor(F.col("us") / min(idle, BUCKET * SECOND)).cast("bigint").alias("_b"))
+    buckets = events.groupBy("_flow", "_b").agg(F.count("*").alias("_n"), F.min("us").alias("_first"), F.max("us").alias("_last"))
+    along = Window.partitionBy("_flow").orderBy("_b")
+    buckets = (buckets.withColumn("_prior", F.lag("_last").over(along))
+               .withColumn("_prior", F.when(F.col("_first") - F.col("_prior") <= idle, F.col("_prior")))
+               .withColumn("_run", F.count(F.when(F.col("_prior").isNull(), 1)).over(along.rowsBetween(Window.unboundedPreceding, 0))))
+    ahead = Window.partitionBy("_flow", "_run").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    buckets = buckets.select("_flow", "_b", "_prior", "_run", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_ahead"))
+    order = Window.partitionBy("_flow", "_b").orderBy("us", "event_id")
+    gap = (F.col("us") - F.coalesce(F.lag("us").over(order), "_prior")) / SECOND
+    return (events.join(buckets, ["_flow", "_b"]).withColumn("_gap", gap)
+            .withColumn("_at", F.col("_ahead") + F.row_number().over(order) - 1)
+            .withColumn("_good", F.when(F.col("_gap") >= cfg.beacon_min_gap, F.col("_gap")))
+            .select("event_id", "us", "_flow", "_b", "_run", "_at", "_good"))
+
+
+_STATISTICS = ["intervals", "mean", "sd", "shortest", "longest"]
+
+
+def _recent_gaps(placed: DataFrame, history: int) -> DataFrame:
+    """Statistics over the gaps of the last `history` events. Runs are cut into blocks by place; the end of a block, one
+    history long, is copied into the next."""
+    width, before = BLOCK_HISTORIES * history, max(0, history - 2)
+    block = F.floor(F.col("_at") / width).cast("bigint")
+    late = F.col("_at") % width >= width - before
+    blocks = placed.withColumn("_block", F.explode(F.when(late, F.array(block, block + 1)).otherwise(F.array(block))))
+    last = Window.partitionBy("_flow", "_run", "_block").orderBy("_at").rowsBetween(-before, 0)
+    return (blocks.withColumns({"intervals": F.count("_good").over(last), "mean": F.avg("_good").over(last),
+                                "sd": F.stddev_pop("_good").over(last), "shortest": F.min("_good").over(last),
+                                "longest": F.max("_good").over(last)})
+            .where(F.col("_block") == block))
+
+
+def _all_gaps(placed: DataFrame) -> DataFrame:
+    """Statistics over all gaps of the run so far: what earlier buckets add up to, and running sums in the bucket.
+
+    Gaps and their squares are added in whole microseconds, so that no digits are lost over a long run.
     """
-    size = cfg.beacon_history
-    cut = rows.select("event_id", "us", *FLOW).withColumn(
-        "_b", F.floor(F.col("us") / (cfg.beacon_idle * SECOND)).cast("bigint"))
-    newest = Window.partitionBy(*FLOW, "_b").orderBy(F.desc("us"), F.desc("event_id"))
-    tails = (cut.withColumn("_rn", F.row_number().over(newest)).where(F.col("_rn") <= size)
-             .groupBy(*FLOW, "_b").agg(F.sort_array(F.collect_list(F.struct("us", "event_id"))).alias("_tail")))
-    starts = cut.groupBy(*FLOW, "_b").agg(F.min("us").alias("_start"))
-    before = Window.partitionBy(*FLOW).orderBy("_b").rowsBetween(-(size + 1), -1)
-    known = F.flatten(F.collect_list("_tail").over(before))
-    history = (tails.join(starts, [*FLOW, "_b"]).withColumn("_known", known).where(F.size("_known") > 0)
-               .where(F.col("_start") - F.element_at("_known", -1)["us"] <= cfg.beacon_idle * SECOND)
-               .select(*FLOW, "_b", F.inline(F.slice(
-                   "_known", F.greatest(F.lit(1), F.size("_known") - size + 1), size))))
-    return cut.withColumn("_own", F.lit(True)).unionByName(history.withColumn("_own", F.lit(False)))
+    exact = F.round(F.col("_good") * SECOND).cast("decimal(19,0)")
+    sums = {"_n": F.count, "_s": F.sum, "_q": F.sum, "_low": F.min, "_high": F.max}
+    both = {"_n": lambda a, b: a + b, "_s": lambda a, b: a + b, "_q": lambda a, b: a + b, "_low": F.least, "_high": F.greatest}
+    values = placed.withColumns({"_n": F.col("_good"), "_s": exact, "_q": exact * exact, "_low": F.col("_good"), "_high": F.col("_good")})
+    buckets = values.groupBy("_flow", "_run", "_b").agg(*[f(c).alias(c) for c, f in sums.items()])
+    ahead = Window.partitionBy("_flow", "_run").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    merge = {**sums, "_n": F.sum}
+    buckets = buckets.select("_flow", "_b", *[f(c).over(ahead).alias(f"{c}0") for c, f in merge.items()])
+    so_far = Window.partitionBy("_flow", "_b").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    rows = values.join(buckets, ["_flow", "_b"])
+    rows = rows.withColumns({c: f(c).over(so_far) for c, f in sums.items()})
+    rows = rows.withColumns({c: F.coalesce(both[c](F.col(c), F.col(f"{c}0")), F.col(c), F.col(f"{c}0")) for c in sums})
+    n, s, q = (F.col(c).cast("decimal(38,0)") for c in ("_n", "_s", "_q"))
+    some = F.col("_n") > 0
+    return rows.withColumns({
+        "intervals": F.col("_n"), "mean": F.when(some, s.cast("double") / F.col("_n") / SECOND),
+        "sd": F.when(some, F.sqrt((n * q - s * s).cast("double")) / F.col("_n") / SECOND), "shortest": F.col("_low"), "longest": F.col("_high")})
 
 
 def flow_gaps(rows: DataFrame, cfg: Config) -> DataFrame:
-    """Statistics of the gaps among a flow's last `beacon_history` events, per event.
+    """Statistics of the gaps among a flow's last `beacon_history` events, or, where that is None, among all events so
+    far; per event. A flow starts anew after `beacon_idle` seconds of silence; events without a time are left out.
 
-    A flow starts anew after `beacon_idle` seconds of silence.
+    No task and no array holds a flow: events are ordered within buckets of an hour, then within blocks of a few
+    histories; across them go one row a bucket and one history of rows a block.
     """
-    cut = _with_history(rows, cfg)
-    order = Window.partitionBy(*FLOW, "_b").orderBy("us", "event_id")
-    gap = (F.col("us") - F.lag("us").over(order)) / SECOND
-    cut = (cut.withColumn("_gap", gap).withColumn("_idle", F.col("_gap") > cfg.beacon_idle)
-           .withColumn("_run", F.sum(F.when(F.col("_idle"), 1).otherwise(0)).over(
-               order.rowsBetween(Window.unboundedPreceding, 0)))
-           .withColumn("_good", F.when(~F.col("_idle") & (F.col("_gap") >= cfg.beacon_min_gap), F.col("_gap"))))
-    last = (Window.partitionBy(*FLOW, "_b", "_run").orderBy("us", "event_id")
-            .rowsBetween(-(cfg.beacon_history - 2), 0))
-    return (cut.withColumn("intervals", F.count("_good").over(last))
-            .withColumn("mean", F.avg("_good").over(last))
-            .withColumn("sd", F.stddev_pop("_good").over(last))
-            .withColumn("shortest", F.min("_good").over(last))
-            .withColumn("longest", F.max("_good").over(last))
-            .where("_own")
-            .select("event_id", "us", *FLOW, "intervals", "mean", "sd", "shortest", "longest"))
+    placed = _placed(rows, cfg)
+    found = _all_gaps(placed) if cfg.beacon_history is None else _recent_gaps(placed, cfg.beacon_history)
+    return found.select("event_id", "us", "_flow.*", *_STATISTICS)
 
 
 def beacon(conn: DataFrame, cfg: Config = Config(), baseline: DataFrame | None = None) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import json
 import random
+import statistics
 
 import pytest
 from pyspark.sql import functions as F
@@ -105,6 +106,34 @@ def test_beacon_history_spans_buckets(rows):
     assert [r.intervals for r in one] == [min(i, 9) for i in range(100)]
 
 
+@pytest.mark.parametrize("history", [2, 7, 200, None])
+def test_flow_gaps_against_brute_force(rows, history):
+    """Ties, idle gaps, short gaps, a null host, a busy flow over many buckets and blocks."""
+    rng, items = random.Random(4), []
+    for f, n in ((0, 900), (1, 60), (2, 60), (3, 1)):
+        t = T0 + f
+        for _ in range(n):
+            t += rng.choice([0, 400_000, S, 30 * S, 61 * S + 3, 900 * S, 3600 * S]) if rng.random() < 0.97 else 3600 * S + rng.choice([1, 9000 * S])
+            items.append((len(items), t, None if f == 2 else f"192.168.1.{f}", "198.51.100.7", 4444))
+    data = rows(items + [(99_999, None, "192.168.1.0", "198.51.100.7", 4444)], "event_id long, us long, src_ip string, dst_ip string, dst_port int")
+    cfg = Config(beacon_history=history)
+    gaps = beacon.flow_gaps(data, cfg)
+    assert "collect_list" not in gaps._jdf.queryExecution().toString()
+    got = {r.event_id: tuple(r)[5:] for r in gaps.collect()}
+    assert len(got) == len(items)
+    for src in {i[2] for i in items}:
+        frame, last = [], None
+        for event_id, us, *_ in sorted((i for i in items if i[2] == src), key=lambda i: (i[1], i[0])):
+            if last is not None and us - last > cfg.beacon_idle * S:
+                frame, last = [], None
+            frame.append(None if last is None or us - last < cfg.beacon_min_gap * S else (us - last) / S)
+            last, frame = us, frame[-(history - 1):] if history else frame
+            good = [g for g in frame if g is not None]
+            n, mean, sd, low, high = got[event_id]
+            assert (n, low, high) == (len(good), min(good, default=None), max(good, default=None))
+            assert (mean, sd) == ((None, None) if not good else (pytest.approx(statistics.fmean(good)), pytest.approx(statistics.pstdev(good), abs=1e-6)))
+
+
 def test_beacon_from_sockets(rows):
     data = [(i, T0 + i * 60 * S, "192.168.1.20", "198.51.100.7", 4444, "ESTABLISHED") for i in range(12)] * 2
     sockets = rows(data, "event_id long, us long, local_ip string, remote_ip string, remote_port int, state string")

@@ -172,7 +172,7 @@ def flows(spark, path, late_us):
     return canonical(spark.read.schema(SCHEMAS["connections"]).parquet(path))
 
 
-@pytest.mark.parametrize("history", [200, 12])
+@pytest.mark.parametrize("history", [200, 12, None])
 def test_streamed_beacons_equal_batch(spark, tmp_path, history):
     from lanwatch.operators.beacon import beacon
     path, late = str(tmp_path / "conn"), T0 + 10 ** 6 * S
