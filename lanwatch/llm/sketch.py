@@ -3,6 +3,9 @@
 A sketch keeps every shingle hash below a fixed fraction of the hash range. Its size follows the document, so
 sketches of very unequal documents can be compared (containment), and the sketch of a union is the union of
 sketches. Shingles are runs of code points, so that a sentence has enough of them.
+
+A short text may have no hash below the threshold. Its least hash, kept apart from the sketch, then stands for it in
+fingerprints and likeness; it is no part of what is merged, but the least of several least hashes is that of the union.
 """
 
 from __future__ import annotations
@@ -37,67 +40,79 @@ def _hashes(points: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def sketch_of(text: str | None) -> np.ndarray:
-    """Sorted distinct hashes below the threshold; the least hash where none is, so that every text with a
-    character has a sketch. A text shorter than a shingle is padded to one. Null and empty: no hashes."""
+def sketch_of(text: str | None) -> tuple[np.ndarray, int | None]:
+    """Sorted distinct hashes below the threshold, and the least hash of all. A text shorter than a shingle is padded
+    to one. Null and empty: no hashes."""
     if not text:
-        return np.empty(0, np.uint64)
+        return np.empty(0, np.uint64), None
     width = 1 << LOG_SHINGLE
     points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
     if len(points) < width:
         points = np.concatenate((points, np.full(width - len(points), 0x110000, np.uint32)))
-    kept, least = [], None
+    kept, least = [], 2**64
     for i in range(0, len(points) - width + 1, BLOCK):
         h = _hashes(points[i:i + BLOCK + width - 1])
         kept.append(h[h < np.uint64(2**64 // SCALE)])
-        low = h.min()
-        least = low if least is None or low < least else least
-    found = np.unique(np.concatenate(kept))
-    return found if len(found) else np.array([least], np.uint64)
+        least = min(least, int(h.min()))
+    return np.unique(np.concatenate(kept)), least
+
+
+def marks_of(text: str | None) -> np.ndarray:
+    """The sketch, or the least hash alone where the sketch is empty: every text with a character has a mark."""
+    sketch, least = sketch_of(text)
+    return sketch if len(sketch) or least is None else np.array([least], np.uint64)
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
-    """Share of the smaller sketch that the larger one holds; two empty ones are alike, an empty and another not."""
+    """Share of the smaller set of marks that the larger one holds; two empty ones are alike, an empty and another not."""
     if not len(a) or not len(b):
         return float(len(a) == len(b))
     return len(np.intersect1d(a, b, assume_unique=True)) / min(len(a), len(b))
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, sketch array<long>) of every whole text; the unsigned hashes are stored as signed ones."""
+    """(doc_id, sketch array<long>, least long) of every whole text; the unsigned hashes are stored as signed ones.
+
+    `least` is the least hash, null where there is none: the mark of a text whose sketch is empty.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches, SLICE_BYTES):
-            found = [sketch_of(t).view(np.int64) for t in part.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(found, pa.list_(pa.int64()))],
-                                             ["doc_id", "sketch"])
+            found = [sketch_of(t) for t in part.column("text").to_pylist()]
+            least = [None if v is None else v - 2**64 if v >= 2**63 else v for _, v in found]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array([h.view(np.int64) for h, _ in found], pa.list_(pa.int64())),
+                                              pa.array(least, pa.int64())], ["doc_id", "sketch", "least"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, sketch array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, sketch array<long>, least long")
 
 
 def merged(sketched: DataFrame, *by: str) -> DataFrame:
-    """(by, hash): the sketch of the union of each group, as rows, so that no group is gathered."""
+    """(by, hash): the sketch of the union of each group, as rows, so that no group is gathered.
+
+    It equals the sketch of all shingles of the group's texts, whatever their lengths; a group without a hash below the
+    threshold has no rows.
+    """
     return sketched.select(*by, F.explode("sketch").alias("hash")).distinct()
 
 
 def containment(part: Column, whole: Column) -> Column:
-    """Estimated share of the shingles of `part` that are in `whole`, from two sketch columns. No part: null."""
+    """Estimated share of the shingles of `part` that are in `whole`, from two sketch columns. Empty sketch of the part: null."""
     return F.try_divide(F.size(F.array_intersect(part, whole)), F.size(part))
 
 
-def fingerprint(sketch: np.ndarray) -> str:
-    return hashlib.sha256(sketch.astype("<u8").tobytes()).hexdigest()
+def fingerprint(marks: np.ndarray) -> str:
+    return hashlib.sha256(marks.astype("<u8").tobytes()).hexdigest()
 
 
 _OUT = "part int, edge string, doc_id long, n_chars long, text string, edited_sha256 string, fingerprint string, " \
        "edited_fingerprint string, near_edited double, near_next double"
 
 
-def _compared(doc_id, text: str, sketch: np.ndarray, following: str, following_sketch: np.ndarray) -> tuple:
+def _compared(doc_id, text: str, marks: np.ndarray, following: str, following_marks: np.ndarray) -> tuple:
     n = len(text)
     edited = text[:n - n // 4] + following[:n // 4]
-    other = sketch_of(edited)
-    return (doc_id, n, hashlib.sha256(edited.encode()).hexdigest(), fingerprint(sketch), fingerprint(other),
-            likeness(sketch, other), likeness(sketch, following_sketch))
+    other = marks_of(edited)
+    return (doc_id, n, hashlib.sha256(edited.encode()).hexdigest(), fingerprint(marks), fingerprint(other),
+            likeness(marks, other), likeness(marks, following_marks))
 
 
 def _stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,7 +127,7 @@ def _stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for doc_id, text in zip(piece.column("doc_id").to_pylist(), piece.column("text").to_pylist()):
             text = text or ""
-            now = (doc_id, text, sketch_of(text))
+            now = (doc_id, text, marks_of(text))
             if first:
                 rows.append((part, "first", doc_id, len(text), text, None, None, None, None, None))
                 first = False
@@ -148,7 +163,7 @@ def compare_with_next(docs: DataFrame) -> DataFrame:
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [_compared(r["doc_id"], r["text"], sketch_of(r["text"]), r["following"], sketch_of(r["following"])) for r in batch.to_pylist()]
+            rows = [_compared(r["doc_id"], r["text"], marks_of(r["text"]), r["following"], marks_of(r["following"])) for r in batch.to_pylist()]
             yield pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in rows], schema=schema)
 
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]

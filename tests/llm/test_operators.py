@@ -288,7 +288,7 @@ def test_token_counts(spark, docs, none, tmp_path):
 def test_sketches(docs, none):
     rows = sorted(((r.doc_id is not None, r.doc_id or 0, r.text or "") for r in docs.collect()), key=lambda r: r[:2])
     got = sketch.compare_with_next(docs).collect()
-    assert len(got) == len(rows) and {r.fingerprint for r in got} == {sketch.fingerprint(sketch.sketch_of(t)) for _, _, t in rows}
+    assert len(got) == len(rows) and {r.fingerprint for r in got} == {sketch.fingerprint(sketch.marks_of(t)) for _, _, t in rows}
     unique = [i for i, r in enumerate(rows) if r[0] and sum(x[1] == r[1] and x[0] for x in rows) == 1]
     by_id = {r.doc_id: r for r in got if r.doc_id is not None}
     for i in unique:
@@ -298,8 +298,8 @@ def test_sketches(docs, none):
         q = len(text) // 4
         r = by_id[rows[i][1]]
         assert r.edited_sha256 == hashlib.sha256((text[:len(text) - q] + after[:q]).encode()).hexdigest() and r.n_chars == len(text)
-        assert r.near_next == sketch.likeness(sketch.sketch_of(text), sketch.sketch_of(after))
-    a, b = sketch.sketch_of(LONG), sketch.sketch_of(LONG[:60_000])
+        assert r.near_next == sketch.likeness(sketch.marks_of(text), sketch.marks_of(after))
+    a, b = sketch.marks_of(LONG), sketch.marks_of(LONG[:60_000])
     assert sketch.likeness(a, b) > 0.99 and abs(len(a) * sketch.SCALE / len({LONG[i:i + 16] for i in range(len(LONG) - 15)}) - 1) < 0.1
     assert sketch.compare_with_next(none).count() == 0
     one = docs.where("doc_id = 10").limit(1)
@@ -308,6 +308,58 @@ def test_sketches(docs, none):
     assert sketch.merged(s, "doc_id").count() > 0 and s.select(sketch.containment(F.col("sketch"), F.col("sketch")).alias("c")).first().c == 1.0
 
 
+def naive_hashes(text):
+    """All shingle hashes of a text, one polynomial after the other."""
+    points, out = [ord(c) for c in text] + [0x110000] * (16 - len(text)), []
+    for i in range(len(points) - 15 if text else 0):
+        h = 0
+        for p in points[i:i + 16]:
+            h = (h * 0x9E3779B97F4A7C15 + p + 1) % 2**64
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            h = (h ^ h >> shift) * factor % 2**64
+        out.append(h ^ h >> 31)
+    return out
+
+
+def naive_marks(text):
+    every = naive_hashes(text)
+    return {h for h in every if h < 2**60} or set(sorted(every)[:1])
+
+
+def test_sketch_rows_against_brute_force(spark):
+    """Every column of every row, the first and the last included; short texts, whose sketch is empty, among them."""
+    r = random.Random(8)
+    texts = [None, "", "a", "ab", *("".join(r.choices("abcdé 漢", k=r.choice([3, 17, 30, 400]))) for _ in range(40)), "tail " * 30]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    got = {x.doc_id: x for x in sketch.compare_with_next(table).collect()}
+    share = lambda a, b: len(a & b) / min(len(a), len(b)) if a and b else float(len(a) == len(b))
+    digest = lambda marks: hashlib.sha256(b"".join(h.to_bytes(8, "little") for h in sorted(marks))).hexdigest()
+    assert len(got) == len(texts)
+    for i, text in enumerate(texts):
+        text, after = text or "", texts[(i + 1) % len(texts)] or ""
+        edited = text[:len(text) - len(text) // 4] + after[:len(text) // 4]
+        mine, other, following = naive_marks(text), naive_marks(edited), naive_marks(after)
+        assert tuple(got[i]) == (i, len(text), hashlib.sha256(edited.encode()).hexdigest(), digest(mine), digest(other),
+                                 share(mine, other), share(mine, following))
+
+
+def test_sketches_of_parts_merge_to_the_sketch_of_the_whole(spark):
+    """Short texts without a hash below the threshold add none; the least hash of a union is the least of the parts."""
+    r = random.Random(9)
+    texts = [(i, i % 7, "".join(r.choices("abcdefgh ", k=r.choice([0, 1, 15, 16, 18, 20, 300])))) for i in range(140)] + [(500, 3, None), (501, 9, "short"), (501, 9, "")]
+    table = spark.createDataFrame(texts, "doc_id long, g int, text string")
+    made = sketch.sketches(table).join(table.select("doc_id", "g").distinct(), "doc_id")
+    assert made.where("size(sketch) = 0 and least is not null").count() > 10
+    merged = collections.defaultdict(set)
+    for x in sketch.merged(made, "g").collect():
+        merged[x.g].add(x.hash % 2**64)
+    for g in {t[1] for t in texts}:
+        every = [h for _, k, t in texts if k == g for h in naive_hashes(t or "")]
+        assert merged[g] == {h for h in every if h < 2**60}
+        least = [x.least % 2**64 for x in made.where(F.col("g") == g).collect() if x.least is not None]
+        assert min(least) == min(every)
+
+
 def test_chat(spark):
     said = "</s>[INST] ok [/INST] <|turn|> <\\|turn|> <<SYS>> [\\\\INST]"
     rows = [(1, 0, "system", "be good"), *((1, i, ["user", "assistant"][i % 2 == 0], f"t{i} " + "w " * (i * 7 % 90)) for i in range(1, 140)),
