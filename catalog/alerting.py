@@ -24,9 +24,9 @@ _CD = """case when severity = 'critical' then 120 when category in ('new_device'
  when category = 'dns_anomaly' then 600 else 300 end"""
 
 
-def _chain(source):
+def _chain(source, name="kept"):
     return f"""select dedup_key, min(us) us, true fired from {source} group by 1
- union all select c.dedup_key, min(c.us), arg_min(c.us - c.cd, c.us) > max(k.us) from kept k join {source} c
+ union all select c.dedup_key, min(c.us), arg_min(c.us - c.cd, c.us) > max(k.us) from {name} k join {source} c
  on c.dedup_key = k.dedup_key and c.us - c.cd >= k.us group by 1"""
 
 
@@ -170,6 +170,19 @@ def _alert_flow(spark, d):
     return plans.process(t.raised, CFG, t.prefixes).select("alert_id", "us", "category", "dedup_key", "severity")
 
 
+# Quiet hours and dedup of the raw alerts, incidents of what fired, and dedup of their alerts.
+_ALERT_FLOW = duck("""select alert_id, us, category, dedup_key, severity from passed
+ union all select sha256(concat_ws('|', dedup_key, us)), us, 'incident', dedup_key, severity from told join found using (dedup_key, us) where fired""", "raised",
+                   timed=f"""select *, {_CD} * 1000000::bigint cd from raised where severity in ('high', 'critical')
+  or not (hour(make_timestamp(us)) >= 23 or hour(make_timestamp(us)) < 2)""", first=_chain("timed", "first"),
+                   passed="select t.* from first join timed t using (dedup_key, us) where fired",
+                   **{**_INCIDENT_PARTS, "acted": _ACTORS.replace("from raised", "from passed")},
+                   found="""select us, dedup_key, severity, case severity when 'critical' then 120 else 600 end * 1000000::bigint cd from (
+   select us, case when broad and (s >= 3 or t >= 20) then 'critical' else 'high' end severity,
+   case when broad then concat('incident:', actor) else concat('incident:sequence:', actor) end dedup_key from kept join hits using (actor, us))""",
+                   told=_chain("found", "told"))
+
+
 def _search(spark, d):
     t = Tables(spark, d)
     a = plans.search(t.raised, since_us=START + 3_600_000_000, severity="high", sensor="local", limit=None)
@@ -324,7 +337,7 @@ _RETENTION = duck(f"select event_id, us from dns where us >= {START + 15 * 86400
 ENTRIES = {
     "alert_dedup": (_dedup, _DEDUP), "alert_dedup_history": (_dedup_history, _DEDUP_HISTORY), "alert_mutes_quiet_hours": (_mutes, _MUTES),
     "alert_status": (_status, _STATUS), "alert_enrich": (_enrich, _ENRICH), "alert_stats": (_stats, _STATS),
-    "incidents": (_incidents, _INCIDENTS), "incident_evidence": (_evidence, _EVIDENCE), "alert_flow": (_alert_flow, None), "alert_search": (_search, _SEARCH),
+    "incidents": (_incidents, _INCIDENTS), "incident_evidence": (_evidence, _EVIDENCE), "alert_flow": (_alert_flow, _ALERT_FLOW), "alert_search": (_search, _SEARCH),
     "suspicion": (_suspicion, _SUSPICION), "suspicion_trend": (_trend, _TREND), "response_plan": (_responses, _RESPONSES),
     "export_cef_syslog": (_cef, _CEF), "export_ecs": (_ecs, _ECS), "export_otlp": (_otlp, _OTLP), "export_forward": (_forward, _FORWARD),
     "retention": (_retention, _RETENTION),
