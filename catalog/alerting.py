@@ -4,8 +4,10 @@ from pyspark.sql import functions as F
 
 from lanwatch.config import Config, ResponseConfig
 from lanwatch.functions.names import once
+from lanwatch.operators.lineage import work_folder
 from lanwatch.plans import alerts as plans, incidents as inc, responses, scores
 from lanwatch.sources import sinks
+from lanwatch.streaming import late
 
 from .base import Tables, brief, duck
 from .detections import START
@@ -183,6 +185,15 @@ _ALERT_FLOW = duck("""select alert_id, us, category, dedup_key, severity from pa
                    told=_chain("found", "told"))
 
 
+def _late_flow(spark, d):
+    """The same rows from two micro-batches that come in the wrong order."""
+    raised, path, cut = Tables(spark, d).raised, work_folder(spark), START + 6 * 3600 * 1_000_000
+    step = late.late_alert_batches(lambda batch: batch, path, CFG)
+    step(raised.where(F.col("us") >= cut), 0)
+    step(raised.where(F.col("us") < cut), 1)
+    return late.alerts_in_force(spark, path).select("alert_id", "us", "category", "dedup_key", "severity")
+
+
 def _search(spark, d):
     t = Tables(spark, d)
     a = plans.search(t.raised, since_us=START + 3_600_000_000, severity="high", sensor="local", limit=None)
@@ -337,7 +348,8 @@ _RETENTION = duck(f"select event_id, us from dns where us >= {START + 15 * 86400
 ENTRIES = {
     "alert_dedup": (_dedup, _DEDUP), "alert_dedup_history": (_dedup_history, _DEDUP_HISTORY), "alert_mutes_quiet_hours": (_mutes, _MUTES),
     "alert_status": (_status, _STATUS), "alert_enrich": (_enrich, _ENRICH), "alert_stats": (_stats, _STATS),
-    "incidents": (_incidents, _INCIDENTS), "incident_evidence": (_evidence, _EVIDENCE), "alert_flow": (_alert_flow, _ALERT_FLOW), "alert_search": (_search, _SEARCH),
+    "incidents": (_incidents, _INCIDENTS), "incident_evidence": (_evidence, _EVIDENCE), "alert_flow": (_alert_flow, _ALERT_FLOW),
+    "alert_flow_late": (_late_flow, _ALERT_FLOW), "alert_search": (_search, _SEARCH),
     "suspicion": (_suspicion, _SUSPICION), "suspicion_trend": (_trend, _TREND), "response_plan": (_responses, _RESPONSES),
     "export_cef_syslog": (_cef, _CEF), "export_ecs": (_ecs, _ECS), "export_otlp": (_otlp, _OTLP), "export_forward": (_forward, _FORWARD),
     "retention": (_retention, _RETENTION),

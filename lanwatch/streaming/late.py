@@ -74,17 +74,17 @@ def judged(raw: DataFrame, cfg: Config, mutes: DataFrame | None, history: DataFr
     """The alerts that start or restart the wait of their key, with `fired`.
 
     An alert exactly at the limit does not fire but restarts the wait, so such rows are part of what later batches
-    must know; `history` holds these rows from before. Of alerts of one key and time the one with the shortest
-    cooldown counts, then the least in the order of all columns. A key's rows are ordered twice: in blocks of time by
-    `cooldown`, and, once they are one a cooldown, by key.
+    must know; `history` holds these rows from before. Alerts of one time are taken by alert_id, then the shortest
+    cooldown first; of rows that agree in these the least in the order of all columns. A key's rows are ordered twice:
+    in blocks of time by `cooldown`, and, once they are one a cooldown, by key.
     """
     rows = quiet_hours(raw, cfg)
     if mutes is not None:
         rows = apply_mutes(rows, mutes)
-    rest = [c for c in ALERT_COLUMNS if c not in ("dedup_key", "us")]
+    order = ["dedup_key", "us", "alert_id", "_quiet"]
     rows = rows.withColumn("_quiet", cooldown_seconds(F.col("category"), F.col("severity")).cast("double"))
-    rows = rows.groupBy("dedup_key", "us").agg(F.min(F.struct("_quiet", *rest)).alias("row")) \
-        .select("dedup_key", "us", "row.*", F.lit(False).alias("_seed"))
+    rows = rows.groupBy(*order).agg(F.min(F.struct(*[c for c in ALERT_COLUMNS if c not in order])).alias("row")) \
+        .select(*order, "row.*", F.lit(False).alias("_seed"))
     seeds = history.groupBy("dedup_key").agg(F.max("us").alias("us")).select(
         "dedup_key", "us", F.lit("").alias("alert_id"), F.lit(0.000001).alias("_quiet"), F.lit(True).alias("_seed"))
     kept = cooldown(rows.unionByName(seeds, allowMissingColumns=True), "dedup_key", F.col("_quiet"), tie="alert_id", longest=LONGEST)
