@@ -68,14 +68,20 @@ def connection_spike(conn: DataFrame, cfg: Config = Config(), devices: DataFrame
 def iface_rate(counters: DataFrame) -> DataFrame:
     """Bytes per minute per interface between snapshots of cumulative counters.
 
-    A counter below its predecessor was reset; its own value is then the increase.
+    A counter below its predecessor was reset; its own value is then the increase. Snapshots of one time follow each
+    other by `event_id`, or by their totals where they have none; between two of them the rate is infinite, or NaN if
+    nothing was counted.
     """
-    rows = counters.select("name", "us", F.struct("us", (F.col("rx_bytes") + F.col("tx_bytes")).alias("total")).alias("_now"))
-    rows = previous_value(rows, "name", "_now", "_before", tie="us").where(F.col("_before").isNotNull())
+    sum_ = F.col("rx_bytes") + F.col("tx_bytes")
+    place = F.col("event_id") if "event_id" in counters.columns else sum_
+    rows = counters.select("name", "us", place.alias("_place"), F.struct("us", sum_.alias("total")).alias("_now"))
+    rows = previous_value(rows, "name", "_now", "_before", tie="_place").where(F.col("_before").isNotNull())
     total, last = F.col("_now.total"), F.col("_before.total")
     minutes = (F.col("us") - F.col("_before.us")) / (60 * SECOND)
     grown = F.when(total >= last, total - last).otherwise(total)
-    return rows.select("name", "us", (grown / minutes).alias("bytes_per_minute"))
+    at_once = F.when(grown == 0, float("nan")).otherwise(float("inf"))
+    rate = F.when(minutes == 0, F.when(grown.isNotNull(), at_once)).otherwise(grown / minutes)
+    return rows.select("name", "us", rate.alias("bytes_per_minute"))
 
 
 def traffic_spike(rate: DataFrame, cfg: Config = Config()) -> DataFrame:

@@ -316,6 +316,16 @@ def test_spikes(rows):
     assert volume.iface_rate(reset).first().bytes_per_minute == 30
 
 
+def test_rates_of_snapshots_at_one_time(rows):
+    schema = "event_id long, us long, name string, rx_bytes long, tx_bytes long"
+    seen = [(i, T0 + i * 60 * S, "eth0", i * i * 10, 0) for i in range(8)]
+    again = [(20, T0 + 7 * 60 * S, "eth0", 500, 10), (21, T0 + 7 * 60 * S, "eth0", 505, 5), (30, T0 + 8 * 60 * S, "eth0", 520, 0)]
+    rate = volume.iface_rate(rows([*reversed(again), *seen], schema))
+    got = sorted(((r.us - T0) // (60 * S), r.bytes_per_minute) for r in rate.collect())
+    assert [v for _, v in got[:7]] == [10, 30, 50, 70, 90, 110, 130] and got[-1] == (8, 10)
+    assert sorted(map(str, (v for m, v in got if m == 7))) == ["130.0", "inf", "nan"]
+
+
 def test_stats_known_values(rows):
     df = rows([("a", float(v)) for v in (2, 4, 4, 4, 5, 5, 7, 9)], "k string, v double")
     s = baseline.stats_agg(df, ["k"], "v")
