@@ -85,15 +85,19 @@ def iface_rate(counters: DataFrame) -> DataFrame:
 
 
 def traffic_spike(rate: DataFrame, cfg: Config = Config()) -> DataFrame:
-    """Interface rates far above the history before them."""
+    """Interface rates far above the history before them.
+
+    An infinite rate is above every finite history; on a history that holds one, z is NaN, which is above every limit.
+    """
     name, z, bpm = F.col("name"), F.col("z"), F.col("bytes_per_minute")
-    scored = earlier_moments(rate, "name", "bytes_per_minute", tie="us").withColumn(
+    scored = earlier_moments(rate, "name", "bytes_per_minute", tie="bytes_per_minute").withColumn(
         "z", z_score(bpm, F.col("mean"), F.col("sd")))
     hits = after_learning(scored.where(_spike("bytes_per_minute", cfg.traffic_factor, cfg)), cfg)
+    moved = F.coalesce(F.round(bpm, 0).try_cast("bigint").cast("string"), bpm.cast("string"))
     return to_alerts(
         hits, category="traffic_spike", severity="medium", affected=name,
         confidence=F.least(F.lit(0.95), 0.5 + z * 0.1), dedup_key=cat("traffic_spike:", name),
         title=cat("Traffic spike on ", name),
-        description=cat(name, " moved ", F.round(bpm, 0).cast("bigint"), " bytes per minute."),
+        description=cat(name, " moved ", moved, " bytes per minute."),
         action=cat("Check which host uses ", name, "."), rationale=cat("z-score ", F.round(z, 2)),
         extra={"bytes_per_minute": F.round(bpm, 2), "z_score": F.round(z, 2)})

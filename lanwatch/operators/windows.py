@@ -129,21 +129,26 @@ def earlier_moments(df: DataFrame, key: str, value: str, ts: str = "us", tie: st
                     bucket_s: int = 86400) -> DataFrame:
     """Add `samples`, `mean` and `sd` (population) of the key's earlier values, cut along time.
 
-    Values are taken relative to the key's overall mean, so that squares stay small.
+    Values are taken relative to the key's overall mean, so that squares stay small. Infinite and NaN values travel
+    apart and meet the moments of the finite ones at the end: behind them the mean is infinite or NaN, the deviation
+    NaN, and rows before them are as if they were not there.
     """
-    centre = df.groupBy(key).agg(F.avg(value).alias("_mid"))
-    b = (df.join(centre, key).withColumn("_v", F.col(value) - F.col("_mid")).withColumn("_q", F.col("_v") * F.col("_v"))
+    x = F.col(value).cast("double")
+    finite = ~F.isnan(x) & (F.abs(x) < float("inf"))
+    centre = df.groupBy(key).agg(F.coalesce(F.avg(F.when(finite, x)), F.lit(0.0)).alias("_mid"))
+    b = (df.join(centre, key).withColumn("_v", F.when(finite, x - F.col("_mid")).when(x.isNotNull(), 0.0))
+         .withColumn("_q", F.col("_v") * F.col("_v")).withColumn("_x", F.when(~finite, x).otherwise(0.0))
          .withColumn("_b", F.floor(F.col(ts) / (bucket_s * SECOND)).cast("bigint")))
-    sums = b.groupBy(key, "_b").agg(F.count("_v").alias("_n"), F.sum("_v").alias("_s"), F.sum("_q").alias("_sq"))
+    sums = b.groupBy(key, "_b").agg(F.count("_v").alias("_n"), *[F.sum(c).alias(f"_s{c}") for c in ("_v", "_q", "_x")])
     before = Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     carry = sums.select(key, "_b", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}0")
-                                     for c in ("_n", "_s", "_sq")])
+                                     for c in ("_n", "_s_v", "_s_q", "_s_x")])
     inside = (Window.partitionBy(key, "_b").orderBy(ts, tie).rowsBetween(Window.unboundedPreceding, -1))
     n = F.col("_n0") + F.count("_v").over(inside)
-    s = F.col("_s0") + F.coalesce(F.sum("_v").over(inside), F.lit(0.0))
-    q = F.col("_sq0") + F.coalesce(F.sum("_q").over(inside), F.lit(0.0))
-    out = b.join(carry, [key, "_b"]).withColumns({"samples": n, "_sum": s, "_squares": q})
+    s, q, odd = (F.col(f"_s{c}0") + F.coalesce(F.sum(c).over(inside), F.lit(0.0)) for c in ("_v", "_q", "_x"))
+    out = b.join(carry, [key, "_b"]).withColumns({"samples": n, "_sum": s, "_squares": q, "_odd": odd})
     mean = F.try_divide("_sum", "samples")
     spread = F.greatest(F.lit(0.0), F.try_divide("_squares", "samples") - mean * mean)
-    return (out.withColumn("mean", mean + F.col("_mid")).withColumn("sd", F.coalesce(F.sqrt(spread), F.lit(0.0)))
-            .drop("_mid", "_v", "_q", "_b", "_n0", "_s0", "_sq0", "_sum", "_squares"))
+    return (out.withColumn("mean", mean + F.col("_mid") + F.col("_odd"))
+            .withColumn("sd", F.coalesce(F.sqrt(spread), F.lit(0.0)) + (F.col("_odd") - F.col("_odd")))
+            .drop("_mid", "_v", "_q", "_x", "_b", "_n0", "_s_v0", "_s_q0", "_s_x0", "_sum", "_squares", "_odd"))

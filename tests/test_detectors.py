@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lanwatch import registry
 from lanwatch.config import Config, with_profile
-from lanwatch.operators import arp, auth, baseline, beacon, dns, intel, inventory, profile, scan, volume
+from lanwatch.operators import arp, auth, baseline, beacon, dns, intel, inventory, profile, scan, volume, windows
 
 from .conftest import ARP, AUTH, CONN, DNS, S, T0
 
@@ -324,6 +324,13 @@ def test_rates_of_snapshots_at_one_time(rows):
     got = sorted(((r.us - T0) // (60 * S), r.bytes_per_minute) for r in rate.collect())
     assert [v for _, v in got[:7]] == [10, 30, 50, 70, 90, 110, 130] and got[-1] == (8, 10)
     assert sorted(map(str, (v for m, v in got if m == 7))) == ["130.0", "inf", "nan"]
+    alerts = {((a.us - T0) // (60 * S), json.loads(a.extra)["bytes_per_minute"]): a for a in volume.traffic_spike(rate).collect()}
+    # the infinite rate, and what has it in its history; finite rates before it are judged as without it
+    assert set(alerts) == {(7, "Infinity"), (7, "NaN"), (8, 10.0)}
+    assert "Infinity" in alerts[7, "Infinity"].description and "10 bytes" in alerts[8, 10.0].description
+    plain = {r.event_id: r for r in windows.earlier_moments(rows([(i, i * S, "k", float(v)) for i, v in enumerate([1, 3, "inf", 5])],
+                                                                  "event_id long, us long, k string, v double"), "k", "v").collect()}
+    assert (plain[2].samples, plain[2].mean, plain[2].sd) == (2, 2.0, 1.0) and str(plain[3].mean) == "inf" and str(plain[3].sd) == "nan"
 
 
 def test_stats_known_values(rows):
