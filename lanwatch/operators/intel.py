@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..config import Config
 from ..functions.alerting import cat, evidence, explain, suffix, to_alerts
 from ..functions.net import ip_in_subnets, is_private_ip
+from .lineage import cut
 from .lookup import asn_lookup, match_domain, match_ip, not_allowed, with_hostname
 from .suppress import cooldown
 
@@ -40,17 +41,23 @@ def dns_hits(dns: DataFrame, indicators: DataFrame, cfg: Config = Config()) -> D
 
 def intel_hits(conn: DataFrame | None, dns: DataFrame | None, indicators: DataFrame,
                cfg: Config = Config()) -> DataFrame:
-    """Alerts for indicator hits of both streams under one cooldown per indicator."""
+    """Alerts for indicator hits of both streams under one cooldown per indicator.
+
+    The hits are written: the events are read once for the addresses that have a hit, and once for the hits. The
+    cooldown sees only what it decides by; the rest of a row is fetched for the rows it keeps, of repeated rows the
+    least in the order of all columns.
+    """
     parts = []
     if conn is not None:
         parts.append(connection_hits(conn, indicators, cfg))
     if dns is not None:
         parts.append(dns_hits(dns, indicators, cfg))
     hits = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    return hit_alerts(cooldown(
-        hits.withColumn("indicator", F.col("hit.value"))
-        .withColumn("turn", F.struct("event_id", "step")),
-        "indicator", cfg.intel_cooldown, tie="turn"))
+    place = ["indicator", "us", "turn"]
+    hits = cut(hits.select(F.col("hit.value").alias("indicator"), "us", F.struct("event_id", "step").alias("turn"),
+                           F.struct("host", "related", "what", "hit").alias("row")))
+    kept = cut(cooldown(hits.select(*place), "indicator", cfg.intel_cooldown, tie="turn"))
+    return hit_alerts(hits.join(kept, place).groupBy(*place).agg(F.min("row").alias("row")).select("us", "row.*"))
 
 
 def hit_alerts(hits: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Lookups: indicators, prefix tables, hostnames. Small sides are left to AQE to broadcast."""
+"""Lookups: indicators, prefix tables, hostnames. What is looked up becomes a table, which Spark broadcasts if it is small."""
 
 from __future__ import annotations
 
@@ -126,12 +126,15 @@ def index_lookup(df: DataFrame, ip: str, index: DataFrame, out: str) -> DataFram
 
 
 def _hits_of(df: DataFrame, ip: str, index: DataFrame, out: str, how: str) -> DataFrame:
-    """`df` with the hit of each address: rows of a stream look it up themselves, a table's distinct addresses once."""
+    """`df` with the hit of each address: rows of a stream look it up themselves, a table's distinct addresses once.
+
+    The hits are a table, so its actual size tells Spark whether the rows must be shuffled to meet it.
+    """
     if df.isStreaming:
         found = index_lookup(df, ip, index, out)
         return found if how == "left" else found.where(F.col(out).isNotNull())
     addresses = df.select(F.col(ip).alias("_ip")).where(F.col(ip).isNotNull()).distinct()
-    hits = index_lookup(addresses, "_ip", index, out).where(F.col(out).isNotNull())
+    hits = cut(index_lookup(addresses, "_ip", index, out).where(F.col(out).isNotNull()).select("_ip", out))
     return df.join(hits, df[ip] == hits["_ip"], how).drop("_ip")
 
 
@@ -188,6 +191,7 @@ def asn_lookup(df: DataFrame, ip: str, prefixes: DataFrame) -> DataFrame:
 
 
 _HIT = ["value", "kind", "source", "category"]
+FEW = 100_000  # listed domains that are broadcast to the rows of a table
 
 
 def match_ip(df: DataFrame, ip: str, indicators: DataFrame, out: str = "hit", how: str = "left") -> DataFrame:
@@ -208,24 +212,30 @@ def match_ip(df: DataFrame, ip: str, indicators: DataFrame, out: str = "hit", ho
     if df.isStreaming:
         found = resolved(df, ip)
         return found if how == "left" else found.where(F.col(out).isNotNull())
-    hits = resolved(df.select(F.col(ip).alias("_ip")).where(F.col(ip).isNotNull()).distinct(), "_ip").where(F.col(out).isNotNull())
+    addresses = df.select(F.col(ip).alias("_ip")).where(F.col(ip).isNotNull()).distinct()
+    hits = cut(resolved(addresses, "_ip").where(F.col(out).isNotNull()).select("_ip", out))
     return df.join(hits, df[ip] == hits["_ip"], how).drop("_ip")
 
 
 def match_domain(df: DataFrame, name: str, indicators: DataFrame, out: str = "hit", how: str = "left") -> DataFrame:
     """Struct of the most specific listed domain among the name and its parents; `how` as in `match_ip`.
 
-    A stream cannot pick the best of several rows without state, so its rows are joined once per number of labels
-    that listed domains have, and the most specific hit is picked inside the row.
+    Rows are joined once per number of labels that listed domains have, and the most specific hit is picked inside the
+    row: those of a stream, which cannot pick the best of several rows without state, and those of a table while so few
+    domains are listed that they can be broadcast. Beyond, the distinct names of a table look their parents up.
     """
     listed = indicators.where("kind = 'domain'").select(
         F.lower("value").alias("_suffix"), F.struct(*_HIT).alias("_hit"))
-    if df.isStreaming:
+    if not df.isStreaming:
+        listed = cut(listed.groupBy("_suffix").agg(F.min("_hit").alias("_hit")).where(F.contains("_suffix", F.lit("."))))
+        few = listed.count() <= FEW
+    if df.isStreaming or few:
         labels = F.size(F.split("_suffix", r"\."))
         depths = sorted(r[0] for r in listed.select(labels).where(labels > 1).distinct().collect())  # at most 127 numbers
         best, rows = F.lit(None), df.withColumn("_parents", domain_suffixes(F.col(name)))
         for n in depths:
             side = listed.where(labels == n).select(F.col("_suffix").alias(f"_s{n}"), F.col("_hit").alias(f"_h{n}"))
+            side = side if df.isStreaming else F.broadcast(side)
             mine = F.when(F.size("_parents") >= n - 1, F.expr(f"try_element_at(_parents, -{n - 1})"))
             rows = rows.join(side, mine == F.col(f"_s{n}"), "left")
             best = F.coalesce(F.col(f"_h{n}"), best)
@@ -233,7 +243,7 @@ def match_domain(df: DataFrame, name: str, indicators: DataFrame, out: str = "hi
         return found if how == "left" else found.where(F.col(out).isNotNull())
     probes = (df.select(F.col(name).alias("_name")).where(F.col(name).isNotNull()).distinct()
               .select("_name", F.posexplode(domain_suffixes(F.col("_name"))).alias("_pos", "_suffix")))
-    hits = probes.join(listed, "_suffix").groupBy("_name").agg(F.min_by("_hit", "_pos").alias(out))
+    hits = cut(probes.join(listed, "_suffix").groupBy("_name").agg(F.min_by("_hit", "_pos").alias(out)))
     return df.join(hits, df[name] == hits["_name"], how).drop("_name")
 
 

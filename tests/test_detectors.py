@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lanwatch import registry
 from lanwatch.config import Config, with_profile
-from lanwatch.operators import arp, auth, baseline, beacon, dns, intel, inventory, profile, scan, volume, windows
+from lanwatch.operators import arp, auth, baseline, beacon, dns, intel, inventory, lookup, profile, scan, volume, windows
 
 from .conftest import ARP, AUTH, CONN, DNS, S, T0
 
@@ -264,6 +264,21 @@ def test_intel(rows):
                    ("203.0.113.71", "203.0.113.71"), ("odd.sample.net", "a.b.odd.sample.net")]
 
 
+def test_intel_reads_events_once_for_hits_and_few_domains_row_by_row(rows, monkeypatch):
+    ind = rows([*INDICATORS, ("Sample.net", "domain", "urlhaus", "wide", 6), ("odd.sample.net", "domain", "urlhaus", "zz", 7)], IND)
+    c = conn(rows, [(0, "192.168.1.5", "203.0.113.71", 443)] * 2)
+    names = ["a.b.odd.sample.net", "odd.sample.net.", "sample.net", "xodd.sample.net", "net", "", None]
+    d = rows([(10 + i, T0 + 7200 * i * S, "192.168.1.5", n, "A", False, "203.0.113.71") for i, n in enumerate(names)], DNS)
+    got = intel.intel_hits(c, d, ind)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "LogicalRDD" not in plan and "LocalRelation" not in plan and "Join" in plan  # the kept hits, no event
+    few = sorted(map(str, got.collect()))
+    matched = lookup.match_domain(d, "query_name", ind).select("event_id", "hit.category")
+    assert dict(matched.collect()) == {10: "z", 11: "z", 12: "wide", 13: "wide", 14: None, 15: None, 16: None}
+    monkeypatch.setattr(lookup, "FEW", 0)
+    assert sorted(map(str, intel.intel_hits(c, d, ind).collect())) == few and len(few) == 11
+
+
 PREFIXES = [("203.0.113.0/24", "US", "United States", 64500, "Alpha"), ("203.0.113.64/26", "NL", "Netherlands", 64501, "BulletProof BV")]
 PRE = "cidr string, country string, country_name string, asn int, org string"
 
