@@ -10,13 +10,14 @@ are those that one batch of everything would have given.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..config import SECOND, Config
 from ..functions import tables
-from ..functions.alerting import ALERT_COLUMNS
+from ..functions.alerting import ALERT_COLUMNS, ALERT_SCHEMA
 from ..operators.lineage import cut
 from ..operators.suppress import cooldown
 from ..plans.alerts import apply_mutes, cooldown_seconds, quiet_hours
@@ -67,7 +68,7 @@ def _of(rows: DataFrame, touched: DataFrame, key: str) -> DataFrame:
 
 
 def _starts(rows: DataFrame, key: str) -> DataFrame:
-    return rows.groupBy(key).agg(F.min("us").alias("_from"))
+    return cut(rows.groupBy(key).agg(F.min("us").alias("_from")))  # a table: its size tells Spark how to join it
 
 
 def judged(raw: DataFrame, cfg: Config, mutes: DataFrame | None, history: DataFrame) -> DataFrame:
@@ -76,27 +77,33 @@ def judged(raw: DataFrame, cfg: Config, mutes: DataFrame | None, history: DataFr
     An alert exactly at the limit does not fire but restarts the wait, so such rows are part of what later batches
     must know; `history` holds these rows from before. Alerts of one time are taken by alert_id, then the shortest
     cooldown first; of rows that agree in these the least in the order of all columns. A key's rows are ordered twice:
-    in blocks of time by `cooldown`, and, once they are one a cooldown, by key.
+    in blocks of time by `cooldown`, and, once they are one a cooldown, by key. Both see only what decides; the other
+    columns are fetched for the rows that are kept, which are a table of known size.
     """
     rows = quiet_hours(raw, cfg)
     if mutes is not None:
         rows = apply_mutes(rows, mutes)
     order = ["dedup_key", "us", "alert_id", "_quiet"]
     rows = rows.withColumn("_quiet", cooldown_seconds(F.col("category"), F.col("severity")).cast("double"))
-    rows = rows.groupBy(*order).agg(F.min(F.struct(*[c for c in ALERT_COLUMNS if c not in order])).alias("row")) \
-        .select(*order, "row.*", F.lit(False).alias("_seed"))
     seeds = history.groupBy("dedup_key").agg(F.max("us").alias("us")).select(
         "dedup_key", "us", F.lit("").alias("alert_id"), F.lit(0.000001).alias("_quiet"), F.lit(True).alias("_seed"))
-    kept = cooldown(rows.unionByName(seeds, allowMissingColumns=True), "dedup_key", F.col("_quiet"), tie="alert_id", longest=LONGEST)
+    slim = rows.select(*order, F.lit(False).alias("_seed"))
+    kept = cooldown(slim.unionByName(seeds), "dedup_key", F.col("_quiet"), tie="alert_id", longest=LONGEST)
     before = F.lag("us").over(Window.partitionBy("dedup_key").orderBy("us", "alert_id"))
     free = F.col("us") - (F.col("_quiet") * SECOND).cast("bigint") > before
-    return kept.withColumn("fired", F.coalesce(free, F.lit(True))).where("not _seed").select(*_COLUMNS)
+    kept = cut(kept.withColumn("fired", F.coalesce(free, F.lit(True))).where("not _seed").drop("_seed"))
+    same = reduce(Column.__and__, [rows[c].eqNullSafe(kept[c]) for c in order])
+    whole = rows.join(kept.select(*order), same, "left_semi").groupBy(*order).agg(
+        F.min(F.struct(*[c for c in ALERT_COLUMNS if c not in order])).alias("row"))
+    same = reduce(Column.__and__, [whole[c].eqNullSafe(kept[c]) for c in order])
+    return whole.join(kept, same).select(*[whole[c] for c in order if c != "_quiet"], "row.*", "fired").select(*_COLUMNS)
 
 
 def _difference(now: DataFrame, old: DataFrame) -> DataFrame:
     """What turns `old` into `now`: rows that are new or other than before, and, marked `gone`, those no longer there."""
-    fresh = now.select(*_COLUMNS).subtract(old.select(*_COLUMNS)).withColumn("gone", F.lit(False))
-    gone = old.select(*_COLUMNS).join(now.select("alert_id"), "alert_id", "left_anti").withColumn("gone", F.lit(True))
+    now, old = cut(now.select(*_COLUMNS)), cut(old.select(*_COLUMNS))  # each is read twice
+    fresh = now.subtract(old).withColumn("gone", F.lit(False))
+    gone = old.join(now.select("alert_id"), "alert_id", "left_anti").withColumn("gone", F.lit(True))
     return cut(fresh.unionByName(gone))
 
 
@@ -145,11 +152,11 @@ def late_alert_batches(detect: Callable[[DataFrame], DataFrame], path: str, cfg:
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        fresh = cut(detect(batch).where("us is not null").select(*ALERT_COLUMNS))
+        _put_by_day(detect(batch).where("us is not null").select(*ALERT_COLUMNS), raw_path, batch_id)
+        fresh = spark.read.schema(ALERT_SCHEMA).parquet(f"{raw_path}/batch_id={batch_id}").select(*ALERT_COLUMNS)
         start = fresh.agg(F.min("us")).first()[0]
         if start is None:  # nothing found; a retried batch finds the same nothing
             return
-        _put_by_day(fresh, raw_path, batch_id)
         stored = _recent(spark, raw_path, batch_id, start)
         raw = fresh if stored is None else fresh.unionByName(stored)
         kept = alerts.read(spark, batch_id, start - reach)

@@ -83,3 +83,18 @@ def test_rows_at_the_limit_ties_and_nulls(spark, tmp_path):
 
 def test_nothing_yet(spark, tmp_path):
     assert late.alerts_in_force(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_late_alerts_order_slim_rows_and_fetch_the_rest(spark):
+    raw = detect(spark.createDataFrame(events(9, 60), SHAPE))
+    other = raw.withColumn("title", F.lit("a"))  # the same alerts again, with a lesser title
+    none = raw.limit(1).withColumn("dedup_key", F.lit(None).cast("string"))
+    history = raw.limit(0)
+    got = late.judged(raw.unionByName(other).unionByName(none), Config(), None, history)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" not in plan and "Window" not in plan  # what is kept is a table, and only that meets whole rows
+    rows = got.collect()
+    assert len(rows) == len({(r.alert_id, r.dedup_key) for r in rows}) and sum(r.dedup_key is None for r in rows) == 1
+    assert {r.title for r in rows if r.dedup_key is not None} == {"a"}
+    want = late.judged(other, Config(), None, history).collect()
+    assert sorted(map(str, want)) == sorted(str(r) for r in rows if r.dedup_key is not None)
