@@ -156,6 +156,27 @@ def shingle_hashes(text: str | None, known: dict[bytes, int]) -> np.ndarray:
 _MARKS = [f"m{k}" for k in range(8)]  # bits of the hashes in a set
 
 
+def _bits(hashes: np.ndarray) -> bytes:
+    """A bit for each value that the low bits of the hashes take, two to four bits a hash (64 at least).
+
+    Half the size are both halves laid upon each other, so sets of different sizes can be compared.
+    """
+    out = np.zeros(max(64, 1 << (2 * len(hashes)).bit_length()), np.uint8)
+    out[hashes & (len(out) - 1)] = 1
+    return np.packbits(out, bitorder="little").tobytes()
+
+
+def _may_be_similar(a: tuple[int, bytes], b: tuple[int, bytes]) -> bool:
+    """Whether two sets, given by sizes and _bits(), can be similar: each bit that only one has is a shingle that only it has."""
+    x, y = (np.frombuffer(bits, np.uint64) for _, bits in (a, b))
+    while len(x) > len(y):
+        x = x[:len(x) // 2] | x[len(x) // 2:]
+    while len(y) > len(x):
+        y = y[:len(y) // 2] | y[len(y) // 2:]
+    shared = min(a[0] - int(np.bitwise_count(x & ~y).sum()), b[0] - int(np.bitwise_count(y & ~x).sum()))
+    return shared * (SIMILAR + WHOLE) >= (a[0] + b[0]) * SIMILAR
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray], np.ndarray]]:
     """Slices of batches with a column `text`, the sets of their texts, and the ids of the sets."""
     known: dict[bytes, int] = {}
@@ -174,8 +195,9 @@ def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks = np.packbits(marks, axis=1).view(np.int64)
         yield pa.RecordBatch.from_arrays(
             [part.column("doc_id").cast(pa.int64()), part.column("h"), part.column("k"), pa.array(ids),
-             pa.array([len(s) for s in sets], pa.int32()), *(pa.array(marks[:, k].copy()) for k in range(len(_MARKS)))],
-            ["doc_id", "h", "k", "id", "n", *_MARKS])
+             pa.array([len(s) for s in sets], pa.int32()), *(pa.array(marks[:, k].copy()) for k in range(len(_MARKS))),
+             pa.array(map(_bits, sets), pa.binary())],
+            ["doc_id", "h", "k", "id", "n", *_MARKS, "bits"])
 
 
 def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,6 +267,15 @@ def _possible() -> Column:
     return shared.cast("long") * (SIMILAR + WHOLE) >= (F.col("n_a").cast("long") + F.col("n_b")) * SIMILAR
 
 
+def _first() -> Column:
+    """Whether sets a and b can be similar if the shingle at places pos_a and pos_b is the first of those they share.
+
+    Then all they share is at that place or behind. Similar sets pass at the first one, so a pair needs no other.
+    """
+    behind = F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b"))
+    return behind.cast("long") * (SIMILAR + WHOLE) >= (F.col("n_a").cast("long") + F.col("n_b")) * SIMILAR
+
+
 def _unlike() -> Column:
     """Whether the marks prove that a and b are not similar: each mark that only one has is a shingle that only it has."""
     def alone(x, y):
@@ -254,55 +285,75 @@ def _unlike() -> Column:
     return shared.cast("long") * (SIMILAR + WHOLE) < (F.col("n_a").cast("long") + F.col("n_b")) * SIMILAR
 
 
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts in order of their slots, each with the ids it is to be compared with -> the pairs whose sets are similar."""
+def _pairs(rows: Iterator[tuple], alike) -> Iterator[pa.RecordBatch]:
+    """(slot, id, what is compared, ids to compare it with) in order of the slots -> the pairs (sh, a, b) that are alike."""
     current, held, asked = None, {}, {}
 
     def found():
-        out = []
-        for b, partners in asked.items():
-            for a in partners:
-                x, y = held.get(a), held.get(b)
-                if x is not None and y is not None and \
-                        len(np.intersect1d(x, y, assume_unique=True)) * (SIMILAR + WHOLE) >= (len(x) + len(y)) * SIMILAR:
-                    out.append((a, b))
-        return pa.RecordBatch.from_arrays([pa.array([p[i] for p in out], pa.int64()) for i in (0, 1)], ["a", "b"])
-
-    for part, sets, ids in _sets(batches):
-        slots = zip(*(part.column(c).to_pylist() for c in ("sh", "p", "q")))
-        for slot, want, id_, words, partners in zip(slots, part.column("id").to_pylist(), ids.tolist(), sets, part.column("partners").to_pylist()):
-            if slot != current:
-                if asked:
-                    yield found()
-                current, held, asked = slot, {}, {}
-            if want == id_:  # else another text with the same hash
-                held[id_] = words
-                if partners:
-                    asked[id_] = partners
+        out = [(current[0], a, b) for b, partners in asked.items() for a in partners if a in held and b in held and alike(held[a], held[b])]
+        return pa.RecordBatch.from_arrays([pa.array([p[i] for p in out], pa.int64()) for i in range(3)], ["sh", "a", "b"])
+
+    for slot, id_, what, partners in rows:
+        if slot != current:
+            if asked:
+                yield found()
+            current, held, asked = slot, {}, {}
+        held[id_] = what
+        if partners:
+            asked[id_] = partners
     if asked:
         yield found()
 
 
-def _similar(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets are similar, by the sets; those that marks rule out need none.
+_SLOT = ["sh", "p", "q"]
 
-    `pairs` has a shingle `sh` that both share. The texts of a shingle meet in slots of some SLOT ids of either
-    side, so that a text travels once for a few of its pairs and a shingle of many sets is many small groups.
-    """
-    def side(x):
-        return nodes.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), *(F.col(m).alias(f"{m}_{x}") for m in _MARKS))
 
-    pairs = cut(pairs)
-    pairs = cut(pairs.join(side("a"), "a").join(side("b"), "b").where(~_unlike()).select("a", "b", "sh"))
+def _by_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows():
+        for part in batches:
+            sh, p, q, *rest, n, bits = (part.column(c).to_pylist() for c in (*_SLOT, "id", "partners", "n", "bits"))
+            yield from zip(zip(sh, p, q), rest[0], zip(n, bits), rest[1])
+
+    return _pairs(rows(), _may_be_similar)
+
+
+def _by_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows():
+        for part, sets, ids in _sets(batches):
+            slots = zip(*(part.column(c).to_pylist() for c in _SLOT))
+            for slot, want, id_, words, partners in zip(slots, part.column("id").to_pylist(), ids.tolist(), sets, part.column("partners").to_pylist()):
+                if want == id_:  # else another text with the same hash
+                    yield slot, id_, words, partners
+
+    def similar(x, y):
+        return len(np.intersect1d(x, y, assume_unique=True)) * (SIMILAR + WHOLE) >= (len(x) + len(y)) * SIMILAR
+
+    return _pairs(rows(), similar)
+
+
+def _meeting(pairs: DataFrame) -> DataFrame:
+    """(slot, id, partners): the ids of pairs (sh, a, b) in slots of some SLOT ids of either side of a shingle."""
     sides = pairs.groupBy("sh").agg(F.ceil(F.countDistinct("a") / SLOT).alias("p"), F.ceil(F.countDistinct("b") / SLOT).alias("q"))
     pairs = pairs.join(sides, "sh").withColumn("p", F.pmod(F.xxhash64("a"), "p")).withColumn("q", F.pmod(F.xxhash64("b"), "q"))
-    slot = ["sh", "p", "q"]
-    asked = pairs.select(*slot, F.col("b").alias("id"), F.col("a").alias("partner")).unionByName(
-        pairs.select(*slot, F.col("a").alias("id"), F.lit(None).cast("long").alias("partner")))
-    wanted = asked.groupBy(*slot, "id").agg(F.collect_set("partner").alias("partners"))
-    wanted = small(cut(wanted.join(nodes.select("id", "k"), "id")), IDS)
-    return texts.join(wanted, "k").select(*slot, "id", "partners", "text").repartition(*slot).sortWithinPartitions(*slot) \
-        .mapInArrow(_compare, "a long, b long")
+    asked = pairs.select(*_SLOT, F.col("b").alias("id"), F.col("a").alias("partner")).unionByName(
+        pairs.select(*_SLOT, F.col("a").alias("id"), F.lit(None).cast("long").alias("partner")))
+    return asked.groupBy(*_SLOT, "id").agg(F.collect_set("partner").alias("partners"))
+
+
+def _met(rows: DataFrame, compare) -> DataFrame:
+    return rows.repartition(*_SLOT).sortWithinPartitions(*_SLOT).mapInArrow(compare, "sh long, a long, b long")
+
+
+def _similar(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sets are similar, by the sets; those that the bits of the sets rule out need none.
+
+    `pairs` has a shingle `sh` that both share. The bits, then the texts, of a shingle meet in slots, so that they
+    travel once for a few of their pairs and a shingle of many sets is many small groups. Bits take some tenth
+    of the texts' bytes and grow with the sets, so few texts travel besides those of similar pairs.
+    """
+    pairs = cut(_met(_meeting(cut(pairs)).join(nodes.select("id", "n", "bits"), "id"), _by_bits))
+    wanted = small(cut(_meeting(pairs).join(nodes.select("id", "k"), "id")), IDS)
+    return _met(texts.join(wanted, "k").select(*_SLOT, "id", "partners", "text"), _by_sets).select("a", "b")
 
 
 def similar_groups(docs: DataFrame) -> DataFrame:
@@ -311,14 +362,14 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     Texts with equal sets of shingles (copies, case and spacing apart) are one node. Of each set the rarest
     shingles are handed out (_prefixes); similar sets share one of them. First all sets with a shingle are compared
     with the least of them, which joins large groups of near copies without their pairs. Then, under every
-    shingle, all pairs that are not in one group yet are compared. Nothing is capped: a shingle of many sets that
-    are no near copies costs their pairs, less those that sizes, places of the shingle or marks rule out. Sets are
-    made anew from the texts where they are needed; none is written. All null and empty texts are one node. An
+    shingle that can be the first they share, all pairs that are not in one group yet are compared. Nothing is
+    capped: a shingle of many sets that are no near copies costs their pairs, less those that sizes, places of the
+    shingle or marks rule out. Sets are made anew from the texts where they are needed; only their bits are written. All null and empty texts are one node. An
     empty table gives an empty table.
     """
     texts = docs.select("doc_id", "text", F.xxhash64("text").alias("h"), F.xxhash64("doc_id", "text").alias("k"))
-    rows = cut(texts.mapInArrow(_nodes, "doc_id long, h long, k long, id long, n int, " + ", ".join(f"{m} long" for m in _MARKS)))
-    nodes = cut(rows.groupBy("id").agg(F.min(F.struct("k", "n", *_MARKS)).alias("r")).select("id", "r.*"))
+    rows = cut(texts.mapInArrow(_nodes, "doc_id long, h long, k long, id long, n int, " + ", ".join(f"{m} long" for m in _MARKS) + ", bits binary"))
+    nodes = cut(rows.groupBy("id").agg(F.min(F.struct("k", "n", *_MARKS, "bits")).alias("r")).select("id", "r.*"))
     spread = _prefixes(texts, _common(texts))
     many = spread.groupBy("sh").agg(F.min("id").alias("x"), F.max("id").alias("y")).where("x <> y").select("sh")
     lists = cut(spread.join(small(cut(many), SHINGLES), "sh", "left_semi").distinct())
@@ -332,7 +383,7 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     open_ = cut(named.join(split, "sh", "left_semi")).join(nodes.select("id", *_MARKS), "id")
     a = open_.select("sh", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("pos").alias("pos_a"), F.col("root").alias("ra"), *(F.col(m).alias(f"{m}_a") for m in _MARKS))
     b = open_.select("sh", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("pos").alias("pos_b"), F.col("root").alias("rb"), *(F.col(m).alias(f"{m}_b") for m in _MARKS))
-    rest = a.join(b, "sh").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & _possible() & ~_unlike())
+    rest = a.join(b, "sh").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & _first() & ~_unlike())
     links = links.unionByName(_similar(rest.groupBy("a", "b").agg(F.min("sh").alias("sh")), nodes, texts))
     groups = components(links).withColumnRenamed("node", "id")
     return rows.select("doc_id", "h", "id").join(groups, "id", "left").select("doc_id", "h", F.coalesce("root", "id").alias("root"))
@@ -341,15 +392,20 @@ def similar_groups(docs: DataFrame) -> DataFrame:
 def keep_first(docs: DataFrame) -> DataFrame:
     """One row of each group of near copies: that with the least doc_id, or one without id where there is none.
 
-    Of several rows with that id, the one with the least hash of its text stays. All columns are kept.
+    Of several rows with that id, the one with the least hash of its text stays. All columns are kept. The
+    texts are shuffled once at most: by the columns of the join, which are those of the window as well.
     """
+    groups = cut(similar_groups(docs))
     first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("h")))
-    kept = similar_groups(docs).groupBy("root").agg(first.alias("k")).select("k.doc_id", "k.h")
-    row = fresh(docs, "row")
-    same = docs.doc_id.eqNullSafe(kept.doc_id) & F.xxhash64(docs.text).eqNullSafe(kept.h)
-    return docs.join(kept, same, "left_semi").withColumn(
-        row, F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(0)))) \
-        .where(F.col(row) == 1).select(*docs.columns)
+    no, id_, h, row = (fresh(docs, c) for c in ("no_id", "id_or_0", "hash", "row"))
+    key = [no, id_, h]
+    kept = groups.groupBy("root").agg(first.alias("k")).select(
+        F.col("k.doc_id").isNull().alias(no), F.coalesce("k.doc_id", F.lit(0)).alias(id_), F.col("k.h").alias(h))
+    found = docs.withColumns({no: F.col("doc_id").isNull(), id_: F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), h: F.xxhash64("text")}) \
+        .join(kept, key, "left_semi")
+    if not groups.groupBy("doc_id", "h").count().where("count > 1").isEmpty():  # rows that occur several times
+        found = found.withColumn(row, F.row_number().over(Window.partitionBy(*key).orderBy(F.lit(0)))).where(F.col(row) == 1)
+    return found.select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

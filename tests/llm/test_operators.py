@@ -155,6 +155,55 @@ def test_near_dedup_meets_block_edits_and_short_texts(spark):
     assert groups == 4 * 30
 
 
+def test_near_dedup_meets_all_pairs_of_a_family(spark):
+    rng = random.Random(13)
+
+    def fresh(n):
+        return [f"w{rng.randrange(10**9)}" for _ in range(n)]
+
+    base = fresh(90)
+    texts = []
+    for _ in range(250):  # edits of one text, some similar to each other, many not
+        own = list(base)
+        for _ in range(rng.randrange(1, 7)):
+            own[rng.randrange(90)] = fresh(1)[0]
+        texts.append(own[rng.randrange(8):len(own) - rng.randrange(8)])
+    check_groups(spark, [" ".join(t) for t in texts])
+
+
+def test_bits_of_a_set_rule_out_unlike_sets_of_any_size_and_no_similar_ones():
+    rng = np.random.default_rng(5)
+
+    def may(x, y):
+        return simhash._may_be_similar((len(x), simhash._bits(x)), (len(y), simhash._bits(y)))
+
+    def some(n):
+        return rng.integers(-2**63, 2**63, n)
+
+    for n in (1, 2, 9, 40, 500, 515, 20_000):
+        for part in np.linspace(0, 0.3, 13):
+            a = np.unique(some(n))
+            b = np.unique(np.concatenate([a[int(n * part):], some(int(n * rng.uniform(0, 0.3)))]))
+            both = len(np.intersect1d(a, b))
+            if both and both * 9 >= (len(a) + len(b)) * 4:
+                assert may(a, b) and may(b, a)
+        if n >= 500:  # also with half of each shared; 512 marks are nearly all set here
+            a, b = some(n), some(n)
+            assert not may(a, b) and not may(a, np.concatenate([a[:n // 2], b[:n // 2]]))
+
+
+def test_kept_texts_are_shuffled_once(spark, docs):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with many documents
+    try:
+        kept = simhash.keep_first(docs.unionByName(docs.limit(5)))
+        plan = kept._jdf.queryExecution().executedPlan().toString()
+        assert "Window" in plan and plan.index("Join") and "Exchange" not in plan[:plan.index("Join")]
+        assert sorted(map(str, kept.collect())) == sorted(map(str, simhash.keep_first(docs).collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_language(spark, docs, none):
     r = random.Random(1)
     speech = {"aa": "the and of ing tion".split(), "bb": "der und ung keit sch".split()}

@@ -1,10 +1,13 @@
+import os
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from lanwatch.config import Adaptive
 from lanwatch.operators.firsts import first_seen
+from lanwatch.operators.lineage import cut
 from lanwatch.operators.suppress import adaptive_cooldown, cooldown
 from lanwatch.operators.windows import previous_value, running_total, sliding_count, sliding_distinct
 
@@ -157,3 +160,20 @@ def test_first_seen_counts_what_was_known(spark):
     base = spark.createDataFrame([("a", "q"), ("a", "y")], "k string, v string")
     got = {(r.k, r.v): (r.event_id, r.known) for r in first_seen(spark.createDataFrame(data, SCHEMA), ["k"], "v", base).collect()}
     assert got == {("a", "x"): (1, 2), ("a", "z"): (4, 3), ("b", "x"): (5, 0)}
+
+
+def test_cut_leaves_no_shuffle_files(spark):
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+    def shuffles():
+        manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+        return {n for d in manager.localDirs() for _, _, names in os.walk(d.getPath()) for n in names if n.startswith("shuffle_")}
+
+    before, had = shuffles(), spark.conf.get(setting, None)
+    table = cut(spark.range(1000).repartition(7).groupBy((F.col("id") % 10).alias("k")).count())
+    for _ in range(100):
+        if not shuffles() - before:
+            break
+        time.sleep(0.1)
+    assert not shuffles() - before
+    assert sorted(r["count"] for r in table.collect()) == [100] * 10 and spark.conf.get(setting, None) == had
